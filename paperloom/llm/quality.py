@@ -11,7 +11,7 @@ scored whole, where it lies, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the model's intercept; without rows of both
 classes every score is the share of class 1 (one half if there are no rows); repeated documents are scored
-alike; other columns are ignored.
+alike; other columns are kept, but for one named score.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mo
 
 def score(documents: DataFrame, model: dict, *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns of each document and score, 0 to 1."""
-    keep = documents.columns if keep is None else keep
+    keep = [c for c in (documents.columns if keep is None else keep) if c != "score"]
     kept = documents.select(*keep)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
     shared = documents.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in model.items()})
