@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, lines
+from . import chat, hosts, licences, lines
 from .decontaminate import op2_decontaminate
 from .minhash import op1_minhash
 from .packing import op5_packing
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_host_rules": hosts.op6_host_rules,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_licences": licences.op9_licences,
     "op10_chat": chat.op10_chat,
 }
 
