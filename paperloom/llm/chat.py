@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .sizes import stored
+
 
 def hashed(turns: DataFrame) -> DataFrame:
     """(conv_id, n, of, p, q): each conversation's prefixes of n turns, of its turns, and their rolling hashes."""
@@ -31,7 +33,7 @@ def hashed(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies): the conversations that aren't a longer one's beginning, one of each group of equal ones."""
-    prefixes = hashed(turns).checkpoint()
+    prefixes = hashed(turns).transform(stored)
     whole = prefixes.where("n = of").groupBy("n", "p", "q").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     proper = prefixes.where("n < of").select("n", "p", "q").distinct()
     return whole.join(proper, ["n", "p", "q"], "left_anti").select("conv_id", F.col("n").cast("bigint").alias("n_turns"), "n_copies")
@@ -48,7 +50,7 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    return render(turns, maximal(turns).checkpoint())
+    return render(turns, maximal(turns).transform(stored))
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .sizes import stored
 from .words import U, grams, slices, words_of
 
 WINDOW = 10
@@ -237,7 +238,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text"
         last = k == len(parts) - 1
         out = _pass(out, block, text, keep if last else list(dict.fromkeys([*keep, text])), window, k > 0)
         if not last:
-            out = out.checkpoint()
+            out = out.transform(stored)
     return out
 
 

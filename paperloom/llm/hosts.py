@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizes import if_small
+from .sizes import if_small, stored
 
 LIMIT = 0.5
 STRONGEST = 1e6
@@ -55,7 +55,7 @@ def base_failed() -> Column:
 
 def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
     """(host, n, failures, rate): each host's documents, failures and shrunk rate."""
-    sums = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("failures")).checkpoint()
+    sums = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("failures")).transform(stored)
     rate = F.col("failures") / F.col("n")
     prior = sums.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread")).first()
     mean, spread = prior["mean"] or 0.0, prior["spread"] or 0.0
@@ -66,7 +66,7 @@ def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
 def judge(documents: DataFrame, *, host: str = "source", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """documents without the text, the measures, base_failed and kept. Such columns of the documents give way."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    judged = measures(documents.select(*(c for c in documents.columns if c not in made)), text).withColumn("base_failed", base_failed()).checkpoint()
+    judged = measures(documents.select(*(c for c in documents.columns if c not in made)), text).withColumn("base_failed", base_failed()).transform(stored)
     bad = host_rates(judged, host, "base_failed").where(F.col("rate") > limit).select(F.col("host").alias("__bad"), F.lit(True).alias("__rejected"))
     joined = judged.join(if_small(bad), F.col(host).eqNullSafe(F.col("__bad")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("__rejected").isNull()).drop("__bad", "__rejected")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizes import if_small
+from .sizes import if_small, stored
 
 RATIO, LEAST = 0.02, 3
 SPACE = " \t\r\f\v"
@@ -41,10 +41,10 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", r
     each = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), lines.alias("lines"))
     # Line 0 stands for the page itself, so that one shuffle makes both counts.
     rows = each.select("host", "page", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "lines")).alias("line")).distinct()
-    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("line") == 0)).checkpoint()
+    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("line") == 0)).transform(stored)
     totals = counts.where("line = 0").select(F.col("host").alias("of"), F.col("n").alias("total"))
     frequent = counts.where("line <> 0").join(if_small(totals), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("total"))
-    return frequent.groupBy("host").agg(F.collect_list("line").alias("lines")).checkpoint()
+    return frequent.groupBy("host").agg(F.collect_list("line").alias("lines")).transform(stored)
 
 
 def drop_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, counts: bool = False) -> DataFrame:

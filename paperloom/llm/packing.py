@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .ranks import ranked
+from .sizes import stored
 
 LENGTH, END = 2048, 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -190,7 +191,7 @@ def intervals(kinds: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarra
 
 def pack(documents: DataFrame, *, length: int = LENGTH, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset. length is below 2**20."""
-    made = pieces(documents, length, path, with_ids).checkpoint()
+    made = pieces(documents, length, path, with_ids).transform(stored)
     histogram = np.zeros(length + 1, np.int64)
     for r in made.groupBy("length").agg(F.count("*").alias("n")).collect():
         histogram[r["length"]] = r["n"]

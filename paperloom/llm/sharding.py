@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .ranks import ranked
+from .sizes import stored
 
 SHARDS, SEED = 8, 20
 
@@ -23,9 +24,9 @@ SHARDS, SEED = 8, 20
 def shard(documents: DataFrame, *, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size, text_crc32, shard, slot) of each document; size: UTF-8 bytes of the text, and one."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(whole) + 1).cast("bigint").alias("size"), F.crc32(whole).cast("bigint").alias("text_crc32")).checkpoint()
+    rows = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(whole) + 1).cast("bigint").alias("size"), F.crc32(whole).cast("bigint").alias("text_crc32")).transform(stored)
     shuffled = (F.xxhash64(F.lit(seed), "doc_id").cast("double") + 2.0**63) / 2.0**64 * (1 - 2.0**-52)
-    own = ranked(rows, ["source"], shuffled, ["doc_id", "text_crc32", "size"], "own", "of").checkpoint()
+    own = ranked(rows, ["source"], shuffled, ["doc_id", "text_crc32", "size"], "own", "of").transform(stored)
     fraction = (F.col("own") + 0.5) / F.col("of")
     placed = ranked(own, [], fraction, ["source", "own"], "place")
     n = rows.count()

@@ -1,12 +1,26 @@
-"""Broadcasting behind a check of the size."""
+"""Storing what is read more than once, and broadcasting behind a check of the size."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 ROWS = 100_000
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """table, written to the checkpoint folder, so that a lost executor takes nothing with it. Without a folder in
+    spark.checkpoint.dir a local session gets a temporary one; a cluster has to name one that its machines share."""
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return table.checkpoint()
+
+
 def if_small(table: DataFrame, rows: int = ROWS) -> DataFrame:
     """table, to be broadcast if it has at most so many rows; else as it is, for a shuffled join. Read twice: table should be stored."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
