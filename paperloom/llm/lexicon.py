@@ -8,12 +8,19 @@ class Trie:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         """terms: a term, and whether it is a stem."""
-        self.root: dict = {}
+        self.root: dict = {None: 0}
         for term, stem in terms:
-            node = self.root
+            node, most = self.root, edits(term, stem)
             for c in term:
-                node = node.setdefault(c, {})
-            node[""] = (term, stem, edits(term, stem))
+                node[None] = max(node[None], most)
+                node = node.setdefault(c, {None: 0})
+            node[None] = max(node[None], most)
+            node[""] = (term, stem, most)
+
+    @property
+    def most(self) -> int:
+        """The most edits of any term; at a node, None has the most of those below."""
+        return self.root[None]
 
 
 def edits(term: str, stem: bool) -> int:
@@ -62,20 +69,24 @@ class Automaton:
         return min((e for _, e in state), default=self.most + 1)
 
 
-def nearest(trie: Trie, word: str, most: int = 2) -> tuple[str, int] | None:
+def nearest(trie: Trie, word: str) -> tuple[str, int] | None:
     """The lexicon term that the word is or misspells, and its edits: the fewest, then the longest term, then the first by name."""
-    automaton, found = Automaton(word, most), []
+    automaton, found = Automaton(word, trie.most), []
     stack = [(trie.root, automaton.start)]
     while stack:
         node, state = stack.pop()
         for letter, below in node.items():
+            if letter is None:
+                continue
             if letter == "":
                 term, stem, allowed = below
                 e = automaton.edits_begun(state) if stem else automaton.edits_whole(state)
                 if e <= allowed:
                     found.append((e, -len(term), term))
-            elif after := automaton.step(state, letter):
-                stack.append((below, after))
+            else:
+                after = automaton.step(state, letter)
+                if automaton.edits_begun(after) <= below[None]:
+                    stack.append((below, after))
     if not found:
         return None
     e, _, term = min(found)

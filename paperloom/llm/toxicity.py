@@ -18,7 +18,10 @@ lexicon is empty and every score 0; repeated documents are scored alike; other c
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .lexicon import Trie, edits, nearest
 from .linear import labelled_sample, logistic, remainder, sigmoid
-from .words import WORD, slices, words_of
+from .words import LOWER, WORD, slices, words_of
 
 PER_CLASS = 6000
 THRESHOLD = 0.7
-#: Of a lexicon entry: in toxic texts the least number of different words before it, and its most rows of clean texts for each toxic one.
-LEAST, IMPURE = 8, 0.02
-STEM, ENDINGS, STEM_LEAST = 4, 5, 8
+#: Of a lexicon entry: its most rows of clean texts for each toxic one, and the chance that so many rows, were they drawn at random, all were toxic.
+IMPURE, CHANCE = 0.02, 1e-7
+STEM, ENDINGS = 4, 5
 
 # Quotation marks, verbs and nouns of reporting, and words of address, in four languages.
 OPENING = "\"'“„«‘‹"
@@ -49,10 +52,11 @@ _BIT[65:91] = _BIT[97:123]
 _ASCII = (WORD & (np.arange(256) < 128)).astype(np.int32)
 
 
-def learn_lexicon(counts: list[tuple[str, int, int, int]]) -> list[tuple[str, bool]]:
+def learn_lexicon(counts: list[tuple[str, int, int, int]], share: float) -> list[tuple[str, bool]]:
     """counts: word, toxic and clean rows with it, different words before it in toxic rows (copies of one text have one).
 
-    Words and stems of toxic texts; a stem takes in the words that begin with it."""
+    Words and stems of toxic texts; a stem takes in the words that begin with it. share: the sample's share of toxic rows."""
+    least = max(5, math.ceil(math.log(CHANCE) / math.log(min(max(share, 1e-6), 0.9))))
     stems: list[str] = []
     nodes: dict[str, list[int]] = {}
     for word, toxic, clean, places in counts:
@@ -64,19 +68,24 @@ def learn_lexicon(counts: list[tuple[str, int, int, int]]) -> list[tuple[str, bo
             node[4] = max(node[4], places)
     for p in sorted(nodes, key=lambda p: (len(p), p)):
         toxic, clean, places, endings, most = nodes[p]
-        if places >= STEM_LEAST and clean <= IMPURE * toxic and endings >= ENDINGS and most < 0.5 * places and not p.startswith(tuple(stems)):
+        if places >= least and clean <= IMPURE * toxic and endings >= ENDINGS and most < 0.5 * places and not p.startswith(tuple(stems)):
             stems.append(p)
-    words = [w for w, toxic, clean, places in counts if places >= LEAST and clean <= IMPURE * toxic and len(w) >= 3 and not w.startswith(tuple(stems))]
+    words = [w for w, toxic, clean, places in counts if places >= least and clean <= IMPURE * toxic and len(w) >= 3 and not w.startswith(tuple(stems))]
     return [*((s, True) for s in sorted(stems)), *((w, False) for w in sorted(words))]
 
 
+def _leading(term: str) -> bytes:
+    """The ASCII letters that a term begins with."""
+    return re.match(r"[\x00-\x7f]*", term)[0].encode()
+
+
 class Matcher:
     """Finds lexicon terms among words."""
 
     def __init__(self, lexicon: list[tuple[str, bool]], clean: frozenset[str]):
         self.trie, self.clean, self.known = Trie(lexicon), clean, {}
         of = lambda t: [b for b in t.encode() if _ASCII[b]]
-        self.terms = [(np.uint32(np.bitwise_or.reduce(_BIT[of(t)]) if of(t) else 0), len(of(t)), edits(t, stem), stem) for t, stem in lexicon]
+        self.terms = [(np.uint32(np.bitwise_or.reduce(_BIT[of(t)]) if of(t) else 0), len(of(t)), edits(t, stem), stem, _leading(t)) for t, stem in lexicon]
 
     def lookup(self, word: str) -> tuple[str, int] | None:
         hit = nearest(self.trie, word)
@@ -92,8 +101,13 @@ class Matcher:
         mask = np.bitwise_or.reduceat(_BIT[view], at)
         size = np.add.reduceat(_ASCII[view], at)
         maybe = np.zeros(len(start), bool)
-        for bits, n, e, stem in self.terms:
-            if stem:
+        for bits, n, e, stem, leading in self.terms:
+            if stem and not e:
+                near = np.flatnonzero((bits & ~mask == 0) & (size >= n) & (length >= len(leading)))
+                for k, byte in enumerate(leading):
+                    near = near[LOWER[view[at[near] + k]] == byte]
+                maybe[near] = True
+            elif stem:
                 maybe |= (np.bitwise_count(bits & ~mask) <= e) & (size >= n - e)
             else:
                 maybe |= (np.bitwise_count(bits ^ mask) <= 2 * e) & (np.abs(size - n) <= e)
@@ -154,6 +168,12 @@ def columns(s: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(both, 1), np.log1p(both), np.log1p(s[:, 1])], axis=1)
 
 
+@lru_cache(maxsize=4)
+def _matcher(lexicon: tuple, clean: frozenset) -> Matcher:
+    """Kept in a worker from task to task, with the words that it has looked up."""
+    return Matcher(list(lexicon), clean)
+
+
 def near_words(lexicon: list[tuple[str, bool]], words: list[str]) -> frozenset[str]:
     """Those of the words that are near a lexicon term."""
     data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
@@ -191,7 +211,8 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod:
     table = words.where("length(word) >= 3").toArrow()
     counts = sorted(zip(*(table.column(k).to_pylist() for k in range(4)), strict=True))
     del table
-    lexicon = learn_lexicon(counts)
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    lexicon = learn_lexicon(counts, sizes.get(1, 0) / max(1, sum(sizes.values())))
     clean = sorted(w for w, toxic, free, _ in counts if free and free > IMPURE * toxic and len(w) <= 40)
     model = {"lexicon": lexicon, "clean": near_words(lexicon, clean)}
     rows = once.mapInArrow(_summing(model, ["y"]), "y int, exact double, misspelt double, terms double").toArrow()
@@ -203,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod:
 
 def _summing(model: dict, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model["lexicon"], model["clean"])
+        matcher = _matcher(tuple(model["lexicon"]), model["clean"])
         for part, data, offsets in slices(batches, "text"):
             s = sums(matcher, data, offsets)
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), *(pa.array(s[:, k]) for k in range(3))], names=[*keep, "exact", "misspelt", "terms"])
@@ -218,7 +239,7 @@ def score(documents: DataFrame, model: dict, *, keep: list[str] | None = None, t
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model["lexicon"], model["clean"])
+        matcher = _matcher(tuple(model["lexicon"]), model["clean"])
         for part, data, offsets in slices(batches, "__text"):
             s = sums(matcher, data, offsets)
             x = sigmoid(columns(s) @ model["weights"][:-1] + model["weights"][-1])
