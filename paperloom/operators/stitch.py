@@ -16,9 +16,10 @@ def stitched(chunks: Column, most: int | None = None) -> Column:
     def joined(done: Column, chunk: Column) -> Column:
         reach = F.least(F.length(done), F.length(chunk), F.lit(limit))
         lengths = F.when(reach > 0, F.sequence(F.lit(1), F.greatest(reach, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        same = F.filter(lengths, lambda n: F.right(done, n) == F.left(chunk, n))
-        n = F.coalesce(F.array_max(same), F.lit(0))
-        return F.when(chunk == "", done).when(n > 0, F.concat(done, F.substr(chunk, n + 1))).otherwise(F.concat(done, F.lit("\n\n"), chunk))
+        # The ends are cut off once, and not for every length.
+        ends = F.array(F.struct(F.right(done, F.lit(limit)).alias("tail"), F.left(chunk, F.lit(limit)).alias("head")))
+        n = F.get(F.transform(ends, lambda e: F.coalesce(F.array_max(F.filter(lengths, lambda k: F.right(e["tail"], k) == F.left(e["head"], k))), F.lit(0))), F.lit(0))
+        return F.when(chunk == "", done).otherwise(F.concat(done, F.when(n > 0, F.substr(chunk, n + 1)).otherwise(F.concat(F.lit("\n\n"), chunk))))
 
     first = F.coalesce(F.get(chunks, F.lit(0)), F.lit(""))
     return F.aggregate(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), first, joined)
