@@ -6,16 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BILL_PROMPT, CATEGORIES, SETTINGS
 from ..functions.candidates import amount_candidates, date_candidates, looks_like_bill
+from ..functions.once import once
 from ..functions.text import fill, stable_id, strip
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with costly columns that are worked out once a row, however often they are used afterwards: without the generator
-    between, filters and selections would have them written out in full at every use."""
-    made = F.array(F.struct(*(c.alias(k) for k, c in columns.items())))
-    return rows.select("*", F.explode(made).alias("__once")).select("*", "__once.*").drop("__once")
-
-
 def with_candidates(documents: DataFrame, pivot: int = 2025) -> DataFrame:
     """documents (source, text) with amounts, dates and bill_like. Texts that don't look like bills aren't scanned further."""
     rows = once(documents, bill_like=looks_like_bill(F.col("text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ENTITY_TYPES, SETTINGS, STOPWORDS
+from ..functions.once import once
 from ..functions.text import strip
 
 # Patterns.
@@ -22,15 +23,16 @@ def heuristic_mentions(texts: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, kind, i, entity): each mention, in the order in which they are counted. A person is left out who begins with a stopword
     or has a name in common with an organisation of the same text. flags: of the patterns; (?U) for Unicode classes."""
     found = {k: F.regexp_extract_all(text, F.lit(flags + p), F.lit(0)) for k, p in PATTERNS.items()}
-    rows = texts.select(key, *(v.alias(k) for k, v in found.items()))
-    rows = rows.withColumn("organization", F.transform("organization", lambda m: F.btrim(strip(m), F.lit(PUNCTUATION))))
+    found["organization"] = F.transform(found["organization"], lambda m: F.btrim(strip(m), F.lit(PUNCTUATION)))
+    rows = once(texts.select(key, text), **found).drop(text)
     orgs = F.array_distinct(F.transform("organization", F.lower))
 
     def person(m: Column) -> Column:
         low = F.lower(m)
         return ~F.split_part(m, F.lit(" "), F.lit(1)).isin(STOPWORDS) & ~F.exists("__orgs", lambda o: F.contains(o, low) | F.contains(low, o))
 
-    rows = rows.withColumn("__orgs", orgs).withColumn("person", F.filter(F.transform("person", strip), person))
+    rows = once(rows, __orgs=orgs)
+    rows = once(rows.withColumnRenamed("person", "__runs"), person=F.filter(F.transform("__runs", strip), person))
     kinds = [F.transform(k, lambda m, i: F.struct(m.alias("m"), i.alias("i"))) for k in PATTERNS]
     labelled = [F.transform(c, _labelled(k, n)) for n, (k, c) in enumerate(zip(PATTERNS, kinds, strict=True))]
     rows = rows.select(key, F.explode(F.concat(*labelled)).alias("x"))
