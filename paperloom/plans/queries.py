@@ -415,9 +415,9 @@ def first_chunks(spark, sf_dir):
     return corpus.first_chunks(_chunks(spark, sf_dir)).select("text", F.col("text").rlike("(?U)" + BILL_WORDS).alias("has_words"))
 
 
-@query("""
+@query(f"""
 SELECT conv_id, 'Chat History' || chr(10) || repeat('=', 50) || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' || text || chr(10)
-  ELSE 'Assistant: ' || text || chr(10) || 'Citations:' || chr(10) || '  - ' || role || '.md' || CASE WHEN turn <> 0 THEN ' · p.' || turn ELSE '' END || ': "' || trim(text[1:20]) || '"' || chr(10) || repeat('-', 50) || chr(10) || chr(10) END, '' ORDER BY turn, role) AS text
+  ELSE 'Assistant: ' || text || chr(10) || 'Citations:' || chr(10) || '  - ' || role || '.md' || CASE WHEN turn <> 0 THEN ' · p.' || turn ELSE '' END || ': "' || trim(text[1:20], {_WS}) || '"' || chr(10) || repeat('-', 50) || chr(10) || chr(10) END, '' ORDER BY turn, role) AS text
 FROM conversations GROUP BY conv_id
 """)
 def chat_export(spark, sf_dir):

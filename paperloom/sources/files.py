@@ -15,12 +15,20 @@ from ..operators.structure import likely_delimiter
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """The supported files of a folder, not of those below it: path, modificationTime, length, content.
 
-    Endings are compared in lower case, which a path filter wouldn't do. Spark's listing leaves out names that begin with
-    '_' or '.'."""
+    Endings are compared in lower case, which a path filter wouldn't do. Spark's reader leaves out empty files, which have no text,
+    and names that begin with '_' or '.'; ``names`` has them all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     return files.where(extension(F.col("path")).isin(*SETTINGS.extensions))
 
 
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files of a folder, wherever it is: the folder's listing alone, without contents."""
+    context = spark.sparkContext
+    folder_ = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder_.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(folder_)
+    return spark.createDataFrame([(f.getPath().toString(), f.getLen()) for f in found if f.isFile()], "path string, length bigint")
+
+
 def listing(files: DataFrame) -> DataFrame:
     """(name, type) of files, by lower-cased name. Contents aren't read."""
     rows = files.select(basename(F.col("path")).alias("name"))
