@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .linear import dual_descent, labelled_sample, logistic, remainder, sigmoid
+from .sizes import small_batches
 from .words import U, WORD, grams, mix, slices, words_of
 
 BITS = 18
@@ -118,6 +119,7 @@ def margin(places: np.ndarray, scaled: np.ndarray, square: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> dict:
+    small_batches(documents.sparkSession)
     sample, stands_for = labelled_sample(labels, label, mod, held_out, per_class)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROWS = 100_000
 
@@ -21,6 +22,37 @@ def stored(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+#: Of narrow rows, for one partition of a table that was stored.
+PART_ROWS = 50_000
+
+
+def stored_few(table: DataFrame) -> DataFrame:
+    """table, stored, and read again in as few partitions as its rows need: each one would write files of its own in every
+    shuffle that follows. For narrow rows, of which there may be few after a join over many partitions."""
+    made = table.transform(stored)
+    release(table.sparkSession)
+    return made.coalesce(max(1, -(-made.count() // PART_ROWS)))
+
+
+#: Of a batch that goes to a Python worker. Texts are long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of a bounded size, if its own bound is larger."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of tables that nothing refers to any more. Otherwise the rounds of a
+    loop keep theirs until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def if_small(table: DataFrame, rows: int = ROWS) -> DataFrame:
     """table, to be broadcast if it has at most so many rows; else as it is, for a shuffled join. Read twice: table should be stored."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
