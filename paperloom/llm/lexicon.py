@@ -26,7 +26,7 @@ class Trie:
 def edits(term: str, stem: bool) -> int:
     """How many edits a misspelling of the term may have."""
     n = len(term)
-    return (n >= 7) if stem else (n >= 5) + (n >= 9)
+    return (n >= 7) if stem else (n >= 5) + (n >= 12)
 
 
 class Automaton:

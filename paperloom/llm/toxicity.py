@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .lexicon import Trie, edits, nearest
 from .linear import labelled_sample, logistic, remainder, sigmoid
+from .sizes import small_batches
 from .words import LOWER, WORD, slices, words_of
 
 PER_CLASS = 6000
 THRESHOLD = 0.7
 #: Of a lexicon entry: its most rows of clean texts for each toxic one, and the chance that so many rows, were they drawn at random, all were toxic.
-IMPURE, CHANCE = 0.02, 1e-7
+IMPURE, CHANCE = 0.02, 1e-5
 STEM, ENDINGS = 4, 5
 
 # Quotation marks, verbs and nouns of reporting, and words of address, in four languages.
@@ -183,6 +184,7 @@ def near_words(lexicon: list[tuple[str, bool]], words: list[str]) -> frozenset[s
 
 
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> dict:
+    small_batches(documents.sparkSession)
     sample, stands_for = labelled_sample(labels, label, mod, held_out, per_class)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
