@@ -14,8 +14,8 @@ several blocks takes several passes, each over what the one before has written t
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an
 item of fewer words than a window is one window; repeated item ids count as one item; repeated documents
-are rows of their own; other columns of the documents are kept. Columns are looked up by position in the
-plan, so documents may have columns named like those of the benchmark.
+are rows of their own; other columns of the documents are kept, but for ``find_leaks`` those named like its results
+give way.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .sizes import stored
+from .sizes import small_batches, stored
 from .words import U, grams, slices, words_of
 
 WINDOW = 10
@@ -230,7 +230,9 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> l
 def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns of each document, n_words, hits (first and end word of each run of hit words), found (item ids),
     and the longest match with a window or more: its words, first word and item (0, -1 and null if there is none)."""
-    keep = [c for c in documents.columns if c != text] if keep is None else keep
+    small_batches(documents.sparkSession)
+    made = [f.split()[0] for f in FOUND.split(", ")]
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in made and (keep is not None or c != text)]
     parts = blocks_of(benchmark, item, item_text, block_bytes)
     out = documents
     for k, part in enumerate(parts):
@@ -244,8 +246,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text"
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The documents that hold no window of any benchmark item, with their columns as they were."""
-    found = find_leaks(documents, benchmark, text=text, keep=list(documents.columns), **how)
-    return found.where(F.size("found") == 0).select(*documents.columns)
+    inner = documents.select(F.struct("*").alias("__row"), text)
+    found = find_leaks(inner, benchmark, text=text, keep=["__row"], **how)
+    return found.where(F.size("found") == 0).select("__row.*")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
