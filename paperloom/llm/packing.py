@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .ranks import ranked
-from .sizes import stored
+from .sizes import small_batches, stored
 
 LENGTH, END = 2048, 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -156,8 +156,10 @@ def best_fit(histogram: np.ndarray, full: int) -> list[tuple[list[int], int]]:
 
 
 def plan(histogram: np.ndarray, full: int = LENGTH) -> list[tuple[list[int], int]]:
-    """The kinds of sequence, as the lengths in each and how many there are."""
+    """The kinds of sequence, as the lengths in each and how many there are. With few pieces rounding can cost more than
+    patterns win; then all are packed by best fit."""
     left, out = histogram.astype(np.int64).copy(), []
+    alone = best_fit(left, full)
     lengths = np.flatnonzero(left)
     if len(lengths):
         p = patterns(lengths, full)
@@ -170,7 +172,8 @@ def plan(histogram: np.ndarray, full: int = LENGTH) -> list[tuple[list[int], int
             if n:
                 left[kind] -= n * need
                 out.append((p[:, i][p[:, i] > 0].tolist(), n))
-    return out + best_fit(left, full)
+    out += best_fit(left, full)
+    return min(out, alone, key=lambda kinds: sum(n for _, n in kinds))
 
 
 def intervals(kinds: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,6 +194,7 @@ def intervals(kinds: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarra
 
 def pack(documents: DataFrame, *, length: int = LENGTH, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset. length is below 2**20."""
+    small_batches(documents.sparkSession)
     made = pieces(documents, length, path, with_ids).transform(stored)
     histogram = np.zeros(length + 1, np.int64)
     for r in made.groupBy("length").agg(F.count("*").alias("n")).collect():
