@@ -36,7 +36,7 @@ PER_CLASS = 6000
 THRESHOLD = 0.7
 #: Of a lexicon entry: its most rows of clean texts for each toxic one, and the chance that so many rows, were they drawn at random, all were toxic.
 IMPURE, CHANCE = 0.02, 1e-5
-STEM, ENDINGS = 4, 5
+STEM, LONGEST, ENDINGS = 4, 12, 5
 
 # Quotation marks, verbs and nouns of reporting, and words of address, in four languages.
 OPENING = "\"'“„«‘‹"
@@ -58,18 +58,23 @@ def learn_lexicon(counts: list[tuple[str, int, int, int]], share: float) -> list
 
     Words and stems of toxic texts; a stem takes in the words that begin with it. share: the sample's share of toxic rows."""
     least = max(5, math.ceil(math.log(CHANCE) / math.log(min(max(share, 1e-6), 0.9))))
-    stems: list[str] = []
     nodes: dict[str, list[int]] = {}
-    for word, toxic, clean, places in counts:
-        for n in range(STEM, min(len(word), 12) + 1):
-            node = nodes.setdefault(word[:n], [0, 0, 0, 0, 0])
-            for k, x in enumerate((toxic, clean, places)):
-                node[k] += x
-            node[3] += places > 1
-            node[4] = max(node[4], places)
+    for word, toxic, _, places in counts:
+        for n in range(STEM, min(len(word), LONGEST) + 1) if toxic else ():
+            node = nodes.setdefault(word[:n], [0, 0, 0, 0])
+            node[0] += toxic
+            node[1] += places
+            node[2] += places > 1
+            node[3] = max(node[3], places)
+    nodes = {p: x for p, x in nodes.items() if x[1] >= least and x[2] >= ENDINGS and x[3] < 0.5 * x[1]}
+    free = dict.fromkeys(nodes, 0)
+    for word, _, clean, _ in counts:
+        for n in range(STEM, min(len(word), LONGEST) + 1) if clean else ():
+            if word[:n] in free:
+                free[word[:n]] += clean
+    stems: list[str] = []
     for p in sorted(nodes, key=lambda p: (len(p), p)):
-        toxic, clean, places, endings, most = nodes[p]
-        if places >= least and clean <= IMPURE * toxic and endings >= ENDINGS and most < 0.5 * places and not p.startswith(tuple(stems)):
+        if free[p] <= IMPURE * nodes[p][0] and not p.startswith(tuple(stems)):
             stems.append(p)
     words = [w for w, toxic, clean, places in counts if places >= least and clean <= IMPURE * toxic and len(w) >= 3 and not w.startswith(tuple(stems))]
     return [*((s, True) for s in sorted(stems)), *((w, False) for w in sorted(words))]
@@ -160,8 +165,9 @@ def sums(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-#: What a misspelt term counts for, until the sample shows that clean texts have such words (the last column).
-MISSPELT = 0.9
+#: What a misspelt term counts for, until the sample shows that clean texts have such words (the last column): less than a
+#: term as spelt, so that a single word that may be another one doesn't settle it.
+MISSPELT = 0.6
 
 
 def columns(s: np.ndarray) -> np.ndarray:
