@@ -30,24 +30,34 @@ def page_count(pages: Column, chunk_count: Column) -> Column:
     return F.when(F.coalesce(pages, F.lit("N/A")).isin("N/A", ""), F.coalesce(chunk_count, F.lit(0))).otherwise(F.size(F.split(pages, ",", -1)))
 
 
+#: Rows of a source that are ranked at first; up to so many Spark takes a group's first rows before it shuffles them.
+ROUNDS = 1000
+
+
 def sample(chunks: DataFrame, budget: int | None = None) -> DataFrame:
     """(round, source, piece): sources in turn give their next chunk until the pieces reach the budget; the last may go beyond it.
 
-    chunks: source, page, chunk_index, page_content. A source's first piece begins with its name. A round takes a chunk of
-    every source that has one left, so no chunk whose index within its source is past the budget can be in the sample, and
-    each source's first rounds are found by a limit within the group before the rounds are ordered. The running sum then
-    meets in one task, but only over rows that the budget can reach: sources come in order, and a piece has a character or more."""
-    limit = SETTINGS.sample_chars if budget is None else budget
+    chunks: source, page, chunk_index, page_content. A source's first piece begins with its name; equal places go by the text's hash.
+    Only lengths are ranked. A piece has a character at least, so no more pieces than the budget's characters can be taken: the
+    running sum meets in one task over so many rows at most, and their texts are then fetched by a broadcast of their keys."""
+    limit = max(SETTINGS.sample_chars if budget is None else budget, 0)
     rows = chunks.where(F.coalesce(F.length("page_content"), F.lit(0)) > 0)
-    rows = rows.select(F.coalesce("source", F.lit("Unknown")).alias("source"), page_number(F.col("page")).alias("page"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "page_content")
-    own = Window.partitionBy("source").orderBy("page", "chunk_index", "page_content")
-    turns = rows.withColumn("round", F.row_number().over(own)).where(F.col("round") <= limit)
+    rows = rows.select(F.coalesce("source", F.lit("Unknown")).alias("source"), page_number(F.col("page")).alias("page"), F.coalesce("chunk_index", F.lit(0)).alias("i"), F.md5("page_content").alias("name"), "page_content")
     head = F.when(F.col("round") == 1, F.concat(F.lit("--- "), basename(F.col("source")), F.lit(" ---\n"))).otherwise("")
-    pieces = turns.select("round", "source", F.concat(head, F.col("page_content"), F.lit("\n")).alias("piece"))
-    # The budget is met by its number of pieces at the latest, as each has a character.
-    first = pieces.orderBy("round", "source").limit(max(limit, 0))
-    before = F.sum(F.length("piece")).over(Window.orderBy("round", "source").rowsBetween(Window.unboundedPreceding, -1))
-    return first.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < limit).drop("__before")
+    own = Window.partitionBy("source").orderBy("page", "i", "name")
+    ranked = rows.select("source", "page", "i", "name", F.length("page_content").alias("n")).withColumn("round", F.row_number().over(own))
+
+    def first(rounds: int) -> DataFrame:
+        return ranked.where(F.col("round") <= rounds).withColumn("n", F.col("n") + F.length(head) + 1).orderBy("round", "source").limit(limit)
+
+    taken = first(min(limit, ROUNDS))
+    if limit > ROUNDS and (taken.agg(F.sum("n")).first()[0] or 0) < limit:
+        taken = first(limit)
+    before = F.sum("n").over(Window.orderBy("round", "source").rowsBetween(Window.unboundedPreceding, -1))
+    # Equal rows have equal keys: one of them is fetched for each of their rounds.
+    keys = taken.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < limit).select("source", "page", "i", "name", "round")
+    texts = rows.join(F.broadcast(keys), ["source", "page", "i", "name"]).dropDuplicates(["source", "round"])
+    return texts.select("round", "source", F.concat(head, F.col("page_content"), F.lit("\n")).alias("piece"))
 
 
 def sample_text(chunks: DataFrame, budget: int | None = None) -> DataFrame:

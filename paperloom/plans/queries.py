@@ -510,7 +510,7 @@ def metadata_clean(spark, sf_dir):
     return events.select("event_id", F.array_join(entries, ",").alias("entries"), T.page_number(page).cast("bigint").alias("page"))
 
 
-@query("SELECT source, sum(n) AS n FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source UNION ALL SELECT source, count(*) FROM documents WHERE lang <> 'en' GROUP BY source) GROUP BY source")
+@query("SELECT source, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source UNION ALL SELECT source, count(*) FROM documents WHERE lang <> 'en' GROUP BY source) GROUP BY source")
 def chunk_union(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     parts = [documents.where("lang = 'en'").select("source", "text"), documents.where("lang <> 'en'").select("source", "lang")]
