@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PER_BUCKET = 2000
+PER_BUCKET = 1000
 
 
 def ranked(rows: DataFrame, group: list[str], by: Column, ties: list[str], name: str = "rank", of: str | None = None) -> DataFrame:
     """rows with their rank from 0 within the group, in the order of ``by`` (0 to below 1, evenly spread), then of ``ties``.
 
-    by is cut into buckets of some thousand rows; a group's bucket counts, summed up, give each bucket its first rank,
+    by is cut into buckets of about a thousand rows; a group's bucket counts, summed up, give each bucket its first rank,
     and ranks are only counted within a bucket. of: a column for the group's rows, too. Read twice: rows should be stored."""
     n = rows.count()
     buckets = max(1, -(-n // PER_BUCKET))
