@@ -15,7 +15,10 @@ SHORT = 100
 
 def line_type(line: Column) -> Column:
     """heading, list_item, paragraph, or blank."""
-    bare = strip(line)
+    return _bare_type(strip(line))
+
+
+def _bare_type(bare: Column) -> Column:
     heading = (F.length(bare) < SHORT) & (is_upper(bare) | F.endswith(bare, F.lit(":")) | bare.rlike(NUMBERED))
     return F.when(bare == "", "blank").when(heading, "heading").when(bare.rlike(ITEM), "list_item").otherwise("paragraph")
 
@@ -23,7 +26,7 @@ def line_type(line: Column) -> Column:
 def with_blocks(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with blocks: array of (content_type, text). Lines of one type in a row are a block; a blank line ends it."""
     lines = F.when(strip(F.coalesce(F.col(text), F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n", -1))
-    step = texts.withColumn("__lines", lines).withColumn("__types", F.transform("__lines", line_type))
+    step = texts.withColumn("__lines", lines).withColumn("__types", F.transform(F.transform("__lines", strip), _bare_type))
     begins = lambda t, i: (t != "blank") & ((i == 0) | (F.get("__types", i - 1) != t))
     marks = F.transform("__types", lambda t, i: F.when(begins(t, i), i))
     step = step.withColumn("__starts", F.array_compact(marks))
