@@ -14,7 +14,8 @@ samples make two texts of similarity 0.8 meet in a band but for about 3 in 10 mi
 
 Within a band's bucket every text is compared with the bucket's least (its leader): a star, not all pairs.
 What the stars leave apart in a bucket is then compared by its samples in blocks of bounded size, and each
-text's likeliest partner of another class is verified, in rounds, until a round links nothing more. Verifying
+text's likeliest partners of other classes are verified, in rounds, until no pair is left that wasn't tried: one
+partner each in the first round, four times as many in each later one. Verifying
 computes the weighted Jaccard similarity of the whole texts; a pair whose sets of shingles, unweighted, are as
 similar is linked too, so that weights lose no link. Leaders with many texts are salted. Classes are
 the connected components, found by alternating stars of joins and minima; nothing but the frequent words goes
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .sizes import if_small, release, small_batches, stored, stored_few
 from .words import U, Words, grams, mix, slices, words_of
@@ -242,13 +243,18 @@ def components(edges: DataFrame) -> DataFrame:
     return new.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def partners(rest: DataFrame, agree: float) -> DataFrame:
-    """rest: (key, node, label, sample) of buckets that hold several classes. (a, b): of each text the likeliest partner of another
-    class in its bucket whose samples agree by so much; texts meet in blocks of bounded size."""
+def partners(rest: DataFrame, agree: float, failed: DataFrame | None = None, most: int = 1) -> DataFrame:
+    """rest: (key, node, label, sample) of buckets that hold several classes. (a, b): of each text the ``most`` likeliest partners of other
+    classes in its buckets whose samples agree by so much, without the pairs (a, b) of failed; texts meet in blocks of bounded size."""
+    if failed is None:
+        rest = rest.withColumn("seen", F.array().cast("array<bigint>"))
+    else:
+        # A pair is kept with its greater id, so that the leader of many has no long list.
+        rest = rest.join(failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("seen")), "node", "left")
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.select("key", "node", "label", "sample", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "sample").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = placed.select("key", "node", "label", "sample", "seen", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "sample", "seen").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
@@ -256,27 +262,34 @@ def partners(rest: DataFrame, agree: float) -> DataFrame:
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for row in zip(*columns, strict=True):
                 if row[:3] != now:
-                    yield from _best(group, agree)
+                    yield from _best(group, agree, most)
                     now, group = row[:3], []
                 group.append(row[3:])
-        yield from _best(group, agree)
+        yield from _best(group, agree, most)
 
-    pairs = dealt.mapInArrow(run, "node bigint, other bigint, agree double")
-    best = pairs.groupBy("node").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
+    pairs = dealt.mapInArrow(run, "node bigint, other bigint, agree double").groupBy("node", "other").agg(F.max("agree").alias("agree"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), F.desc("other")))
+    best = pairs.withColumn("place", place).where(F.col("place") <= most)
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _best(group: list[tuple[int, int, bytes]], agree: float) -> Iterator[pa.RecordBatch]:
+def _best(group: list[tuple[int, int, bytes, list[int] | None]], agree: float, most: int) -> Iterator[pa.RecordBatch]:
     if len(group) < 2:
         return
     node, label = np.array([g[0] for g in group]), np.array([g[1] for g in group])
     x = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), SAMPLES)
+    at, seen = {g[0]: i for i, g in enumerate(group)}, [[] for _ in group]
+    for i, g in enumerate(group):
+        for k in (at[a] for a in g[3] or () if a in at):
+            seen[i].append(k)
+            seen[k].append(i)
     out = []
     for i in range(len(group)):
         share = ((x == x[i]) & (x[i] != 0)).sum(axis=1) / max(1, int((x[i] != 0).sum()))
         share[label == label[i]] = -1
-        k = int(share.argmax())
-        if share[k] >= agree:
+        share[seen[i]] = -1
+        likely = np.flatnonzero(share >= agree)
+        for k in likely[np.lexsort([node[likely], share[likely]])][::-1][:most]:
             out.append((int(node[i]), int(node[k]), float(share[k])))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(3)], names=["node", "other", "agree"])
@@ -301,20 +314,24 @@ def classes(documents: DataFrame, *, similar: float = SIMILAR, frequent: int = F
     # Of a pair the lesser id always comes first.
     tried = hits.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().transform(stored_few)
     edges = verified(held, tried, known, similar).transform(stored_few)
+    failed = tried.join(edges, ["a", "b"], "left_anti").transform(stored_few)
+    labels, most = components(edges).transform(stored_few), 1
     while True:
-        labels = components(edges).transform(stored_few)
         placed = hits.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         rest = placed.join(split, "key", "left_semi")
         # A text has a row for each level; the one that holds the bucket is meant.
         rest = rest.join(samples_of, "node").where(F.array_contains("keys", F.col("key"))).select("key", "node", "label", "sample")
-        more = partners(rest, similar - 0.25).join(tried, ["a", "b"], "left_anti").transform(stored_few)
-        new = verified(held, more, known, similar).transform(stored_few) if not more.isEmpty() else more
-        if new.isEmpty():
+        more = partners(rest, similar - 0.25, failed, most).transform(stored_few)
+        if more.isEmpty():
             break
-        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.select("a", "b"))
-        tried = tried.unionByName(more).transform(stored_few)
-        del placed, split, rest, more, new, labels
+        new = verified(held, more, known, similar).transform(stored_few)
+        failed = failed.unionByName(more.join(new, ["a", "b"], "left_anti")).transform(stored_few)
+        if not new.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.select("a", "b"))).transform(stored_few)
+        # Few are tried while links are made, more where they fail, so that there are few rounds.
+        most *= 4
+        del placed, split, rest, more, new
         release(documents.sparkSession)
     nodes = names.join(labels, "node", "left").select("print", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
     return main.join(nodes, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_of", "doc_id")).alias("copy_of"))

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import minhash as m
+from paperloom.llm.words import buffers
 
 from .test_words import WORD, lowered
 
@@ -88,3 +90,38 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     rest = spark.createDataFrame([(7, i, i, sample(1 + i // 10)) for i in range(20)], "key bigint, node bigint, label bigint, sample binary")
     pairs = {(r.a, r.b) for r in m.partners(rest, 0.5).collect()}
     assert {x for p in pairs for x in p} == set(range(20)) and all(a < b and a // 10 == b // 10 for a, b in pairs)
+
+
+def test_families_around_the_threshold_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for f in range(12):
+        base = [f"w{f}x{i}" for i in range(230)]
+        for _ in range(25):
+            copy = list(base)
+            for k in rng.sample(range(230), 3):
+                copy[k] = f"n{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    docs = made(spark, texts)
+    words, idf = m.frequent_words(docs)
+    w = m.words_of(*buffers(pa.array(texts)))
+    each = [m.shingles(w, t, m.weights(w.hash, words, idf)) for t in range(len(texts))]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and m._jaccard((*each[i], each[i][1].sum()), (*each[j], each[j][1].sum())) >= 0.8:
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    assert 50 < len(set(label)) < 250
+    assert [r.class_id for r in m.classes(docs).orderBy("doc_id").collect()] == label
+
+
+def test_failed_pairs_make_way_for_the_next(spark):
+    sample = lambda k: np.array([1] * (64 - k) + [100 + k] * k, np.uint16).tobytes()
+    rest = spark.createDataFrame([(7, i, i, sample(i)) for i in range(4)], "key bigint, node bigint, label bigint, sample binary")
+    failed, pairs = [], [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    while got := [(r.a, r.b) for r in m.partners(rest, 0.5, spark.createDataFrame(failed, "a bigint, b bigint")).collect()]:
+        assert not set(got) & set(failed)
+        failed += got
+    assert sorted(failed) == pairs
+    assert len(m.partners(rest, 0.5, None, 3).collect()) == len(pairs)
