@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier, by DataFrame functions alone.
 
 Paragraphs are lines. Those with a cue word are classified by a multinomial logistic regression over word
-n-grams into licence families and an unknown class; lines without a cue are unknown. The model is fitted on the
+n-grams into licence families and an unknown class; lines without a cue are unknown. The
+cues hold every licence's names, so that each notice the model is fitted on has one. The model is fitted on the
 driver from notices below, never from the corpus; its temperature is fitted on notices held out, so that a
 probability below ``THRESHOLD`` can be read as unknown. A prediction is confirmed if the line has
 enough of the n-grams of one of the family's notices.
@@ -27,7 +28,7 @@ from .sizes import if_small, stored
 THRESHOLD, CONFIRM = 0.6, 0.6
 UNKNOWN = "unknown"
 TOKEN = "([a-z0-9]+(?:[.-][a-z0-9]+)*)"
-CUE = "(?i)licen[cs]|copyright|\\(c\\)|©|creative commons|\\bcc[ -]|\\bcc0|rights reserved|warrant|redistribut|permission is hereby|permission to use|public domain|spdx|\\b[la]?gpl"
+WORDS = "(?i)licen[cs]|copyright|\\(c\\)|©|creative commons|\\bcc[ -]|\\bcc0|rights reserved|warrant|redistribut|permission is hereby|permission to use|public domain|spdx|\\b[la]?gpl"
 
 # Names and notices of the licence families. (Long texts are cut to the sentences that tell them apart.)
 FRAMES = [
@@ -70,6 +71,21 @@ OTHERS = [
 ]
 
 
+def _cue() -> str:
+    """WORDS, the fixed words before the name in each frame, and each name that WORDS doesn't hold, whatever stands between its parts.
+    A name that may be a common word (German "mit") counts in capitals, or in any case after a frame's words."""
+    heads = {re.sub(" the$", "", frame.split("{")[0].strip()).lower() for frame in FRAMES}
+    names = {name for of in NAMES.values() for name in of if not re.search(WORDS, name)}
+    parts = lambda x: "[^a-z0-9]+".join(re.escape(t) for t in re.findall("[a-z0-9.]+", x.lower()))
+    plain = sorted(name for name in names if name.isalpha())
+    others = {*map(parts, names.difference(plain)), *(parts(head) for head in heads if not re.search(WORDS, head))}
+    return f"{WORDS}|\\b(?:{'|'.join(sorted(others))})\\b|(?-i:\\b(?:{'|'.join(plain)})\\b)"
+
+
+#: A line that matches is classified. Every notice of NAMES and NOTICES matches.
+CUE = _cue()
+
+
 def ngrams_of(line: str) -> list[str]:
     """The distinct n-grams of one to three words of a line, in order."""
     words = re.findall(TOKEN, line.lower())

@@ -158,6 +158,17 @@ def test_licence_scan(spark, odd, none):
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).count() == 0
 
 
+def test_every_notice_has_a_cue(spark):
+    from pyspark.sql import functions as F
+
+    texts = [*(t for _, t in licences.notices()), "available under apache 2.0", "released under mit", "Wir kommen mit dem Zug."]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("cued", F.col("text").rlike(licences.CUE)).collect()
+    assert [r.text for r in rows if not r.cued] == ["Wir kommen mit dem Zug."]
+    lines = {"MIT": "Released under the MIT.", "Apache-2.0": "Available under Apache-2.0.", "BSD": "This project is distributed under the terms of the BSD-3-Clause.", "MPL-2.0": "Available under MPL 2.0."}
+    docs = spark.createDataFrame(list(enumerate(lines.values())), "doc_id bigint, text string")
+    assert [r.licences for r in licences.scan(docs).orderBy("doc_id").collect()] == list(lines)
+
+
 def test_chats(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "<|c"), (3, 0, "user", "a"), (4, 0, "user", "z"), (5, 0, "user", "z"), (6, 1, "assistant", "b"), (6, 0, "user", "x"), (7, None, None, None), (None, 0, "user", "q"), (8, 0, "", "")]
     rows = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()}
