@@ -12,14 +12,17 @@ over. ``m`` depends on the text's total weight by powers of two, and a text with
 sampled on both sides of it (a little more than a fifth, really), as two texts of similarity 0.8 differ by a fifth at most. 21 bands of three
 samples make two texts of similarity 0.8 meet in a band but for about 3 in 10 million cases.
 
-Within a band's bucket every text is compared with the bucket's least (its leader): a star, not all pairs.
-What the stars leave apart in a bucket is then compared by its samples in blocks of bounded size, and each
-text's likeliest partners of other classes are verified, in rounds, until no pair is left that wasn't tried: one
-partner each in the first round, four times as many in each later one. Verifying
-computes the weighted Jaccard similarity of the whole texts; a pair whose sets of shingles, unweighted, are as
-similar is linked too, so that weights lose no link. Leaders with many texts are salted. Classes are
-the connected components, found by alternating stars of joins and minima; nothing but the frequent words goes
-to the driver.
+Within a band's bucket every text is first compared with the bucket's leader: a star, not all pairs. The leader is
+the text with the most company over all its buckets, as a text with few edits of its own is near the most others.
+Leaders with many texts are salted. Where a star leaves several classes, the bucket's other texts then meet in
+blocks of bounded size, once: all similarities of a block come from one product of its incidence matrices, and only
+links that join two classes leave it. Members of the leader's class don't meet one another, so that the rows of a
+bucket grow with its texts as long as what the star leaves apart fits a block. After that every pair of texts that
+shares a bucket was compared or is in one class; there are no rounds and no pair is left out.
+
+Verifying computes the weighted Jaccard similarity of the whole texts; a pair that shares a bucket and whose sets of
+shingles, unweighted, are as similar is linked too. Classes are the connected components, found by alternating
+stars of joins and minima; nothing but the frequent words goes to the driver.
 
 Defined cases: equal word sequences are copies whatever else the texts hold; a text without words (null and
 empty too) is a class of its own; a null id has a null class; rows that repeat an id are one text more of it.
@@ -33,15 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .sizes import if_small, release, small_batches, stored, stored_few
+from .sizes import discard, if_small, small_batches, stored, stored_few
 from .words import U, Words, grams, mix, slices, words_of
 
 SHINGLE, SIMILAR, MARGIN = 5, 0.8, 0.75
 SAMPLES, ROWS, BANDS = 64, 3, 21
 FREQUENT = 1000
-SALT, BLOCK = 256, 512
+SALT = 256
 #: The most ids of texts that share buckets, to be broadcast; more are joined by a shuffle.
 IN_BUCKETS = 500_000
 
@@ -90,15 +93,21 @@ def _counts(pair: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def shingles(w: Words, t: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of a text and their weights; idf: of each word."""
+    s, mean, count = _counted(w, t, idf)
+    return s, mean * count
+
+
+def _counted(w: Words, t: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles, the weight of one occurrence of each, and their counts."""
     a, b = int(w.first[t]), int(w.first[t + 1])
     n = min(SHINGLE, b - a)
     if n == 0:
-        return np.zeros(0, U), np.zeros(0)
+        return np.zeros(0, U), np.zeros(0), np.zeros(0, np.int64)
     g = grams(w.hash[a:b], n)[: b - a - n + 1]
     total = np.concatenate([[0], np.cumsum(idf[a:b])])
     mean = (total[n:] - total[:-n]) / n
     s, first, count = np.unique(g, return_index=True, return_counts=True)
-    return s, mean[first] * count
+    return s, mean[first], count
 
 
 def weights(h: np.ndarray, words: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -149,7 +158,8 @@ def bands(sample: np.ndarray, level: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, main, print, keys, sample) of each text and level. main: one row of each document; print: of its words, null without words."""
+    """(doc_id, main, print, keys, size) of each text and level. main: one row of each document; print: of its words, null without
+    words; keys: its buckets; size: its words."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +173,16 @@ def sketches(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
             rows, ids = [], part.column(0).to_pylist()
             for t, n in enumerate(w.count.tolist()):
                 if not n:
-                    rows.append((ids[t], True, None, [], None))
+                    rows.append((ids[t], True, None, [], 0))
                     continue
                 s, weight = shingles(w, t, idf)
                 name = prints[t].tobytes()
                 for k, level in enumerate(levels(float(weight.sum()))):
-                    x = samples(s, weight, level)
-                    rows.append((ids[t], k == 0, name, bands(x, level).view(np.int64), (x & U(0xFFFF)).astype(np.uint16).tobytes()))
-            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "main", "print", "keys", "sample"])
+                    rows.append((ids[t], k == 0, name, bands(samples(s, weight, level), level).view(np.int64), n))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "main", "print", "keys", "size"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, main boolean, print binary, keys array<bigint>, sample binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, main boolean, print binary, keys array<bigint>, size bigint")
 
 
 def verified(documents: DataFrame, pairs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> DataFrame:
@@ -205,10 +214,9 @@ def verified(documents: DataFrame, pairs: DataFrame, frequent: tuple[np.ndarray,
                     held.append((s, weight, weight.sum()))
                     continue
                 best = max((_jaccard(x, (s, weight, weight.sum())) for x in held), default=0.0)
-                if best >= similar:
+                if best >= similar - ROUNDING:
                     found.append((a[t], node[t], best))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+            yield from _edges(found)
 
     return sorted_.mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -237,62 +245,115 @@ def components(edges: DataFrame) -> DataFrame:
         # It is done when every edge goes to a node that has no lesser one, and every node has one edge.
         if new.agg(F.count("*") - F.count_distinct("a")).first()[0] == 0 and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
+        discard(edges)
         edges = new
-        del both, least, large, low, small
-        release(edges.sparkSession)
     return new.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def partners(rest: DataFrame, agree: float, failed: DataFrame | None = None, most: int = 1) -> DataFrame:
-    """rest: (key, node, label, sample) of buckets that hold several classes. (a, b): of each text the ``most`` likeliest partners of other
-    classes in its buckets whose samples agree by so much, without the pairs (a, b) of failed; texts meet in blocks of bounded size."""
-    if failed is None:
-        rest = rest.withColumn("seen", F.array().cast("array<bigint>"))
-    else:
-        # A pair is kept with its greater id, so that the leader of many has no long list.
-        rest = rest.join(failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("seen")), "node", "left")
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.select("key", "node", "label", "sample", "seen", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "sample", "seen").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+#: Of a block of texts that are compared with one another: its most texts and words (one text may have more).
+BLOCK_TEXTS, BLOCK_WORDS = 2048, 500_000
+
+
+def crossed(rest: DataFrame, documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> DataFrame:
+    """rest: (key, node, label, home, size), texts of buckets; home: of the leader's class; size: words. (a, b, similarity) of links between
+    the texts of a bucket, as many as join its classes: all pairs are compared but those of one label.
+
+    Those at home and the others are dealt to blocks of their own; blocks meet in pairs, but no two of those at home."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_TEXTS), F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / BLOCK_WORDS)).cast("int")
+    sizes = rest.groupBy("key").agg(blocks(F.lit(True)).alias("all"), blocks(~F.col("home")).alias("apart"), blocks(F.col("home")).alias("homes"))
+    sizes = sizes.select("key", F.when(F.col("all") == 1, 1).otherwise(F.col("apart")).alias("apart"), F.when(F.col("all") == 1, 0).otherwise(F.col("homes")).alias("homes"))
+    within = F.col("home") & (F.col("homes") > 0)
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    placed = rest.join(sizes, "key").withColumn("own", F.when(within, F.col("apart") + block(F.greatest("homes", F.lit(1)))).otherwise(block(F.col("apart"))))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("apart")).otherwise(F.col("apart") + F.col("homes")) - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    texts = dealt.join(documents.select(F.col("doc_id").alias("node"), "text"), "node").select("key", "i", "j", "own", "node", "label", "text")
+    met = texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for row in zip(*columns, strict=True):
-                if row[:3] != now:
-                    yield from _best(group, agree, most)
-                    now, group = row[:3], []
-                group.append(row[3:])
-        yield from _best(group, agree, most)
-
-    pairs = dealt.mapInArrow(run, "node bigint, other bigint, agree double").groupBy("node", "other").agg(F.max("agree").alias("agree"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), F.desc("other")))
-    best = pairs.withColumn("place", place).where(F.col("place") <= most)
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def _best(group: list[tuple[int, int, bytes, list[int] | None]], agree: float, most: int) -> Iterator[pa.RecordBatch]:
-    if len(group) < 2:
-        return
-    node, label = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-    x = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), SAMPLES)
-    at, seen = {g[0]: i for i, g in enumerate(group)}, [[] for _ in group]
-    for i, g in enumerate(group):
-        for k in (at[a] for a in g[3] or () if a in at):
-            seen[i].append(k)
-            seen[k].append(i)
-    out = []
-    for i in range(len(group)):
-        share = ((x == x[i]) & (x[i] != 0)).sum(axis=1) / max(1, int((x[i] != 0).sum()))
-        share[label == label[i]] = -1
-        share[seen[i]] = -1
-        likely = np.flatnonzero(share >= agree)
-        for k in likely[np.lexsort([node[likely], share[likely]])][::-1][:most]:
-            out.append((int(node[i]), int(node[k]), float(share[k])))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(3)], names=["node", "other", "agree"])
+        words, known = shared.value
+        now, held = None, []
+        for part, data, offsets in slices(batches, "text"):
+            w = words_of(data, offsets)
+            idf = weights(w.hash, words, known)
+            key, i, j, own, node, label = (part.column(k).to_pylist() for k in range(6))
+            for t in range(part.num_rows):
+                if (key[t], i[t], j[t]) != now:
+                    yield from _edges(links(held, similar))
+                    now, held = (key[t], i[t], j[t]), []
+                held.append((own[t] == i[t], own[t] == j[t], node[t], label[t], *_counted(w, t, idf)))
+        yield from _edges(links(held, similar))
+
+    return met.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def _edges(found: list[tuple[int, int, float]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+
+def links(block: list[tuple], similar: float) -> list[tuple[int, int, float]]:
+    """block: of each text whether it stands on the one side and on the other, its node, label, shingles, their weights and counts.
+
+    Links between the two sides that join labels, each with the similarity: a spanning forest of them, found by comparing all pairs.
+    An occurrence of a shingle is an element; the weight two texts share is a product of their incidences. Elements that many texts
+    have are multiplied as a dense matrix, the others gathered by their lists of texts."""
+    block = sorted(block, key=lambda x: not x[0])
+    label = np.array([x[3] for x in block])
+    if len(block) < 2 or (label == label[0]).all():
+        return []
+    n, left, right, node = len(block), np.array([x[0] for x in block]), np.array([x[1] for x in block]), [x[2] for x in block]
+    text = np.repeat(np.arange(n), [len(x[4]) for x in block])
+    s, weight, count = (np.concatenate([x[k] for x in block]) for k in (4, 5, 6))
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    text, weight, element = np.repeat(text, count), np.repeat(weight, count), np.repeat(s, count)
+    element = np.where(nth > 0, mix(element + nth.astype(U) * U(0xA0761D6478BD642F)), element)
+    # Of each entry its weight, and 1 for a shingle's first occurrence, so that the second column makes the plain similarity.
+    worth = np.stack([weight, nth == 0], axis=1).astype(float)
+    total = np.stack([np.bincount(text, worth[:, k], n) for k in (0, 1)])
+    _, which, often = np.unique(element, return_inverse=True, return_counts=True)
+    keep = often[which] > 1
+    text, worth, which = text[keep], worth[keep], which[keep]
+    dense = often > max(16, n // 16)
+    place = np.cumsum(dense) - 1
+    packed = dense[which]
+    matrix, each = np.zeros((n, int(dense.sum())), np.float32), np.zeros((2, int(dense.sum())), np.float32)
+    matrix[text[packed], place[which[packed]]] = 1
+    each[:, place[which[packed]]] = worth[packed].T
+    text, worth, which = text[~packed], worth[~packed], which[~packed]
+    order = np.argsort(which, kind="stable")
+    members, first = text[order], np.searchsorted(which[order], np.arange(len(often) + 1))
+    cost = np.cumsum(2 * n + np.bincount(text, often[which], n))
+    out, begin, end = [], 0, int(left.sum())
+    while begin < end:
+        stop = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + CHUNK, "right")))
+        stop = min(stop, end)
+        lo, hi = np.searchsorted(text, [begin, stop])
+        entry, at = _expanded(first[which[lo:hi]], often[which[lo:hi]])
+        flat = (text[lo:hi][entry] - begin) * n + members[at]
+        like = np.zeros((stop - begin, n))
+        for k in (0, 1):
+            both = (matrix[begin:stop] * each[k]) @ matrix.T + np.bincount(flat, worth[lo:hi, k][entry], (stop - begin) * n).reshape(-1, n)
+            like = np.maximum(like, both / np.maximum(total[k][begin:stop, None] + total[k][None, :] - both, 1e-12))
+        near = (like >= similar - ROUNDING) & right
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            new = np.flatnonzero(near[r] & (label != label[begin + r]))
+            for k, x in dict(zip(label[new].tolist(), new.tolist(), strict=True)).items():
+                out.append((node[begin + r], node[x], float(like[r, x])))
+                label[label == k] = label[begin + r]
+        begin = stop
+    return out
+
+
+#: Pairs and entries that a product takes at a time, and the error that its sums may have.
+CHUNK, ROUNDING = 1 << 21, 1e-6
+
+
+def _expanded(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some runs of n places its index, and the places."""
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
 def classes(documents: DataFrame, *, similar: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
@@ -304,36 +365,30 @@ def classes(documents: DataFrame, *, similar: float = SIMILAR, frequent: int = F
     main = made.where("main").select("doc_id", "print")
     names = main.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")).transform(stored)
     kept = made.where("print is not null").join(names.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = kept.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    hits = buckets.join(shared, "key").select("key", "node", "leader").distinct().transform(stored_few)
-    # Texts and samples of what shares a bucket are stored once; rounds don't read the others again.
+    buckets = kept.select(F.col("doc_id").alias("node"), "size", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count("*").alias("n")).where("least < last").select("key", "n")
+    met = buckets.join(shared, "key").groupBy("key", "node").agg(F.max("size").alias("size"), F.max("n").alias("n")).transform(stored_few)
+    # The order by company is one over all buckets, so that two texts meet as leader and member in one way only.
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = met.join(company, "node").withColumn("rank", F.struct("company", (-F.col("node")).alias("first")))
+    leaders = ranked.groupBy("key").agg((-F.max("rank")["first"]).alias("leader"))
+    hits = met.join(leaders, "key").select("key", "node", "size", "leader").transform(stored_few)
+    # Texts that share a bucket are stored once.
     inside = if_small(hits.select(F.col("node").alias("doc_id")).distinct().transform(stored), IN_BUCKETS)
     held = documents.join(inside, "doc_id", "left_semi").transform(stored)
-    samples_of = kept.join(inside, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "sample", "keys").transform(stored)
-    # Of a pair the lesser id always comes first.
     tried = hits.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().transform(stored_few)
     edges = verified(held, tried, known, similar).transform(stored_few)
-    failed = tried.join(edges, ["a", "b"], "left_anti").transform(stored_few)
-    labels, most = components(edges).transform(stored_few), 1
-    while True:
-        placed = hits.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        rest = placed.join(split, "key", "left_semi")
-        # A text has a row for each level; the one that holds the bucket is meant.
-        rest = rest.join(samples_of, "node").where(F.array_contains("keys", F.col("key"))).select("key", "node", "label", "sample")
-        more = partners(rest, similar - 0.25, failed, most).transform(stored_few)
-        if more.isEmpty():
-            break
-        new = verified(held, more, known, similar).transform(stored_few)
-        failed = failed.unionByName(more.join(new, ["a", "b"], "left_anti")).transform(stored_few)
-        if not new.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.select("a", "b"))).transform(stored_few)
-        # Few are tried while links are made, more where they fail, so that there are few rounds.
-        most *= 4
-        del placed, split, rest, more, new
-        release(documents.sparkSession)
+    labels = components(edges).transform(stored_few)
+    named = hits.where("node <> leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # A leader has met its whole bucket; what is left are buckets whose other texts are of several classes.
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    home = labels.select(F.col("node").alias("leader"), F.col("label").alias("of"))
+    rest = named.join(split, "key", "left_semi").join(home, "leader", "left").select("key", "node", "label", "size", (F.col("label") == F.coalesce("of", "leader")).alias("home")).transform(stored_few)
+    more = crossed(rest, held, known, similar).transform(stored_few)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b"))).transform(stored_few)
     nodes = names.join(labels, "node", "left").select("print", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
+    discard(met, hits, held, tried, edges, rest, more)
     return main.join(nodes, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_of", "doc_id")).alias("copy_of"))
 
 

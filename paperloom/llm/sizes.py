@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +16,7 @@ def stored(table: DataFrame) -> DataFrame:
     context = table.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return table.checkpoint()
@@ -30,7 +30,6 @@ def stored_few(table: DataFrame) -> DataFrame:
     """table, stored, and read again in as few partitions as its rows need: each one would write files of its own in every
     shuffle that follows. For narrow rows, of which there may be few after a join over many partitions."""
     made = table.transform(stored)
-    release(table.sparkSession)
     return made.coalesce(max(1, -(-made.count() // PART_ROWS)))
 
 
@@ -46,11 +45,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle and checkpoint files of tables that nothing refers to any more. Otherwise the rounds of a
-    loop keep theirs until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more; without this they stay until the application's folder is removed."""
+    for table in tables:
+        plan = table._jdf.logicalPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        name = plan.rdd().getCheckpointFile()
+        if name.isDefined():
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def if_small(table: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -84,44 +84,64 @@ def test_components(spark):
     assert m.components(edges.limit(0)).count() == 0
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK", 4)
-    sample = lambda k: np.full(64, k, np.uint16).tobytes()
-    rest = spark.createDataFrame([(7, i, i, sample(1 + i // 10)) for i in range(20)], "key bigint, node bigint, label bigint, sample binary")
-    pairs = {(r.a, r.b) for r in m.partners(rest, 0.5).collect()}
-    assert {x for p in pairs for x in p} == set(range(20)) and all(a < b and a // 10 == b // 10 for a, b in pairs)
-
-
-def test_families_around_the_threshold_against_brute_force(spark):
+def like(x, y):
+    """Weighted and plain Jaccard similarity of two texts as (shingles, weights of one occurrence, counts)."""
+    a, b = ({k: (w, c) for k, w, c in zip(*(v.tolist() for v in t), strict=True)} for t in (x, y))
+    low = sum(w * min(c, b[k][1]) for k, (w, c) in a.items() if k in b)
+    high = sum(w * c for w, c in [*a.values(), *b.values()]) - low
+    return max(low / high, len(a.keys() & b.keys()) / len(a.keys() | b.keys()))
+
+
+def joined(label, pairs):
+    for i, j in pairs:
+        x, y = sorted((label[i], label[j]))
+        label = [x if k == y else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 200])
+def test_links_of_a_block_against_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    for n, words in ((2, 5), (40, 30), (60, 12), (90, 300)):
+        idf = rng.random(words) + 0.5
+        base = rng.choice(words, words // 2, replace=False)
+        texts = []
+        for _ in range(n):
+            own = np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.5]), rng.integers(0, words, len(base)), base))
+            texts.append((own.astype(np.uint64), idf[own], rng.choice([1, 1, 1, 3], len(own))))
+        start = [i // 2 for i in range(n)]
+        for left, right in ((np.ones(n, bool), np.ones(n, bool)), (np.arange(n) % 2 == 0, np.arange(n) % 2 == 1)):
+            pairs = [(i, j) for i in range(n) for j in range(n) if left[i] and right[j] and i != j and like(texts[i], texts[j]) >= 0.8]
+            found = m.links([(left[i], right[i], i, start[i], *texts[i]) for i in range(n)], 0.8)
+            assert all((a, b) in pairs and abs(like(texts[a], texts[b]) - x) < 1e-5 for a, b, x in found)
+            assert joined(start, [(a, b) for a, b, _ in found]) == joined(start, pairs) and len(found) == len(set(start)) - len(set(joined(start, pairs)))
+
+
+def test_every_pair_of_a_bucket_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_TEXTS", 4)
+    docs = made(spark, [" ".join(f"w{i // 2}x{k}" for k in range(20)) for i in range(40)])
+    rest = spark.createDataFrame([(7, i, i, i % 3 == 0, 20) for i in range(40)], "key bigint, node bigint, label bigint, home boolean, size bigint")
+    got = m.crossed(rest, docs, m.frequent_words(docs)).collect()
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got) == [(i, i + 1) for i in range(0, 40, 2)]
+
+
+@pytest.mark.parametrize("families,members,words,edits", [(12, 25, [230], [3]), (25, 60, [150, 300, 600], [0.010, 0.014, 0.018])])
+def test_families_around_the_threshold_against_brute_force(spark, families, members, words, edits):
     rng = random.Random(11)
     texts = []
-    for f in range(12):
-        base = [f"w{f}x{i}" for i in range(230)]
-        for _ in range(25):
+    for f in range(families):
+        n, share = words[f % len(words)], edits[f % len(edits)]
+        base = [f"w{f}x{i}" for i in range(n)]
+        for _ in range(members):
             copy = list(base)
-            for k in rng.sample(range(230), 3):
+            for k in rng.sample(range(n), share if share >= 1 else round(n * share)):
                 copy[k] = f"n{rng.randrange(10**9)}"
             texts.append(" ".join(copy))
     docs = made(spark, texts)
-    words, idf = m.frequent_words(docs)
+    known, idf = m.frequent_words(docs)
     w = m.words_of(*buffers(pa.array(texts)))
-    each = [m.shingles(w, t, m.weights(w.hash, words, idf)) for t in range(len(texts))]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if label[i] != label[j] and m._jaccard((*each[i], each[i][1].sum()), (*each[j], each[j][1].sum())) >= 0.8:
-                x, y = sorted((label[i], label[j]))
-                label = [x if k == y else k for k in label]
-    assert 50 < len(set(label)) < 250
-    assert [r.class_id for r in m.classes(docs).orderBy("doc_id").collect()] == label
-
-
-def test_failed_pairs_make_way_for_the_next(spark):
-    sample = lambda k: np.array([1] * (64 - k) + [100 + k] * k, np.uint16).tobytes()
-    rest = spark.createDataFrame([(7, i, i, sample(i)) for i in range(4)], "key bigint, node bigint, label bigint, sample binary")
-    failed, pairs = [], [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    while got := [(r.a, r.b) for r in m.partners(rest, 0.5, spark.createDataFrame(failed, "a bigint, b bigint")).collect()]:
-        assert not set(got) & set(failed)
-        failed += got
-    assert sorted(failed) == pairs
-    assert len(m.partners(rest, 0.5, None, 3).collect()) == len(pairs)
+    each = [m._counted(w, t, m.weights(w.hash, known, idf)) for t in range(len(texts))]
+    pairs = [(i, j) for f in range(families) for i in range(f * members, (f + 1) * members) for j in range(f * members, i) if like(each[i], each[j]) >= 0.8]
+    got = [r.class_id for r in m.classes(docs).orderBy("doc_id").collect()]
+    assert all(got[i] == got[j] for i, j in pairs) and got == joined(list(range(len(texts))), pairs) and 1 < len(set(got)) < len(texts)
