@@ -91,7 +91,6 @@ def test_shards(spark, odd, none):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
     mix = Counter((r.shard, r.source) for r in rows)
     assert all(max(mix[s, x] for s in sizes) - min(mix[s, x] for s in sizes) <= 2 for x in "ab")
-    # The same by one sort: ranks within each source, then by fractional rank.
     text = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
     got = sharding.shard(odd).collect()
@@ -99,10 +98,42 @@ def test_shards(spark, odd, none):
     assert max(Counter(r.shard for r in got).values()) <= 2 and sharding.shard(none).count() == 0
 
 
+def test_shards_against_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    # A hot source, a null one, many of a row or two, and rows of one source that repeat an id.
+    sources = ["hot"] * 900 + [None] * 300 + [f"s{i}" for i in range(400)] + [f"t{i // 2}" for i in range(200)]
+    docs = [(i if i % 50 else 0, rng.choice(["", "a", "bb", None]), s) for i, s in enumerate(sources)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    hashes = table.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("h"), F.xxhash64(F.lit(sharding.SEED + 1), "source").alias("u")).collect()
+    by = defaultdict(list)
+    for r in hashes:
+        by[r.source].append(r)
+    order = []
+    for source, rows in by.items():
+        rows.sort(key=lambda r: (r.h, r.doc_id, zlib.crc32(r.text.encode()), len(r.text)))
+        order += [((k + (r.u % (1 << 30) + 0.5) / (1 << 30)) / len(rows), source is not None, source or "", k, r) for k, r in enumerate(rows)]
+    order.sort(key=lambda x: x[:4])
+    n = len(order)
+    expected = Counter((r.doc_id, r.source, r.text, place * 8 // n) for place, (*_, r) in enumerate(order))
+    text = {zlib.crc32(t.encode()): t for t in ("", "a", "bb")}
+    rows = sharding.shard(table).collect()
+    assert Counter((r.doc_id, r.source, text[r.text_crc32], r.shard) for r in rows) == expected
+    first = {}
+    for place, (*_, r) in enumerate(order):
+        first.setdefault(place * 8 // n, place)
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((p * 8 // n, p - first[p * 8 // n]) for p in range(n))
+    for s in range(8):
+        small = sum(r.shard == s and str(r.source)[0] in "st" for r in rows)
+        assert abs(sum(r.shard == s and r.source == "hot" for r in rows) - 900 / 8) <= 10 and abs(small - 600 / 8) < 30
+
+
 def test_ranks_in_buckets(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(ranks, "PER_BUCKET", 7)
+    monkeypatch.setattr(ranks, "PER_PART", 3)
     rows = spark.createDataFrame([(g, (i * 37 % 100) / 100, i) for g in (None, "x") for i in range(100)], "g string, v double, i int")
     out = ranks.ranked(rows, ["g"], F.col("v"), ["i"], of="n").collect()
     assert len(out) == 200 and all(r.rank == round(r.v * 100) and r.n == 100 for r in out)
