@@ -5,10 +5,13 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connect(sf_dir):
+def connect(sf_dir, **others):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        if t in others:
+            c.register(t, others[t])
+        else:
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 
 
@@ -16,8 +19,9 @@ def shown(v):
     return "~" if v is None or v != v else repr(round(v, 9)) if isinstance(v, float) else str(v)
 
 
-def same(df, sql, sf_dir):
-    found = connect(sf_dir).execute(sql)
+def same(df, sql, sf_dir, **others):
+    """others: Arrow tables that stand for tables of the folder."""
+    found = connect(sf_dir, **others).execute(sql)
     names = [d[0] for d in found.description]
     theirs = found.fetchall()
     ours = df.collect()
