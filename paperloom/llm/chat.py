@@ -10,7 +10,8 @@ made distinct before the join, so that a very common first turn is one row.
 
 Defined cases: turns are ordered by turn, role and text; a null role or text is empty, a null turn comes first, a
 null id is a conversation; repeated turns are turns. Two 64-bit hashes make a chance match of about 2**-128 for
-each pair. ``<|`` in a text is written ``< |``, so that no text can open a turn. Other columns are ignored.
+each pair. ``<|`` in a text is written ``< |``, so that no text can open a turn. Texts of any length are whole; turns that are
+alike in turn and role go by a hash of the text. Other columns are ignored, those named like results too.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """kept, and each conversation's turns as one text."""
     ids = kept.select(F.col("conv_id").alias("__id"), "n_turns", "n_copies")
     clean = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("<|"), F.lit("< |"))
-    rows = turns.join(ids, F.col("conv_id").eqNullSafe(F.col("__id")))
+    rows = turns.select("conv_id", "turn", "role", "text").join(ids, F.col("conv_id").eqNullSafe(F.col("__id")))
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.md5(F.coalesce("text", F.lit(""))).alias("name"), F.concat(F.lit("<|im_start|>"), clean("role"), F.lit("\n"), clean("text"), F.lit("<|im_end|>\n")).alias("line"))
     gathered = rows.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return gathered.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: x["line"]), "").alias("text"))

@@ -73,8 +73,11 @@ def judge(documents: DataFrame, *, host: str = "source", text: str = "text", lim
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:
-    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return query(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+
+
+def query(documents: DataFrame) -> DataFrame:
+    return judge(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 SQL = f"""

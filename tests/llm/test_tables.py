@@ -153,6 +153,8 @@ def test_hosts(spark, odd, none):
     docs = [(i, good if i % 10 else bad, "fine") for i in range(60)] + [(100 + i, bad if i % 10 else good, "foul") for i in range(60)] + [(200, good, None)]
     rows = {r.doc_id: r for r in hosts.judge(spark.createDataFrame(docs, "doc_id int, text string, source string")).collect()}
     assert rows[1].kept and not rows[0].kept and rows[100].base_failed is False and not rows[100].kept and rows[200].kept
+    table = spark.createDataFrame([(i, t, s or "none") for i, t, s in docs], "doc_id bigint, text string, source string")
+    assert same(hosts.query(table), hosts.SQL, "/root/testdata/sf0.001", documents=table.toArrow()) == 121
     out = hosts.judge(odd)
     assert out.count() == odd.count() and hosts.judge(none).count() == 0
 
@@ -207,3 +209,24 @@ def test_chats(spark):
     assert rows[2].text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\n< |c<|im_end|>\n" and rows[6].text.startswith("<|im_start|>user\nx")
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.format_chats(empty).count() == 0
+
+
+def test_chats_with_clashing_columns_and_long_texts(spark):
+    columns = "conv_id bigint, turn bigint, role string, text string, n_turns int, n_copies string, n int, p string, h0 int, __id int, line string, turns int"
+    rows = [(1, 0, "user", "x" * 2_000_000), (2, 0, "user", "x" * 2_000_000), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, "user", "a"), (5, 0, "user", ""), (6, None, None, "")]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame([(*r, 1, "c", 2, "p", 3, 4, "l", 5) for r in rows], columns)).collect()}
+    assert set(got) == {2, 3, 5, 6} and len(got[2].text) > 2_000_000 and (got[3].n_turns, got[3].n_copies) == (2, 1) and got[3].text.count("<|im_start|>user\na<|im_end|>") == 2
+
+
+def test_logged_snapshots_against_sql(spark, sf):
+    from pyspark.sql import functions as F
+
+    whole = spark.read.parquet(f"{sf}/conversations.parquet")
+    # Each conversation is logged after every turn, and each third one twice over.
+    after = whole.select("conv_id", F.col("turn").alias("k"))
+    log = whole.join(after, "conv_id").where("turn <= k").selectExpr("conv_id * 1000 + k AS conv_id", "turn", "role", "text")
+    log = log.unionByName(log.where("conv_id % 3 = 0").withColumn("conv_id", F.col("conv_id") + 10**9))
+    got = chat.format_chats(log)
+    n = got.count()
+    assert 0 < n <= whole.select("conv_id").distinct().count() < log.select("conv_id").distinct().count() and got.where("n_copies > 1").count() > 0
+    assert same(got, chat.SQL, sf, conversations=log.toArrow()) == n
