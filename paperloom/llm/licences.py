@@ -1,17 +1,20 @@
 """Licence scans: a trained paragraph classifier, by DataFrame functions alone.
 
-Paragraphs are lines. Those with a cue word are classified by a multinomial logistic regression over word
-n-grams into licence families and an unknown class; lines without a cue are unknown. The
-cues hold every licence's names, so that each notice the model is fitted on has one. The model is fitted on the
-driver from notices below, never from the corpus; its temperature is fitted on notices held out, so that a
-probability below ``THRESHOLD`` can be read as unknown. A prediction is confirmed if the line has
-enough of the n-grams of one of the family's notices.
-
-Each distinct line is classified once: its n-grams are joined to the weights, a table whose size is fixed by the
-notices, and summed. A line in a third of all documents is one row from each task before the shuffle.
-
-Defined cases: a null or empty text has no paragraphs and no licences; rows that share an id share its licences,
-and a null id is an id; other columns are ignored.
+Paragraphs are lines, and runs of lines between blank ones taken as one line, so that a notice wrapped at any width is
+whole in one of them. Each is classified by a sparse multinomial logistic regression over word n-grams into licence
+families and an unknown class. The model is fitted on the driver from notices and other sentences below, never from the
+corpus, with a lasso penalty that leaves weights to some hundreds of n-grams. A temperature and a shift of the unknown
+class are fitted on notices in frames and sentences that the fit hasn't seen, notices inside other text, and fragments of
+notices, which are unknown; so a probability below ``THRESHOLD`` can be read as unknown. A prediction is
+confirmed if the paragraph holds enough of the n-grams of one of the family's notices.
+
+Every paragraph is classified: one that has none of the model's n-grams has the intercepts' scores, which say unknown, and
+the words that every such n-gram must have part of (``evidence``) tell these apart before anything else is worked out. All of
+it stays in the paragraph's row, with the weights as a constant of the plan: texts are never shuffled, and a line in a
+third of all documents is a row like others. Only counts by document are.
+
+Defined cases: a null or empty text has no paragraphs and no licences; a family found in a line and in its paragraph counts
+once; rows that share an id share its licences, and a null id is an id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +24,22 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizes import if_small, stored
+from .sizes import stored
 
 THRESHOLD, CONFIRM = 0.6, 0.6
 UNKNOWN = "unknown"
-TOKEN = "([a-z0-9]+(?:[.-][a-z0-9]+)*)"
-WORDS = "(?i)licen[cs]|copyright|\\(c\\)|©|creative commons|\\bcc[ -]|\\bcc0|rights reserved|warrant|redistribut|permission is hereby|permission to use|public domain|spdx|\\b[la]?gpl"
+SPACE = " \t\r\f\v"
+#: What stands between words. (CC BY-NC 4.0 is five of them: n-grams keep them together.)
+BETWEEN = "[^a-z0-9]+"
 
-# Names and notices of the licence families. (Long texts are cut to the sentences that tell them apart.)
+# Names and notices of the licence families.
 FRAMES = [
     "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.",
     "This project is distributed under the terms of the {}.", "This software is licensed under the {}.", "Available under {}.", "License: {}", "SPDX-License-Identifier: {}",
-    "You may use this file under the terms of the {}.", "The source code is released under the {} license.",
+    "You may use this file under the terms of the {}.", "The source code is released under the {} license.", "{}", "This library is free software under the {}.", "Distributed under the {}; see the file for details.",
+    "All content on this site is made available under {} unless noted otherwise.",
 ]
 NAMES = {
     "MIT": ["MIT License", "MIT license", "MIT", "Expat License"],
@@ -51,16 +56,51 @@ NAMES = {
     "ISC": ["ISC License", "ISC"],
 }
 NOTICES = {
-    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "Apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program."],
-    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "proprietary": ["All rights reserved.", "Copyright (c) 2020 Example Corporation. All rights reserved.", "Copyright 2019 Example Inc. All Rights Reserved.", "© 2021 Example Ltd. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential, all rights reserved.", "Copyright © Example. All rights reserved worldwide."],
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+        "See the GNU General Public License for more details.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "CC-BY": ["To view a copy of this license, visit https://creativecommons.org/licenses/by/4.0/"],
+    "CC-BY-SA": ["To view a copy of this license, visit https://creativecommons.org/licenses/by-sa/4.0/"],
+    "CC-BY-NC": ["To view a copy of this license, visit https://creativecommons.org/licenses/by-nc/4.0/"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain.", "To view a copy of this license, visit https://creativecommons.org/publicdomain/zero/1.0/"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "proprietary": [
+        "All rights reserved.", "Copyright (c) 2020 Example Corporation. All rights reserved.", "Copyright 2019 Example Inc. All Rights Reserved.", "© 2021 Example Ltd. All rights reserved.", "Copyright © Example. All rights reserved worldwide.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "No part of this publication may be reproduced without the prior written permission of the publisher.",
+    ],
 }
 OTHERS = [
     "You need a licence to drive a car.", "Her driving license was suspended last year.", "The company licensed the technology from a rival.", "A licensed electrician must do this work.", "Copyright law protects authors.",
@@ -68,27 +108,27 @@ OTHERS = [
     "The fishing license costs ten dollars.", "Under the new license fee, every household pays.", "The city released the names of all licensed taxis.", "This product comes with a limited warranty.", "Apache is the name of a people.", "The university released a report under pressure.",
     "Send a copy (c) to the office.", "A version of the work was released in May.", "The terms of the contract are under review.", "An international attribution of the painting is disputed.", "General public transport is free of charge.", "The source of the river is not known.",
     "The bar lost its liquor licence.", "Permission to use the hall must be asked for in writing.", "The permit and the license were issued by the county.", "A warrant was issued for his arrest.",
+    "She works for a software company in the city.", "The program begins at eight and is free for all.", "Please see the file for more details.", "You can use this room on Mondays.", "The foundation was published in a journal.", "Copies of the book were sold on the street.", "He obtained a copy of the letter.",
+    "The new version of the song is longer.", "Visit the museum or view the garden from above.", "The conditions on the road were bad.", "It was provided that the money be paid in May.", "The source of the code was an old book.", "The library is open to the public.", "The general made a public statement.", "Most rights were granted to women after the war.",
+    "They reserved a table for two.", "All seats are reserved.", "The rights of the workers were discussed at length.", "Modify the recipe if you have no eggs.", "The attribution of the poem to him is doubtful.", "He was common, creative and kind.", "The commons were open to all cattle.", "Zero degrees is the point at which water freezes.",
+    "We drove three miles to the house of my uncle.", "The mean temperature was 2.0 degrees, or 3.0 at the coast.", "Version 3 of the map shows the river.", "Version 4.0 was shipped in spring.", "I can come by at 4.0 or 3.0 hours.", "In 2019 and 2020 the company grew.", "The act of 1998 was an international success.",
+    "Wir kommen mit dem Zug und mit dem Rad.", "Er sprach mit ihr über das Wetter.", "Elle a dit que la licence de sa fille est belle.", "El autor publicó un libro sobre la ciudad.", "Mit freundlichen Grüßen an alle.", "A professor at MIT won the prize.", "The Mozilla offices are in California.", "The Apache helicopter landed.", "GNU is an antelope.",
+    "Redistribution of income is a matter of politics.", "The use of force is strictly prohibited.", "This work was difficult, but it was done under the direction of the author.", "This file was found on the desk.", "This project was funded by the state.", "The terms of the agreement were met by both sides.", "All copies of the notice were lost.",
+    "Permission was granted by the king.", "No part of the house was dry.", "The publisher gave written permission to the author for a second edition.", "The contract holds without limitation of time.", "Products derived from milk are sold here.", "The binary star was seen in the north.", "Either of them may sell the house.", "To the extent possible, meals are cooked fresh.", "Under law, the owner pays.",
 ]
 
 
-def _cue() -> str:
-    """WORDS, the fixed words before the name in each frame, and each name that WORDS doesn't hold, whatever stands between its parts.
-    A name that may be a common word (German "mit") counts in capitals, or in any case after a frame's words."""
-    heads = {re.sub(" the$", "", frame.split("{")[0].strip()).lower() for frame in FRAMES}
-    names = {name for of in NAMES.values() for name in of if not re.search(WORDS, name)}
-    parts = lambda x: "[^a-z0-9]+".join(re.escape(t) for t in re.findall("[a-z0-9.]+", x.lower()))
-    plain = sorted(name for name in names if name.isalpha())
-    others = {*map(parts, names.difference(plain)), *(parts(head) for head in heads if not re.search(WORDS, head))}
-    return f"{WORDS}|\\b(?:{'|'.join(sorted(others))})\\b|(?-i:\\b(?:{'|'.join(plain)})\\b)"
+#: Words that say nothing of a licence: n-grams of these and of numbers alone are no features.
+PLAIN = frozenset("a an the this that these it is are was be been as of to in on at by for from with without or and and/or not no any all you your if may can has have had do i he she we they its s".split())
 
 
-#: A line that matches is classified. Every notice of NAMES and NOTICES matches.
-CUE = _cue()
+def words_in(line: str) -> list[str]:
+    return [w for w in re.split(BETWEEN, line.lower()) if w]
 
 
 def ngrams_of(line: str) -> list[str]:
     """The distinct n-grams of one to three words of a line, in order."""
-    words = re.findall(TOKEN, line.lower())
+    words = words_in(line)
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
 
 
@@ -98,24 +138,54 @@ def notices() -> list[tuple[str, str]]:
     return framed + [(family, text) for family, texts in NOTICES.items() for text in texts]
 
 
+def templates() -> list[tuple[str, list[str]]]:
+    """(family, n-grams) of what confirms a prediction: the notices, but for names of one or two words alone."""
+    own = [(family, text, ngrams_of(text)) for family, text in notices()]
+    return [(family, grams) for family, text, grams in own if len(grams) > 3 or text not in NAMES[family]]
+
+
+def _held_out() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Rows to fit weights on, and rows to calibrate them on: other frames, other sentences, notices inside sentences, and fragments."""
+    framed = [(i, family, frame.format(name)) for family, names in NAMES.items() for name in names for i, frame in enumerate(FRAMES)]
+    whole = [(family, text) for family, texts in NOTICES.items() for text in texts]
+    fit = [*((f, t) for i, f, t in framed if i % 4 != 3), *whole, *((UNKNOWN, t) for i, t in enumerate(OTHERS) if i % 3 != 2)]
+    unseen = [t for i, t in enumerate(OTHERS) if i % 3 == 2]
+    check = [*((f, t) for i, f, t in framed if i % 4 == 3), *((UNKNOWN, t) for t in unseen)]
+    check += [(f, f"{unseen[k % len(unseen)]} {t} {unseen[(k + 7) % len(unseen)]}") for k, (f, t) in enumerate(whole)]
+    check += [(UNKNOWN, " ".join(words[k : k + 4])) for _, t in whole for words in [[w for w in words_in(t) if w not in _names()]] for k in range(0, len(words) - 3, 4)]
+    return fit, check
+
+
+@lru_cache(maxsize=1)
+def _names() -> frozenset[str]:
+    return frozenset(w for names in NAMES.values() for name in names for w in words_in(name))
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
-    """Families (unknown first), each n-gram's weights by family, and the intercepts, the temperature taken in."""
-    rows = [*notices(), *((UNKNOWN, text) for text in OTHERS)]
-    families = [UNKNOWN, *sorted({f for f, _ in rows} - {UNKNOWN})]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in rows for g in ngrams_of(t)}))}
-    x, y = np.zeros((len(rows), len(vocabulary))), np.array([families.index(f) for f, _ in rows])
+    """Families (unknown first), the weights by family of each n-gram that has some, and the intercepts, the temperature taken in."""
+    fit, check = _held_out()
+    families = [UNKNOWN, *sorted({f for f, _ in fit} - {UNKNOWN})]
+    vocabulary = sorted({g for _, t in fit for g in ngrams_of(t) if not all(w in PLAIN or w.isdigit() for w in g.split())})
+    x, y = _matrix(fit, vocabulary, families)
+    weights, bias = _descend(x, y, len(families))
+    u, v = _matrix(check, vocabulary, families)
+    each = 1 / np.bincount(v, minlength=len(families)).astype(float)[v]
+    each[v == 0] *= len(families) - 1
+    shift = np.eye(len(families))[0]
+    loss = lambda t, k: float(-(each * np.log(_softmax((u @ weights + bias) / t + k * shift)[np.arange(len(v)), v] + 1e-12)).sum())
+    temperature, unknown = min(((t, k) for t in np.geomspace(0.1, 4, 33) for k in np.linspace(0, 6, 25)), key=lambda p: loss(*p))
+    # Rounded, weights add up to the same in any order.
+    weights, bias = np.round(weights / temperature * 4096) / 4096, np.round((bias / temperature + unknown * shift) * 4096) / 4096
+    return families, {g: w for g, w in zip(vocabulary, weights, strict=True) if w.any()}, bias
+
+
+def _matrix(rows: list[tuple[str, str]], vocabulary: list[str], families: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    at = {g: i for i, g in enumerate(vocabulary)}
+    x = np.zeros((len(rows), len(vocabulary)))
     for i, (_, text) in enumerate(rows):
-        x[i, [vocabulary[g] for g in ngrams_of(text)]] = 1
-    each = np.sqrt(len(rows) / np.bincount(y, minlength=len(families)))[y]
-    each[y == 0] *= 2
-    held = np.arange(len(rows)) % 5 == 4
-    part, bias = _descend(x[~held], y[~held], each[~held], len(families))
-    temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: _loss(x[held] @ part + bias, y[held], t))
-    weights, bias = _descend(x, y, each, len(families))
-    # Weights are sums in an unsettled order later: rounded, they add up to the same everywhere.
-    weights, bias = np.round(weights / temperature * 4096) / 4096, np.round(bias / temperature * 4096) / 4096
-    return families, {g: weights[i] for g, i in vocabulary.items()}, bias
+        x[i, [at[g] for g in ngrams_of(text) if g in at]] = 1
+    return x, np.array([families.index(f) for f, _ in rows])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -123,70 +193,97 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _loss(z: np.ndarray, y: np.ndarray, temperature: float) -> float:
-    return float(-np.log(_softmax(z / temperature)[np.arange(len(y)), y] + 1e-12).mean())
-
-
-def _descend(x: np.ndarray, y: np.ndarray, each: np.ndarray, classes: int, steps: int = 400, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts by gradient steps; each: the rows' weights."""
+def _descend(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 600, lasso: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts by accelerated proximal steps; rows of rare classes weigh more."""
+    each = np.sqrt(len(y) / np.bincount(y, minlength=classes))[y]
+    each = each / each.sum()
+    rate = 2 / float(np.linalg.norm(x * np.sqrt(each)[:, None], 2) ** 2 + 1)
     w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
-    goal, each = np.eye(classes)[y], each / each.sum()
+    ahead, at, momentum = w, b, 1.0
+    goal = np.eye(classes)[y]
     for _ in range(steps):
-        error = (_softmax(x @ w + b) - goal) * each[:, None]
-        w -= rate * (x.T @ error + ridge * w)
-        b -= rate * error.sum(axis=0)
+        error = (_softmax(x @ ahead + at) - goal) * each[:, None]
+        step = ahead - rate * (x.T @ error)
+        new, level = np.sign(step) * np.maximum(np.abs(step) - rate * lasso, 0), at - rate * error.sum(axis=0)
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, at = new + (momentum - 1) / after * (new - w), level + (momentum - 1) / after * (level - b)
+        w, b, momentum = new, level, after
     return w, b
 
 
-def _grams(line: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(1))
+@lru_cache(maxsize=1)
+def evidence() -> list[str]:
+    """Words of which each n-gram that speaks for a family has one: of its words the one in the fewest of the other sentences. A line
+    without them has no family whose score gains on unknown's."""
+    telling = [g for g, w in model()[1].items() if w[1:].max() > w[0]]
+    count = {w: sum(w in words_in(t) for t in OTHERS) for g in telling for w in g.split()}
+    return sorted({min((w for w in g.split() if w not in PLAIN and not w.isdigit()), key=lambda w: (count[w], w)) for g in telling})
+
 
-    def run(n: int) -> Column:
-        return F.transform(words, lambda _, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))
+def _constant(value: list, kind: str) -> Column:
+    """A value as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
-    runs = [run(n) for n in (1, 2, 3)]
-    return F.array_distinct(F.array_compact(F.concat(*runs)))
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), BETWEEN, -1), lambda w: w != "")
+
+
+def _grams(words: Column) -> Column:
+    def run(n: int) -> Column:
+        return F.array_compact(F.transform(words, lambda _, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " "))))
 
-def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table of fixed values, made by the engine from a JSON text."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+    return F.array_distinct(F.concat(words, run(2), run(3)))
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """lines: one column, line, of distinct lines. (line, family, probability, likeness): of each line with a known n-gram the likeliest
-    family, how sure the model is, and the largest share of a notice of the family that the line holds."""
-    spark = lines.sparkSession
+    """lines with family, probability and likeness of the column line: the likeliest family, how sure the model is, and the largest share
+    of a notice of the family that the line holds. A line without an n-gram of the model is unknown, as the intercepts say."""
     families, weights, bias = model()
-    table = _table(spark, [{"gram": g, "w": w.tolist()} for g, w in weights.items()], "gram string, w array<double>")
-    grams = lines.select("line", F.explode(_grams(F.col("line"))).alias("gram")).transform(stored)
-    sums = [(F.sum(F.get("w", F.lit(k))) + float(bias[k])).alias(f"z{k}") for k in range(len(families))]
-    scored = grams.join(F.broadcast(table), "gram").groupBy("line").agg(*sums)
-    z = [F.col(f"z{k}") for k in range(len(families))]
-    best = F.array_max(F.array(*(F.struct(v.alias("z"), F.lit(-k).alias("k")) for k, v in enumerate(z))))
-    total = sum((F.exp(v - F.col("best.z")) for v in z[1:]), F.exp(z[0] - F.col("best.z")))
-    named = scored.withColumn("best", best).select("line", F.element_at(F.array(*map(F.lit, families)), 1 - F.col("best.k")).alias("family"), F.round(1 / total, 6).alias("probability"))
-    parts = [{"of": f, "notice": i, "gram": g, "size": len(own)} for i, (f, t) in enumerate(notices()) for own in [ngrams_of(t)] for g in own]
-    notice = _table(spark, parts, "of string, notice int, gram string, size int")
-    shares = named.where(F.col("family") != UNKNOWN).join(grams, "line").join(F.broadcast(notice), "gram").where(F.col("of") == F.col("family")).groupBy("line", "notice").agg((F.count("*") / F.max("size")).alias("share"))
-    likeness = shares.groupBy("line").agg(F.max("share").alias("likeness"))
-    return named.join(likeness, "line", "left").select("line", "family", "probability", F.round(F.coalesce("likeness", F.lit(0.0)), 6).alias("likeness"))
+    vocabulary = sorted(weights)
+    known, values = _constant(vocabulary, "array<string>"), _constant([weights[g].tolist() for g in vocabulary], "array<array<double>>")
+    own = [[grams for f, grams in templates() if f == family] for family in families]
+    held = _constant(own, "array<array<array<string>>>")
+    step = once(lines, __words=_words(F.col("line")))
+    step = once(step, __grams=_grams(F.col("__words")))
+    rows = F.transform(F.array_intersect(known, "__grams"), lambda g: F.get(values, (F.array_position(known, g) - 1).cast("int")))
+    step = once(step, __z=F.aggregate(rows, _constant(bias.tolist(), "array<double>"), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)))
+    step = once(step, __best=F.array_max("__z"))
+    place = (F.array_position("__z", F.col("__best")) - 1).cast("int")
+    step = once(step, __family=place, probability=F.round(1 / F.aggregate("__z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("__best"))), 6))
+    shares = F.transform(F.get(held, F.col("__family")), lambda t: F.size(F.array_intersect(t, F.col("__grams"))) / F.size(t))
+    likeness = F.when((F.col("__family") > 0) & (F.col("probability") >= THRESHOLD), F.round(F.array_max(shares), 6)).otherwise(0.0)
+    return once(step, likeness=likeness).select(*lines.columns, F.get(_constant(families, "array<string>"), F.col("__family")).alias("family"), "probability", "likeness")
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once: a generator between keeps later steps from writing them out again."""
+    made = F.array(F.struct(*(c.alias(k) for k, c in columns.items())))
+    return rows.select("*", F.inline(made))
+
+
+def paragraphs(text: Column) -> Column:
+    """The lines of a text that aren't blank, and each run of several such lines as one."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    runs = F.split(F.coalesce(text, F.lit("")), "\n[ \t\r\f\x0B]*(?:\n[ \t\r\f\x0B]*)+", -1)
+    shown = lambda x: F.btrim(x, F.lit(SPACE)) != ""
+    several = F.filter(F.transform(runs, lambda x: F.btrim(x, F.lit(SPACE + "\n"))), lambda x: F.contains(x, F.lit("\n")))
+    return F.concat(F.filter(lines, shown), F.transform(several, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_paragraphs, n_cued, n_licences, licences, n_unconfirmed): of each document its lines, those with a cue, the lines with a
-    confirmed licence and their families, and the lines whose family isn't confirmed."""
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\f\v")) != "")
-    cued = documents.select("doc_id", F.explode(F.filter(lines, lambda x: x.rlike(CUE))).alias("line")).transform(stored)
-    named = classify(cued.select("line").distinct()).transform(stored)
-    sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD)
-    confirmed = F.coalesce(sure & (F.col("likeness") >= CONFIRM), F.lit(False))
-    each = cued.join(if_small(named, 10_000), "line", "left").groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.count("*").alias("n_cued"), F.count_if(confirmed).alias("n_licences"), F.array_join(F.array_sort(F.collect_set(F.when(confirmed, F.col("family")))), ",").alias("licences"), F.count_if(F.coalesce(sure, F.lit(False)) & ~confirmed).alias("n_unconfirmed"),
-    )
+    """(doc_id, n_paragraphs, n_found, licences, n_unconfirmed): of each document its paragraphs, those with a confirmed licence, their
+    families, and the paragraphs of a likely family that no notice confirms."""
+    signs = _constant(evidence(), "array<string>")
+    telling = lambda x: F.arrays_overlap(F.split(F.lower(x), BETWEEN, -1), signs)
+    # A text without such words has no paragraph with one; n-grams over line ends don't matter here.
+    texts = documents.select("doc_id", "text").where(telling(F.col("text")))
+    lines = texts.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("line")).where(telling(F.col("line")))
+    named = classify(lines).where((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD)).select("doc_id", "family", (F.col("likeness") >= CONFIRM).alias("confirmed"))
+    each = named.groupBy(F.col("doc_id").alias("__doc")).agg(F.count_if("confirmed").alias("n_found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    counted = documents.select("doc_id", F.size(lines).cast("bigint").alias("n_paragraphs"))
-    return counted.join(each, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "n_paragraphs", zero("n_cued"), zero("n_licences"), F.coalesce("licences", F.lit("")).alias("licences"), zero("n_unconfirmed"))
+    counted = documents.select("doc_id", F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
+    return counted.join(each, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "n_paragraphs", zero("n_found"), F.coalesce("licences", F.lit("")).alias("licences"), zero("n_unconfirmed"))
 
 
 def op9_licences(spark, sf_dir: str) -> DataFrame:
