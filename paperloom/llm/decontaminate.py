@@ -1,21 +1,21 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each slice of the documents becomes a suffix array over words: its suffixes, sorted by the words from
-there on. Every suffix of every benchmark item is then binary-searched in it, word by word, down to the
-longest run of words that the slice holds; the interval in which a search stands after a whole window of
-words lists all places where that window occurs. A slice is a shard: documents are never shuffled, a lost
-task is run again alone, and memory is bounded by the slice.
+Documents are cut into shards of some megabytes where they lie. Each shard's words become a suffix array of all their
+suffixes, sorted by prefix doubling. Every suffix of every benchmark item is then binary-searched in it, word by word,
+down to the longest run of words that the shard holds. The interval in which a search stands after a whole window of words
+lists all places where that window occurs; where it ends, the longest verbatim match. Documents are never shuffled, a lost
+task is run again alone, and memory is bounded by the shard.
 
-Only suffixes that begin with the first words (three, or fewer for shorter items) of a searched one can
-hold a window, so the array leaves the others out; no match of a window's length is lost by that.
+``find_leaks`` gives what each document holds, ``longest_matches`` the longest match of every suffix of every item over
+all shards, however short, with its place; ``decontaminate`` removes the documents with a window.
 
 Items come in blocks of a bounded size (``block_bytes``); each task keeps one block. A benchmark of
 several blocks takes several passes, each over what the one before has written to the checkpoint folder.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an
-item of fewer words than a window is one window; repeated item ids count as one item; repeated documents
-are rows of their own; other columns of the documents are kept, but for ``find_leaks`` those named like its results
-give way.
+item of fewer words than a window is one window; repeated item ids count as one item, and so do items with a null
+id, under an empty one; repeated documents are rows of their own; matches of equal length go by the place in the document, then the
+item; other columns of the documents are kept, but for ``find_leaks`` those named like its results give way.
 """
 
 from __future__ import annotations
@@ -28,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .sizes import small_batches, stored
-from .words import U, grams, slices, words_of
+from .words import slices, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Text of a shard. Searches cost little more in a large one than in a small one.
+SHARD_BYTES = 4 << 20
 FOUND = "n_words bigint, hits array<int>, found array<string>, longest int, longest_at int, longest_item string"
 
 
 @dataclass
 class Suffixes:
-    """All suffixes of some items with at least a window of words: item, first word in ``words``, words, window."""
+    """All suffixes of some items: item, first word in ``words``, words, and the item's window (0 where fewer words are left)."""
 
     ids: list[str]
     words: np.ndarray
@@ -45,53 +47,60 @@ class Suffixes:
     start: np.ndarray
     length: np.ndarray
     window: np.ndarray
+    first: np.ndarray
 
 
 def suffixes(ids: list[str], texts: list[bytes], window: int) -> Suffixes:
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     w = words_of(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    n = w.count
     item, at = w.text_of(), np.arange(len(w.hash))
-    left = w.first[1:][item] - at if len(at) else at
-    size = np.minimum(n, window)[item] if len(at) else at
-    keep = left >= size
-    return Suffixes(ids, w.hash, item[keep], at[keep], left[keep], size[keep])
+    left = w.first[1:][item] - at
+    size = np.minimum(w.count, window)[item]
+    return Suffixes(ids, w.hash, item, at, left, np.where(left >= size, size, 0), w.first)
 
 
 class Shard:
-    """A suffix array over the words of some texts; 0 stands for the end of a text."""
-
-    def __init__(self, h: np.ndarray, first: np.ndarray, starts: np.ndarray, depth: int, block: int = 10):
-        self.h, self.first = h, first
-        self.end = np.repeat(first[1:], np.diff(first))
-        rank, order = np.zeros(len(starts), np.int64), np.arange(len(starts))
-        for d in range(0, depth, block):
-            open_ = np.flatnonzero(np.bincount(rank, minlength=1)[rank] > 1)
-            if not len(open_):
+    """The suffix array over the words of some texts, by prefix doubling (Larsson and Sadakane 1999): suffixes that agree in their first
+    words form a group; groups are sorted by the rank of what follows these words, twice as many each time. Equal suffixes stay together."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray):
+        n = len(h)
+        self.known, word = np.unique(h, return_inverse=True)
+        self.word, self.end = word + 1, np.repeat(first[1:], np.diff(first))
+        self.begin = np.searchsorted(np.sort(self.word), np.arange(len(self.known) + 2))
+        pair = self.word * (len(self.known) + 1) + self._after(self.word, np.arange(n), 1)
+        self.at = np.argsort(pair, kind="stable")
+        self.pair = pair[self.at]
+        group = _groups(self.pair)
+        rank = np.empty(n, np.int64)
+        rank[self.at] = group
+        depth = 2
+        while True:
+            # A group is done when it has one suffix, or none with a word left.
+            more = self.at + depth < self.end[self.at]
+            open_ = (np.bincount(group, more, n)[group] > 0) & (np.bincount(group, minlength=n)[group] > 1)
+            place = np.flatnonzero(open_)
+            if not len(place):
                 break
-            keys = [self.word(starts[open_], d + k) for k in range(block)]
-            o = np.lexsort([*keys[::-1], rank[open_]])
-            new = np.zeros(len(o), bool)
-            for k in (rank[open_], *keys):
-                new[1:] |= k[o][1:] != k[o][:-1]
-            base = rank[open_][o]
-            group = np.concatenate([[True], base[1:] != base[:-1]])
-            steps = np.arange(len(o)) * (new | group)
-            steps = np.maximum.accumulate(steps) - np.maximum.accumulate(np.arange(len(o)) * group)
-            rank[open_[o]] = base + steps
-        self.at = starts[np.argsort(rank, kind="stable")] if len(starts) else starts
-        del order
-
-    def word(self, at: np.ndarray, d: int) -> np.ndarray:
-        i = at + d
+            i = self.at[place]
+            key = rank[i] * (n + 2) + self._after(rank + 1, i, depth)
+            order = np.argsort(key, kind="stable")
+            self.at[place], key = i[order], key[order]
+            group[place] = place[_groups(key)]
+            rank[self.at[place]] = group[place]
+            depth *= 2
+
+    def _after(self, of: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+        """What ``of`` says some words further on; 0 beyond the end of the text."""
+        i = at + depth
         inside = i < self.end[at]
-        return np.where(inside, self.h[np.where(inside, i, 0)], U(0))
+        return np.where(inside, of[np.where(inside, i, 0)], 0)
 
     def bound(self, lo: np.ndarray, hi: np.ndarray, d: int, target: np.ndarray, right: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) // 2
-            w = self.word(self.at[mid], d)
+            w = self._after(self.word, self.at[mid], d)
             below = w <= target[live] if right else w < target[live]
             lo[live[below]] = mid[below] + 1
             hi[live[~below]] = mid[~below]
@@ -100,22 +109,41 @@ class Shard:
     def search(self, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each suffix the words of its longest match, where the array holds it, and where it holds the window."""
         n = len(s.start)
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.at), np.int64)
-        longest, best = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
-        whole = np.zeros((2, n), np.int64)
-        live, d = np.arange(n), 0
-        while len(live):
-            live = live[s.length[live] > d]
-            target = s.words[s.start[live] + d]
-            a = self.bound(lo[live], hi[live], d, target, False)
-            b = self.bound(a, hi[live], d, target, True)
-            live, a, b = live[a < b], a[a < b], b[a < b]
+        longest, best, whole = np.zeros(n, np.int64), np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        if not n or not len(self.at):
+            return longest, best[0], best[1], whole[0], whole[1]
+        i = np.minimum(np.searchsorted(self.known, s.words), len(self.known) - 1)
+        word = np.where(self.known[i] == s.words, i + 1, 0)
+        live = np.flatnonzero(word[s.start] > 0)
+        lo, hi = self.begin[word[s.start[live]]], self.begin[word[s.start[live]] + 1]
+        d = 1
+        while True:
+            longest[live], best[0, live], best[1, live] = d, lo, hi
+            done = s.window[live] == d
+            whole[0, live[done]], whole[1, live[done]] = lo[done], hi[done]
+            on = s.length[live] > d
+            live, lo, hi = live[on], lo[on], hi[on]
+            target = word[s.start[live] + d]
+            on = target > 0
+            live, lo, hi, target = live[on], lo[on], hi[on], target[on]
+            if not len(live):
+                return longest, best[0], best[1], whole[0], whole[1]
+            if d == 1:
+                two = word[s.start[live]] * (len(self.known) + 1) + target
+                lo, hi = np.searchsorted(self.pair, two, "left"), np.searchsorted(self.pair, two, "right")
+            else:
+                lo = self.bound(lo, hi, d, target, False)
+                hi = self.bound(lo, hi, d, target, True)
+            on = lo < hi
+            live, lo, hi = live[on], lo[on], hi[on]
             d += 1
-            lo[live], hi[live] = a, b
-            longest[live], best[0, live], best[1, live] = d, a, b
-            done = live[s.window[live] == d]
-            whole[0, done], whole[1, done] = lo[done], hi[done]
-        return longest, best[0], best[1], whole[0], whole[1]
+
+
+def _groups(key: np.ndarray) -> np.ndarray:
+    """For each entry of a sorted array the index of the first that is equal."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,45 +153,22 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def _starts(h: np.ndarray, left: np.ndarray, s: Suffixes) -> np.ndarray:
-    """Words at which a searched suffix can match for the least number of words."""
-    keep = np.zeros(len(h), bool)
-    least = np.minimum(s.window, 3)
-    for n in np.unique(least):
-        sought = np.unique(_prefixes(s, least == n, int(n)))
-        seen = np.zeros(1 << 18, bool)
-        seen[(sought & U((1 << 18) - 1)).astype(np.int64)] = True
-        g = grams(h, int(n))
-        maybe = np.flatnonzero(seen[(g & U((1 << 18) - 1)).astype(np.int64)] & (left >= n))
-        keep[maybe[np.isin(g[maybe], sought)]] = True
-    return np.flatnonzero(keep)
-
-
-def _prefixes(s: Suffixes, which: np.ndarray, n: int) -> np.ndarray:
-    return grams(s.words, n)[s.start[which]]
-
-
 def matches(data: np.ndarray, offsets: np.ndarray, s: Suffixes) -> tuple[np.ndarray, list, list, np.ndarray, np.ndarray, list]:
-    """For each text its words, the runs of hit words as first, end, ..., its items, and the longest match, its first word and item."""
+    """For each text its words, the runs of hit words as first, end, ..., its items, and the longest match of a window or more, its first word and item."""
     w = words_of(data, offsets)
     n = len(offsets) - 1
     longest, at, item = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     hits, found = [[] for _ in range(n)], [[] for _ in range(n)]
-    if not len(w.hash) or not len(s.start):
-        return w.count, hits, found, longest, at, [None] * n
-    text = w.text_of()
-    left = w.first[1:][text] - np.arange(len(w.hash))
-    shard = Shard(w.hash, w.first, _starts(w.hash, left, s), int(s.length.max()))
-    most, lo, hi, wlo, whi = shard.search(s)
-    which, place = _expand(wlo, whi)
+    shard = Shard(w.hash, w.first)
+    *_, lo, hi = shard.search(s)
+    which, place = _expand(lo, hi)
     if not len(which):
         return w.count, hits, found, longest, at, [None] * n
-    begin = shard.at[place]
+    begin, text, first = shard.at[place], w.text_of(), w.first
     change = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(begin + s.window[which], minlength=len(w.hash) + 1)
     hit = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
     edge = np.diff(hit)
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    first = w.first
     cut = first[1:-1]
     cut = cut[(cut < len(w.hash)) & (cut > 0)]
     cut = np.unique(cut[(hit[1 + cut] == 1) & (hit[cut] == 1)])
@@ -173,14 +178,20 @@ def matches(data: np.ndarray, offsets: np.ndarray, s: Suffixes) -> tuple[np.ndar
     pairs = np.unique(np.stack([text[begin], s.item[which]]), axis=1)
     for i, k in pairs.T.tolist():
         found[i].append(s.ids[k])
-    full = np.flatnonzero(most >= s.window)
-    which, place = _expand(lo[full], hi[full])
-    which = full[which]
-    order = np.lexsort([s.item[which], shard.at[place], -most[which], text[shard.at[place]]])
-    t = text[shard.at[place]][order]
+    # Each place is followed beyond its window; one that only carries on another is left out.
+    back = (begin > first[text[begin]]) & (s.start[which] > s.first[s.item[which]])
+    on = np.flatnonzero(~(back & (w.hash[begin - 1] == s.words[s.start[which] - 1])))
+    begin, which = begin[on], which[on]
+    size = s.window[which].copy()
+    live = np.arange(len(which))
+    while len(live := live[(size[live] < s.length[which[live]]) & (begin[live] + size[live] < shard.end[begin[live]])]):
+        live = live[w.hash[begin[live] + size[live]] == s.words[s.start[which[live]] + size[live]]]
+        size[live] += 1
+    order = np.lexsort([s.item[which], begin, -size, text[begin]])
+    t = text[begin][order]
     top = order[np.concatenate([[True], t[1:] != t[:-1]])]
-    where = shard.at[place[top]]
-    longest[text[where]], at[text[where]], item[text[where]] = most[which[top]], where - first[text[where]], s.item[which[top]]
+    where = text[begin[top]]
+    longest[where], at[where], item[where] = size[top], begin[top] - first[where], s.item[which[top]]
     return w.count, hits, found, longest, at, [s.ids[k] if k >= 0 else None for k in item.tolist()]
 
 
@@ -202,7 +213,7 @@ def _pass(documents: DataFrame, block: list[tuple[str, bytes]], text: str, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = suffixes([i for i, _ in block], [t for _, t in block], window)
-        for part, data, offsets in slices(batches, "__text"):
+        for part, data, offsets in slices(batches, "__text", SHARD_BYTES):
             n, hits, found, longest, at, item = matches(data, offsets, s)
             at, longest = at.tolist(), longest.tolist()
             if again:
@@ -221,7 +232,7 @@ def _pass(documents: DataFrame, block: list[tuple[str, bytes]], text: str, keep:
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
     """The items in parts whose texts have at most about so many bytes each."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("item is not null")
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // block_bytes)
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
@@ -244,6 +255,46 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text"
     return out
 
 
+def longest_matches(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item, item_at, words, doc_id, doc_at): of each suffix of each item with a word in some document, its first word, the words of its
+    longest verbatim match in any document, however few, and the match's place with the least id, then first word.
+
+    A task keeps the best of its shards, so that a row for each suffix leaves it."""
+    small_batches(documents.sparkSession)
+    out = None
+    for part in blocks_of(benchmark, item, item_text, block_bytes):
+        block = sorted((r[0], r[1].encode()) for r in part.toLocalIterator())
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[str, bytes]] = block) -> Iterator[pa.RecordBatch]:
+            s = suffixes([i for i, _ in block], [t for _, t in block], window)
+            best = np.zeros((3, len(s.start)), np.int64)
+            for part, data, offsets in slices(batches, "__text", SHARD_BYTES):
+                w = words_of(data, offsets)
+                shard = Shard(w.hash, w.first)
+                longest, lo, hi, *_ = shard.search(s)
+                better = np.flatnonzero((longest > 0) & (longest >= best[0]))
+                which, place = _expand(lo[better], hi[better])
+                begin = shard.at[place]
+                text_of = w.text_of()[begin]
+                ids = part.column(0).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[text_of]
+                order = np.lexsort([begin - w.first[text_of], ids, which])
+                top = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])] if len(order) else order
+                i, new = better[which[top]], np.stack([longest[better[which[top]]], ids[top], (begin - w.first[text_of])[top]])
+                now = best[:, i]
+                win = (new[0] > now[0]) | (new[0] == now[0]) & ((new[1] < now[1]) | (new[1] == now[1]) & (new[2] < now[2]))
+                best[:, i[win]] = new[:, win]
+            hit = np.flatnonzero(best[0])
+            for k in range(0, len(hit), 50_000):
+                i = hit[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([s.ids[x] for x in s.item[i].tolist()], pa.string()), pa.array(s.start[i] - s.first[s.item[i]]), *(pa.array(x[i]) for x in best)], names=["item", "item_at", "words", "doc_id", "doc_at"])
+
+        found = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, "item string, item_at bigint, words bigint, doc_id bigint, doc_at bigint")
+        out = found if out is None else out.unionByName(found)
+    place = F.struct("words", (-F.col("doc_id")).alias("doc_id"), (-F.col("doc_at")).alias("doc_at"))
+    top = out.groupBy("item", "item_at").agg(F.max(place).alias("p"))
+    return top.select("item", "item_at", "p.words", F.when(F.col("p.doc_id") != -(2**63 - 1), -F.col("p.doc_id")).alias("doc_id"), (-F.col("p.doc_at")).alias("doc_at"))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The documents that hold no window of any benchmark item, with their columns as they were."""
     inner = documents.select(F.struct("*").alias("__row"), text)
