@@ -24,9 +24,10 @@ class Trie:
 
 
 def edits(term: str, stem: bool) -> int:
-    """How many edits a misspelling of the term may have."""
+    """How many edits a misspelling of the term may have. Words of four letters may have one replaced (see ``nearest``); shorter ones, and
+    stems of fewer than seven letters, which begin many words, are only found as spelt."""
     n = len(term)
-    return (n >= 7) if stem else (n >= 5) + (n >= 12)
+    return int(n >= 7) if stem else (n >= 4) + (n >= 12)
 
 
 class Automaton:
@@ -81,7 +82,8 @@ def nearest(trie: Trie, word: str) -> tuple[str, int] | None:
             if letter == "":
                 term, stem, allowed = below
                 e = automaton.edits_begun(state) if stem else automaton.edits_whole(state)
-                if e <= allowed:
+                short = len(term) == 4 and not stem
+                if e <= allowed and not (short and e and len(word) != 4):
                     found.append((e, -len(term), term))
             else:
                 after = automaton.step(state, letter)

@@ -5,9 +5,9 @@ toxic texts hold and others don't. A word of a text is looked up by running its
 over the lexicon's trie; letters and length first rule out words that can't be near a term. Words that
 the sample's clean texts hold are never taken for misspellings.
 
-Each term found gets a weight from the words around it: less inside quotation marks or near a verb of
-reporting, more near the second person. A logistic regression on the sums of these weights, fitted on the
-same sample, gives the score.
+Each term found gets a weight from what is around it: less inside a quotation that opens and closes in its line, however
+long that is, or near a verb of reporting, more near the second person. A logistic regression on the sums of these
+weights, fitted on the same sample, gives the score.
 
 Training is on the driver, from word counts that executors make of at most ``per_class`` rows of each
 class. Every document is then scored whole, where it lies, without a shuffle.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .lexicon import Trie, edits, nearest
 from .linear import labelled_sample, logistic, remainder, sigmoid
-from .sizes import small_batches
+from .sizes import discard, small_batches, stored
 from .words import LOWER, WORD, slices, words_of
 
 PER_CLASS = 6000
@@ -130,17 +130,34 @@ class Matcher:
         return out
 
 
-def context(before: str, after: str) -> float:
-    """The weight of a term in quotes, near reporting, or near an address; before and after hold the text around it."""
-    weight = 1.0
+class Lines:
+    """Where a text's lines end and its quotations open and close, so that a place is looked up in whole lines of any length."""
+
+    def __init__(self, text: bytes):
+        self.breaks = np.array([m.start() for m in re.finditer(b"\n", text)], dtype=np.int64)
+        self.size, self.marks = len(text), []
+        for o, c in zip(OPENING, CLOSING, strict=True):
+            # An apostrophe inside a word isn't a quotation mark: one opens after a space or a mark, one closes before such.
+            before, after = (rb"(?<![^\s(\[-])", rb"(?![A-Za-z0-9\x80-\xff])") if o == "'" else (b"", b"")
+            opens, closes = ([m.start() for m in re.finditer(x, text)] for x in (before + re.escape(o.encode()), re.escape(c.encode()) + after))
+            self.marks.append((o == c and o != "'", np.array(opens, dtype=np.int64), np.array(closes, dtype=np.int64)))
+
+    def quoted(self, a: int, b: int) -> bool:
+        """Whether the bytes a to b stand inside a quotation that opens and closes in their line."""
+        i = np.searchsorted(self.breaks, a)
+        begin, end = (int(self.breaks[i - 1]) + 1 if i else 0), (int(self.breaks[i]) if i < len(self.breaks) else self.size)
+        for even, opens, closes in self.marks:
+            o, c = np.searchsorted(opens, [begin, a]), np.searchsorted(closes, [begin, a, b, end])
+            inside = (o[1] - o[0]) % 2 == 1 if even else o[1] > o[0] and (c[1] == c[0] or opens[o[1] - 1] > closes[c[1] - 1])
+            if inside and c[3] > c[2]:
+                return True
+        return False
+
+
+def context(before: str, after: str, quoted: bool) -> float:
+    """The weight of a term in quotes, near reporting, or near an address; before and after hold the words around it."""
     near = [w.strip(".,;:!?()'\"’").lower() for w in [*before.split()[-NEAR:], *after.split()[:NEAR]]]
-    line, rest = before.rpartition("\n")[2], after.partition("\n")[0]
-    for o, c in zip(OPENING, CLOSING, strict=True):
-        inside = line.count(o) % 2 == 1 if o == c else line.rfind(o) > line.rfind(c)
-        # An apostrophe inside a word isn't a quotation mark.
-        if inside and c in rest and not (o == "'" and not line.rpartition(o)[0][-1:].isspace() and line.rpartition(o)[0]):
-            weight *= QUOTED
-            break
+    weight = QUOTED if quoted else 1.0
     if any(w in REPORTING for w in near):
         weight *= REPORTED
     if any(w in ADDRESS for w in near):
@@ -148,6 +165,7 @@ def context(before: str, after: str) -> float:
     return weight
 
 
+#: Bytes on either side in which the words around a term are looked for.
 WINDOW = 120
 
 
@@ -155,12 +173,16 @@ def sums(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text the context weights of terms as spelt and misspelt, and the terms found."""
     w = words_of(data, offsets)
     out = np.zeros((len(offsets) - 1, 3))
+    now, lines = -1, None
     for i, e in matcher.find(data, w.start, w.length, w.hash):
         t = int(np.searchsorted(w.first, i, "right")) - 1
+        low, high = int(offsets[t]), int(offsets[t + 1])
+        if t != now:
+            now, lines = t, Lines(data[low:high].tobytes())
         a, b = int(w.start[i]), int(w.start[i] + w.length[i])
-        before = data[max(int(offsets[t]), a - WINDOW) : a].tobytes().decode(errors="ignore")
-        after = data[b : min(int(offsets[t + 1]), b + WINDOW)].tobytes().decode(errors="ignore")
-        out[t, int(e > 0)] += context(before, after)
+        before = data[max(low, a - WINDOW) : a].tobytes().decode(errors="ignore")
+        after = data[b : min(high, b + WINDOW)].tobytes().decode(errors="ignore")
+        out[t, int(e > 0)] += context(before, after, lines.quoted(a - low, b - low))
         out[t, 2] += 1
     return out
 
@@ -204,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod:
                 a, b = w.first[t], w.first[t + 1]
                 _, first = np.unique(w.hash[a:b], return_index=True)
                 for i in (first + a).tolist():
-                    word = data[w.start[i] : w.start[i] + w.length[i]].tobytes().decode(errors="replace").lower()[:64]
+                    word = data[w.start[i] : w.start[i] + w.length[i]].tobytes().decode(errors="replace").lower()
                     key = word, (int(w.hash[i - 1].view(np.int64)) if i > a else 0) if y[t] else None
                     counts[key] = counts.get(key, 0) + 1
         keys = list(counts)
@@ -214,17 +236,17 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod:
             toxic = [x if k[1] is not None else 0 for k, x in zip(some, n, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some]), pa.array([k[1] for k in some], pa.int64()), pa.array(toxic), pa.array([x - y for x, y in zip(n, toxic, strict=True)])], names=["word", "before", "toxic", "clean"])
 
-    once = texts.dropDuplicates(["doc_id"])
+    once = texts.dropDuplicates(["doc_id"]).transform(stored)
     words = once.mapInArrow(run, "word string, before bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("before").alias("places"))
-    table = words.where("length(word) >= 3").toArrow()
-    counts = sorted(zip(*(table.column(k).to_pylist() for k in range(4)), strict=True))
-    del table
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = sorted(zip(*(c.to_pylist() for c in words.where("length(word) >= 3").toArrow().columns), strict=True))
+    sizes = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     lexicon = learn_lexicon(counts, sizes.get(1, 0) / max(1, sum(sizes.values())))
-    clean = sorted(w for w, toxic, free, _ in counts if free and free > IMPURE * toxic and len(w) <= 40)
+    clean = sorted(w for w, toxic, free, _ in counts if free and free > IMPURE * toxic)
+    del counts
     model = {"lexicon": lexicon, "clean": near_words(lexicon, clean)}
     rows = once.mapInArrow(_summing(model, ["y"]), "y int, exact double, misspelt double, terms double").toArrow()
-    y, x = np.array(rows.column(0).to_pylist(), dtype=np.int64), np.stack([np.array(rows.column(k).to_pylist(), dtype=float) for k in (1, 2)], axis=1) if rows.num_rows else np.zeros((0, 2))
+    discard(once)
+    y, x = np.array(rows.column(0).to_pylist(), dtype=np.int64), np.array([rows.column(k).to_pylist() for k in (1, 2)], dtype=float).T.reshape(-1, 2)
     if not len(y) or y.min() == y.max() or not lexicon:
         return {"lexicon": [], "clean": frozenset(), "weights": np.array([0, 0, 0, -40.0])}
     return model | {"weights": logistic(columns(x), y.astype(float), np.where(y == 1, stands_for[1], stands_for[0]), 1e-2)}
@@ -266,5 +288,3 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(documents, train(documents, labels), keep=["doc_id"])
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "terms")
-
-
