@@ -2,8 +2,8 @@
 
 Documents become token ids with an end id, and pieces of at most a sequence's length. Only the histogram of
 piece lengths, which has one count for each length whatever the input, goes to the driver. There, patterns of
-up to three lengths that fill a sequence are fitted to the histogram by non-negative least squares, their
-repeat counts rounded down, and the pieces that are left packed by best fit in descending order, on the
+up to three lengths that fill a sequence are fitted to the histogram by non-negative least squares and their
+repeat counts rounded, some times over; the pieces that are left are packed by best fit in descending order, on the
 histogram too. The result is a table of rank intervals for each length: the pieces of one length are ranked
 (see ranks.py), and a piece's rank gives its sequence and its place there. Text is read once and tokenised
 once; the pieces, without their ids, are stored in the checkpoint folder.
@@ -155,25 +155,30 @@ def best_fit(histogram: np.ndarray, full: int) -> list[tuple[list[int], int]]:
     return [group for groups in room.values() for group in groups]
 
 
+#: Times that patterns are fitted to what the rounds before have left.
+FITS = 4
+
+
 def plan(histogram: np.ndarray, full: int = LENGTH) -> list[tuple[list[int], int]]:
-    """The kinds of sequence, as the lengths in each and how many there are. With few pieces rounding can cost more than
-    patterns win; then all are packed by best fit."""
+    """The kinds of sequence, as the lengths in each and how many there are: patterns with their counts rounded, as far as there are pieces,
+    fitted again to what is left until no count reaches a half, and best fit for the rest."""
     left, out = histogram.astype(np.int64).copy(), []
-    alone = best_fit(left, full)
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        p = patterns(lengths, full)
+    for _ in range(FITS):
+        lengths = np.flatnonzero(left)
+        p = patterns(lengths, full) if len(lengths) else np.zeros((3, 0), np.int64)
         x = fit_counts(p, left) if p.shape[1] else np.zeros(0)
-        for i in np.argsort(-x).tolist():
-            if x[i] < 1:
+        before = int(left.sum())
+        for i in np.argsort(-x, kind="stable").tolist():
+            if x[i] < 0.5:
                 break
             kind, need = np.unique(p[:, i][p[:, i] > 0], return_counts=True)
-            n = min(int(x[i]), int((left[kind] // need).min()))
+            n = min(int(x[i] + 0.5), int((left[kind] // need).min()))
             if n:
                 left[kind] -= n * need
                 out.append((p[:, i][p[:, i] > 0].tolist(), n))
-    out += best_fit(left, full)
-    return min(out, alone, key=lambda kinds: sum(n for _, n in kinds))
+        if int(left.sum()) == before:
+            break
+    return out + best_fit(left, full)
 
 
 def intervals(kinds: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
