@@ -6,7 +6,8 @@ each shape and of repeated words. Each place is scaled by its log-count ratio be
 brought to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A sigmoid fitted
 on margins of rows that a fold's model hasn't seen makes them a probability.
 
-The model is fitted on the driver from at most ``per_class`` labelled rows of each class; every document is
+(Shapes and shares are features beside the method's n-grams: what makes a text poor here is mostly how it is set, and not
+its words.) The model is fitted on the driver from at most ``per_class`` labelled rows of each class; every document is
 scored whole, where it lies, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the model's intercept; without rows of both
@@ -121,7 +122,7 @@ def margin(places: np.ndarray, scaled: np.ndarray, square: np.ndarray) -> float:
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> dict:
     small_batches(documents.sparkSession)
     sample, stands_for = labelled_sample(labels, label, mod, held_out, per_class)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
@@ -150,7 +151,6 @@ def score(documents: DataFrame, model: dict, *, keep: list[str] | None = None, t
     return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, score double" if schema else "score double")
 
 
-
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(documents, train(documents, labels), keep=["doc_id"])

@@ -5,10 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-ROWS = 100_000
-
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 def stored(table: DataFrame) -> DataFrame:
     """table, written to the checkpoint folder, so that a lost executor takes nothing with it. Without a folder in
@@ -57,6 +54,17 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Of a table that is broadcast: its most rows, and bytes of texts and arrays.
+ROWS, BYTES = 100_000, 32 << 20
+
+
+def small(table: DataFrame, rows: int = ROWS, most: int = BYTES) -> bool:
+    """Whether a table has at most so many rows, and at most so many bytes in columns whose values vary in size."""
+    wide = [f"coalesce(octet_length(`{f.name}`), 0)" if f.dataType.simpleString() in ("string", "binary") else f"coalesce(octet_length(to_json(struct(`{f.name}`))), 0)" for f in table.schema if f.dataType.simpleString() in ("string", "binary") or isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    got = table.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.expr(" + ".join(wide) or "0")).alias("size")).first()
+    return got["n"] <= rows and (got["size"] or 0) <= most
+
+
 def if_small(table: DataFrame, rows: int = ROWS) -> DataFrame:
-    """table, to be broadcast if it has at most so many rows; else as it is, for a shuffled join. Read twice: table should be stored."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    """table, to be broadcast if it is small; else as it is, for a shuffled join. Read twice: table should be stored."""
+    return F.broadcast(table) if small(table, rows) else table

@@ -166,3 +166,56 @@ def test_dual_descent_separates():
     y = np.where(x @ np.array([1, -2, 0.5, 0, 3]) > 0, 1, -1)
     w = dual_descent([np.arange(5)] * 200, list(x), y, 5, np.full(200, 10.0), epochs=50)
     assert (np.sign(x @ w) == y).mean() > 0.97
+
+
+M = 2**64 - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def gram(hashes):
+    return mixed(sum([mixed(hashes[0] + len(hashes) & M), *(mixed(h ^ 0xD6E8FEB86659FD93 * (k + 1) & M) for k, h in enumerate(hashes) if k)]) & M)
+
+
+def brute_places(text):
+    """The places of a text's features, one word and token after the other."""
+    words = [mixed(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(w.encode())) & M) for w in WORD.findall(lowered(text))]
+    ones = [gram([h]) >> 46 for h in words]
+    out = {*ones, *(gram(words[i : i + 2]) >> 46 for i in range(len(words) - 1))}
+    shapes, kinds, same, last = [], [0] * 8, 0, None
+    tokens = re.findall(rb"[^ \t-\r]+", text.encode())
+    for t in tokens:
+        upper, inner = sum(65 <= b <= 90 for b in t), lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+        case = 0 if not upper else 1 if upper == 1 and 65 <= t[0] <= 90 else 2
+        mark = 2 if not any(map(inner, t)) else 1 if any(48 <= b <= 57 for b in t) else 0
+        ends = [0 if inner(b) else b for b in (t[0], t[-1])]
+        shapes.append(mixed((((case * 3 + mark) * 2 + (t == last)) * 256 + ends[0]) * 256 + ends[1]))
+        kinds[min(7, case + 3 * (mark == 2) + 4 * (ends[1] > 0) * (mark != 2))] += 1
+        same += t == last
+        last = t
+    if n := len(tokens):
+        for k in (1, 2, 3):
+            out |= {mixed(gram(shapes[i : i + k]) + (k << 40) & M) >> 46 for i in range(n - k + 1)}
+        rounded = [*(math.ceil(10 * (x / n)) for x in (*kinds, same)), math.floor(10 * (len(set(ones)) / len(ones) if ones else 1.0)), math.floor(math.log2(n + 1))]
+        out |= {mixed(x * 64 + i + (3 << 50) & M) >> 46 for i, x in enumerate(rounded)}
+    return out
+
+
+def test_quality_query_against_brute_force(spark, sf):
+    """Every document's score by the model of the query's own training, feature by feature."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in op3_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and len({r.predicted for r in got.values()}) == 2
+    for i, text in texts.items():
+        places = sorted(brute_places(text))
+        z = sum(float(model["scaled"][p]) for p in places) / math.sqrt(max(sum(float(model["square"][p]) for p in places), 1e-24))
+        score = 1 / (1 + math.exp(-max(-40, min(40, model["slope"] * z + model["shift"]))))
+        assert abs(got[i].score - score) < 1e-4 and got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)

@@ -18,6 +18,20 @@ def test_query_agrees_with_sql(spark, sf, name):
     assert same(queries.QUERIES[name](spark, sf), queries.ORACLES[name], sf) > 0
 
 
+def test_lines_joined_by_a_shuffle_agree_with_sql(spark, sf):
+    pages = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    assert same(lines.drop_lines(pages, counts=True, broadcast=0), lines.SQL, sf) > 0
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.llm import sizes
+
+    rows = spark.range(100).select("id", F.lit("x" * 100).alias("s"), F.sequence(F.lit(1), F.lit(50)).alias("a"))
+    assert sizes.small(rows, 100) and not sizes.small(rows, 99) and not sizes.small(rows, 100, 9_000) and not sizes.small(rows.select("a"), 100, 5_000) and sizes.small(rows.select("id"), 100, 0)
+
+
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
@@ -145,6 +159,9 @@ def test_lines(spark, odd, none):
     rows = {r.doc_id: r for r in lines.drop_lines(spark.createDataFrame(pages, "doc_id int, text string, source string"), ratio=0.5, counts=True).collect()}
     assert rows[0].text == "page 0\n\nshared 0" and (rows[0].n_lines, rows[0].n_dropped) == (5, 2)
     assert rows[9].text == "menu\nmenu" and rows[10].text is None and rows[11].text == "menu\nmenu" and rows[20].text == "copied"
+    table = spark.createDataFrame(pages, "doc_id int, text string, source string")
+    assert same(lines.drop_lines(table, ratio=0.5, counts=True, broadcast=0).select("doc_id", "text", "n_lines", "n_dropped"), "SELECT * FROM documents", "/root/testdata/sf0.001", documents=lines.drop_lines(table, ratio=0.5, counts=True).select("doc_id", "text", "n_lines", "n_dropped").toArrow()) == 21
+    assert lines.drop_lines(odd, counts=True, broadcast=0).count() == odd.count()
     left = lines.drop_lines(odd, counts=True)
     assert left.count() == odd.count() and set(odd.columns) - {"n_lines", "n_dropped"} <= set(left.columns) and lines.drop_lines(none).count() == 0
 
