@@ -212,12 +212,23 @@ def _descend(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 600, lasso
 
 
 @lru_cache(maxsize=1)
-def evidence() -> list[str]:
-    """Words of which each n-gram that speaks for a family has one: of its words the one in the fewest of the other sentences. A line
-    without them has no family whose score gains on unknown's."""
-    telling = [g for g, w in model()[1].items() if w[1:].max() > w[0]]
+def evidence() -> tuple[list[str], list[list[str]]]:
+    """Words of which each n-gram that speaks for a family has one (of its words the one in the fewest of the other sentences), and for
+    each the words that stand with it in such n-grams, itself too if it is enough alone.
+
+    A line without any of the first, or with one and none of its second, has no family whose score can pass unknown's."""
+    _, weights, bias = model()
+    telling = [g for g, w in weights.items() if w[1:].max() > w[0]]
     count = {w: sum(w in words_in(t) for t in OTHERS) for g in telling for w in g.split()}
-    return sorted({min((w for w in g.split() if w not in PLAIN and not w.isdigit()), key=lambda w: (count[w], w)) for g in telling})
+    beside: dict[str, set[str]] = {}
+    for g in telling:
+        word = min((w for w in g.split() if w not in PLAIN and not w.isdigit()), key=lambda w: (count[w], w))
+        beside.setdefault(word, set()).update(w for w in g.split() if w != word)
+    for word, others in beside.items():
+        z = bias + weights.get(word, np.zeros(len(bias)))
+        if z[1:].max() > z[0]:
+            others.add(word)
+    return sorted(beside), [sorted(beside[w]) for w in sorted(beside)]
 
 
 def _constant(value: list, kind: str) -> Column:
@@ -243,6 +254,7 @@ def classify(lines: DataFrame) -> DataFrame:
     vocabulary = sorted(weights)
     known, values = _constant(vocabulary, "array<string>"), _constant([weights[g].tolist() for g in vocabulary], "array<array<double>>")
     own = [[grams for f, grams in templates() if f == family] for family in families]
+    all_ = _constant([sorted({g for t in of for g in t}) for of in own], "array<array<string>>")
     held = _constant(own, "array<array<array<string>>>")
     step = once(lines, __words=_words(F.col("line")))
     step = once(step, __grams=_grams(F.col("__words")))
@@ -251,8 +263,11 @@ def classify(lines: DataFrame) -> DataFrame:
     step = once(step, __best=F.array_max("__z"))
     place = (F.array_position("__z", F.col("__best")) - 1).cast("int")
     step = once(step, __family=place, probability=F.round(1 / F.aggregate("__z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("__best"))), 6))
-    shares = F.transform(F.get(held, F.col("__family")), lambda t: F.size(F.array_intersect(t, F.col("__grams"))) / F.size(t))
-    likeness = F.when((F.col("__family") > 0) & (F.col("probability") >= THRESHOLD), F.round(F.array_max(shares), 6)).otherwise(0.0)
+    # A long line's n-grams are cut down to those of the family's notices before these are gone through.
+    likely = (F.col("__family") > 0) & (F.col("probability") >= THRESHOLD)
+    step = once(step, __own=F.when(likely, F.array_intersect(F.get(all_, F.col("__family")), "__grams")))
+    shares = F.transform(F.get(held, F.col("__family")), lambda t: F.size(F.array_intersect(t, F.col("__own"))) / F.size(t))
+    likeness = F.when(likely, F.round(F.array_max(shares), 6)).otherwise(0.0)
     return once(step, likeness=likeness).select(*lines.columns, F.get(_constant(families, "array<string>"), F.col("__family")).alias("family"), "probability", "likeness")
 
 
@@ -271,14 +286,23 @@ def paragraphs(text: Column) -> Column:
     return F.concat(F.filter(lines, shown), F.transform(several, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))))
 
 
+def telling(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose text may be of a family, by the words of ``evidence``."""
+    signs, beside = evidence()
+    known, companions = _constant(signs, "array<string>"), _constant(beside, "array<array<string>>")
+    step = once(rows, __words=F.split(F.lower(F.col(column)), BETWEEN, -1))
+    step = once(step, __signs=F.array_intersect(known, "__words"))
+    alone = F.get(companions, (F.array_position(known, F.get("__signs", F.lit(0))) - 1).cast("int"))
+    enough = F.when(F.size("__signs") == 1, F.arrays_overlap("__words", alone)).otherwise(F.size("__signs") > 1)
+    return step.where(enough).select(*rows.columns)
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, n_paragraphs, n_found, licences, n_unconfirmed): of each document its paragraphs, those with a confirmed licence, their
     families, and the paragraphs of a likely family that no notice confirms."""
-    signs = _constant(evidence(), "array<string>")
-    telling = lambda x: F.arrays_overlap(F.split(F.lower(x), BETWEEN, -1), signs)
-    # A text without such words has no paragraph with one; n-grams over line ends don't matter here.
-    texts = documents.select("doc_id", "text").where(telling(F.col("text")))
-    lines = texts.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("line")).where(telling(F.col("line")))
+    # What holds for all words of a text holds for those of each of its paragraphs.
+    texts = telling(documents.select("doc_id", "text"), "text")
+    lines = telling(texts.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("line")), "line")
     named = classify(lines).where((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD)).select("doc_id", "family", (F.col("likeness") >= CONFIRM).alias("confirmed"))
     each = named.groupBy(F.col("doc_id").alias("__doc")).agg(F.count_if("confirmed").alias("n_found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
