@@ -25,40 +25,53 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
-def amount_value(number: Column, fixed: bool = False) -> Column:
-    """The value of a number whose separators may be either way round; null if it can't be read.
+#: All that a match holds beside its number.
+_BESIDE = SPACES + "()-$€£¥₹" + "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+_BARE = SPACES + "()-0123456789,."
+
+
+def _placed(number: Column) -> Column:
+    """A number's text with the places of its last comma and last dot, counted from its end; 0 for none."""
+    last = lambda c: F.when(F.contains(number, F.lit(c)), F.length(F.substring_index(number, c, -1)) + 1).otherwise(0)
+    return F.struct(number.alias("text"), last(",").alias("comma"), last(".").alias("dot"))
+
+
+def _value(n: Column) -> Column:
+    comma, dot, text = n["comma"], n["dot"], n["text"]
+    decimal_comma = F.when((comma > 0) & (dot > 0), comma < dot).otherwise(comma.isin(2, 3))
+    without_commas = (comma > 0) | dot.isin(2, 3)
+    plain = F.when(decimal_comma, F.translate(text, ",.", ".")).when(without_commas, F.translate(text, ",", "")).otherwise(F.translate(text, ".", ""))
+    return plain.try_cast("double")
 
-    With both separators the later is the decimal one; a single kind is decimal if one or two digits follow its last."""
-    comma, dot = F.locate(",", F.reverse(number)), F.locate(".", F.reverse(number))
-    decimal_comma = F.when((comma > 0) & (dot > 0), comma < dot).otherwise((comma > 0) & comma.isin(2, 3))
-    plain_dot = (comma == 0) & (dot > 0) & dot.isin(2, 3)
-    without = F.when(decimal_comma, F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-    without = without.when((comma > 0) | ((dot > 0) & plain_dot), F.replace(number, F.lit(","), F.lit(""))).otherwise(F.replace(number, F.lit("."), F.lit("")))
-    return without.try_cast("double")
 
+def amount_value(number: Column) -> Column:
+    """The value of a number whose separators may be either way round; null if it can't be read.
 
-def _amount(match: Column) -> Column:
-    part = lambda k: F.regexp_extract(match, AMOUNT, k)
-    number = part(5)
-    marked = (part(3) != "") | (part(4) != "") | (part(6) != "") | (part(7) != "")
-    value = amount_value(number)
-    negative = (part(1) != "") | (part(2) != "") | (part(8) != "")
-    return F.struct(strip(match).alias("raw"), F.when(negative, -F.abs(value)).otherwise(value).alias("value"), (marked | number.rlike("[,.][0-9]{1,2}$")).alias("money"))
+    With both separators the later is the decimal one; a single kind is decimal if one or two digits follow its last."""
+    return F.get(F.transform(F.array(_placed(number)), _value), F.lit(0))
 
 
 def amount_candidates(text: Column, most: int | None = None) -> Column:
     """array of (raw, value): the first so many different amounts of a text, in order. Bare numbers need a decimal tail."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), _amount)
-    kept = F.filter(found, lambda c: c["money"] & c["value"].isNotNull())
-    pairs = F.array_distinct(F.transform(kept, lambda c: F.struct(c["raw"].alias("raw"), c["value"].alias("value"))))
-    return F.slice(pairs, 1, most or SETTINGS.most_candidates)
+    # A match holds digits and separators in its number alone, brackets, minus, symbols and codes elsewhere: each is told by its letters.
+    parts = F.transform(
+        F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)),
+        lambda m: F.struct(m.alias("raw"), _placed(F.translate(m, _BESIDE, "")).alias("number"), (F.translate(m, _BARE, "") != "").alias("marked"), (F.translate(m, "()-", "") != m).alias("negative")),
+    )
+    money = F.filter(parts, lambda c: c["marked"] | c["number"]["comma"].isin(2, 3) | c["number"]["dot"].isin(2, 3))
+    values = F.transform(money, lambda c: F.struct(strip(c["raw"]).alias("raw"), _value(c["number"]).alias("value"), c["negative"].alias("negative")))
+    kept = F.transform(F.filter(values, lambda c: c["value"].isNotNull()), lambda c: F.struct(c["raw"].alias("raw"), F.when(c["negative"], -F.abs(c["value"])).otherwise(c["value"]).alias("value")))
+    return F.slice(F.array_distinct(kept), 1, most or SETTINGS.most_candidates)
 
 
 def lines_of(text: Column, raws: Column) -> Column:
-    """For each raw candidate the line around its first place in the text, trimmed."""
+    """For each raw candidate the line around its first place in the text, trimmed. A place counts if no letter or digit of the candidate's
+    own kind goes on beyond either end, as in a longer number; without such a place the first one counts."""
 
     def line(raw: Column) -> Column:
-        at = F.call_function("instr", text, raw)
+        whole = F.concat(F.lit("(?U)(?<![0-9,.])\\Q"), raw, F.lit("\\E(?![0-9]|[,.][0-9])"))
+        place = F.regexp_instr(text, whole)
+        at = F.when(place > 0, place).otherwise(F.call_function("instr", text, raw))
         before = F.substring_index(F.substr(text, F.lit(1), at - 1), "\n", -1)
         after = F.substring_index(F.substr(text, at), "\n", 1)
         return strip(F.concat(before, after))
@@ -71,11 +84,23 @@ def day_first(text: Column) -> Column:
     return text.rlike("[€£]") | text.rlike("(?U)" + DOTTED_DATE)
 
 
-def date_iso(raw: Column, dayfirst: Column, pivot: int = 2025) -> Column:
-    """The date that a match of DATE means, in ISO form; null if there is none. pivot: two-digit years lie within 50 years of it."""
-    number = lambda pattern, k: F.regexp_extract(raw, pattern, k).try_cast("int")
-    iso, numeric = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", "^(\\d{1,2})([/.\\-])(\\d{1,2})([/.\\-])(\\d{2,4})$"
-    named, named_first = "^(\\d{1,2})\\s+(\\w+),?\\s+(\\d{4})$", "^(\\w+)\\s+(\\d{1,2}),?\\s+(\\d{4})$"
+def _days(y: Column, m: Column) -> Column:
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
+def _date_parts(raw: Column) -> Column:
+    """A match of DATE as its three parts, texts and numbers, and what stands between them."""
+    parts = F.array(F.split(raw, "[/.\\-]|,?\\s+", -1))
+    step = F.transform(parts, lambda p: F.struct(raw.alias("raw"), F.translate(raw, "0123456789", "").alias("marks"), p.alias("p"), F.transform(p, lambda x: x.try_cast("int")).alias("n")))
+    return F.get(step, F.lit(0))
+
+
+def _date(d: Column, dayfirst: Column, pivot: int) -> Column:
+    """The day that three parts mean, as a struct of numbers."""
+    one, two, three = (F.get(d["n"], F.lit(k)) for k in range(3))
+    size = lambda k: F.length(F.get(d["p"], F.lit(k)))
+    day_is = lambda y, m, day: F.struct(y.alias("y"), m.alias("m"), day.alias("d"))
 
     def month(word: Column) -> Column:
         low = F.lower(word)
@@ -83,35 +108,46 @@ def date_iso(raw: Column, dayfirst: Column, pivot: int = 2025) -> Column:
         by_short = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(low == "sept", "sep").otherwise(low))
         return F.greatest(by_name, by_short).cast("int")
 
-    def made(y: Column, m: Column, d: Column) -> Column:
-        text = F.format_string("%04d-%02d-%02d", y, m, d)
-        return F.when((m >= 1) & (m <= 12) & (d >= 1) & (d <= 31) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
-
-    a, b, c = number(numeric, 1), number(numeric, 3), number(numeric, 5)
-    low = pivot - 50
-    full = lambda y: F.lit(low) + F.pmod(y - low, F.lit(100))
-    short = F.length(F.regexp_extract(raw, numeric, 5)) == 2
-    year = F.when(short, full(c)).otherwise(c)
-    day_month = (a > 12) | (dayfirst & (b <= 12))
-    year_first = (a > 31) & short
-    month_last = dayfirst & (c <= 12)
-    marks = F.concat(F.regexp_extract(raw, numeric, 2), F.regexp_extract(raw, numeric, 4))
-    mixed = marks.contains(".") & (marks != "..")
-    y, p, q = number(iso, 1), number(iso, 2), number(iso, 3)
-    swapped = dayfirst & (q <= 12)
+    full = lambda y: F.lit(pivot - 50) + F.pmod(y - (pivot - 50), F.lit(100))
+    marks, short = d["marks"], size(2) == 2
+    iso = (marks == "--") & (size(0) == 4)
+    numeric = (F.length(marks) == 2) & (F.translate(marks, "/.-", "") == "")
+    # A dot beside another mark is no date.
+    mixed = F.contains(marks, F.lit(".")) & (marks != "..")
+    swapped, month_last = dayfirst & (three <= 12), dayfirst & (three <= 12)
+    year, day_month = F.when(short, full(three)).otherwise(three), (one > 12) | (dayfirst & (two <= 12))
+    named = month(F.get(d["p"], F.lit(1)))
     return (
-        F.when(raw.rlike(iso), made(y, F.when(swapped, q).otherwise(p), F.when(swapped, p).otherwise(q)))
-        .when(raw.rlike(numeric) & year_first, F.when(~mixed, made(full(a), F.when(month_last, c).otherwise(b), F.when(month_last, b).otherwise(c))))
-        .when(raw.rlike(numeric), F.when(~mixed, made(year, F.when(day_month, b).otherwise(a), F.when(day_month, a).otherwise(b))))
-        .when(raw.rlike(named), made(number(named, 3), month(F.regexp_extract(raw, named, 2)), number(named, 1)))
-        .otherwise(made(number(named_first, 3), month(F.regexp_extract(raw, named_first, 1)), number(named_first, 2)))
+        F.when(F.size(d["p"]) != 3, F.lit(None))
+        .when(iso, F.when(swapped, day_is(one, three, two)).otherwise(day_is(one, two, three)))
+        .when(numeric & mixed, F.lit(None))
+        .when(numeric & (one > 31) & short, F.when(month_last, day_is(full(one), three, two)).otherwise(day_is(full(one), two, three)))
+        .when(numeric, F.when(day_month, day_is(year, two, one)).otherwise(day_is(year, one, two)))
+        .when(one.isNotNull(), day_is(three, named, one))
+        .otherwise(day_is(three, month(F.get(d["p"], F.lit(0))), two))
     )
 
 
+def _iso(d: Column) -> Column:
+    y, m, day = d["y"], d["m"], d["d"]
+    return F.when((y >= 1) & (m >= 1) & (m <= 12) & (day >= 1) & (day <= _days(y, m)), F.format_string("%04d-%02d-%02d", y, m, day))
+
+
+def _dates(raws: Column, dayfirst: Column, pivot: int) -> Column:
+    # Step by step, so that no part is worked out again wherever it is used.
+    asked = F.array(F.struct(raws.alias("raws"), dayfirst.alias("first")))
+    step = F.transform(asked, lambda a: F.transform(F.transform(a["raws"], _date_parts), lambda d: F.struct(d["raw"].alias("raw"), _date(d, a["first"], pivot).alias("day"))))
+    return F.transform(F.get(step, F.lit(0)), lambda c: F.struct(c["raw"].alias("raw"), _iso(c["day"]).alias("iso")))
+
+
+def date_iso(raw: Column, dayfirst: Column, pivot: int = 2025) -> Column:
+    """The date that a match of DATE means, in ISO form; null if there is none. pivot: two-digit years lie within 50 years of it."""
+    return F.get(_dates(F.array(raw), dayfirst, pivot), F.lit(0))["iso"]
+
+
 def date_candidates(text: Column, most: int | None = None, pivot: int = 2025) -> Column:
     """array of (raw, iso): the first so many different dates of a text, in order."""
-    first = day_first(text)
-    found = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + DATE), F.lit(0)), lambda m: F.struct(m.alias("raw"), date_iso(m, first, pivot).alias("iso")))
+    found = _dates(F.regexp_extract_all(text, F.lit("(?U)" + DATE), F.lit(0)), day_first(text), pivot)
     return F.slice(F.array_distinct(F.filter(found, lambda c: c["iso"].isNotNull())), 1, most or SETTINGS.most_candidates)
 
 

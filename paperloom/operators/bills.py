@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BILL_PROMPT, CATEGORIES, SETTINGS
-from ..functions.candidates import amount_candidates, date_candidates, looks_like_bill
+from ..functions.candidates import BILL_WORDS, amount_candidates, date_candidates
 from ..functions.once import once
 from ..functions.text import fill, stable_id, strip
 
 
 def with_candidates(documents: DataFrame, pivot: int = 2025) -> DataFrame:
     """documents (source, text) with amounts, dates and bill_like. Texts that don't look like bills aren't scanned further."""
-    rows = once(documents, bill_like=looks_like_bill(F.col("text")))
-    text = F.when(F.col("bill_like"), F.col("text")).otherwise("")
-    return once(rows, amounts=amount_candidates(text), dates=date_candidates(text, pivot=pivot))
+    words = F.coalesce(F.col("text").rlike("(?U)" + BILL_WORDS), F.lit(False))
+    rows = once(documents, amounts=amount_candidates(F.when(words, F.col("text")).otherwise("")))
+    # As looks_like_bill says, with the amounts that are there already.
+    rows = rows.withColumn("bill_like", F.size("amounts") > 0)
+    return once(rows, dates=date_candidates(F.when(F.col("bill_like"), F.col("text")).otherwise(""), pivot=pivot))
 
 
 def prompt(text: Column, amounts: Column, dates: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import SPACE, is_upper, strip
+from ..functions.once import once
+from ..functions.text import SPACE, SPACES, is_upper, strip
 
 # A heading's numbering, a list item's mark, the delimiters in their order.
 NUMBERED = f"^(?:[IVXLC]+\\.|\\p{{Nd}}+\\.|[A-Z]\\.){SPACE}+"
@@ -25,18 +26,24 @@ def _bare_type(bare: Column) -> Column:
 
 def with_blocks(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with blocks: array of (content_type, text). Lines of one type in a row are a block; a blank line ends it."""
-    lines = F.when(strip(F.coalesce(F.col(text), F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n", -1))
-    step = texts.withColumn("__lines", lines).withColumn("__types", F.transform(F.transform("__lines", strip), _bare_type))
+    shown = F.coalesce(F.col(text).rlike(f"[^{SPACES}]"), F.lit(False))
+    rows = once(texts, __lines=F.when(shown, F.split(F.col(text), "\n", -1)).otherwise(F.array().cast("array<string>")))
+    rows = once(rows, __types=F.transform(F.transform("__lines", _bared), _bare_type))
     begins = lambda t, i: (t != "blank") & ((i == 0) | (F.get("__types", i - 1) != t))
-    marks = F.transform("__types", lambda t, i: F.when(begins(t, i), i))
-    step = step.withColumn("__starts", F.array_compact(marks))
+    rows = once(rows, __starts=F.array_compact(F.transform("__types", lambda t, i: F.when(begins(t, i), i))))
 
     def block(start: Column, k: Column) -> Column:
         until = F.coalesce(F.get("__starts", k + 1), F.size("__lines"))
         n = F.size(F.filter(F.slice("__types", start + 1, until - start), lambda t: t != "blank"))
         return F.struct(F.get("__types", start).alias("content_type"), F.array_join(F.slice("__lines", start + 1, n), "\n").alias("text"))
 
-    return step.withColumn("blocks", F.transform("__starts", block)).drop("__lines", "__types", "__starts")
+    return rows.withColumn("blocks", F.transform("__starts", block)).drop("__lines", "__types", "__starts")
+
+
+def _bared(line: Column) -> Column:
+    """A line without white space at its ends; most lines have none, which two letters tell."""
+    end = lambda c: F.contains(F.lit(SPACES), c)
+    return F.when((line == "") | end(F.left(line, F.lit(1))) | end(F.right(line, F.lit(1))), strip(line)).otherwise(line)
 
 
 def content_blocks(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

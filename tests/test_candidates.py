@@ -27,6 +27,9 @@ def test_amounts_are_capped_and_keep_their_order(spark):
 def test_line_of_a_candidate(spark):
     row = spark.createDataFrame([("a\n  total $5.00 net\nb",)], "t string").select(lines_of(F.col("t"), F.array(F.lit("$5.00"))).alias("l")).first()
     assert row.l == ["total $5.00 net"]
+    text = "fee $50\nof $5\n1,250.00\nplus 250.00, or $1234.56"
+    row = spark.createDataFrame([(text,)], "t string").select(lines_of(F.col("t"), F.array(*map(F.lit, ["$5", "250.00", "$123", "4.56", "none"]))).alias("l")).first()
+    assert row.l[:4] == ["of $5", "plus 250.00, or $1234.56", "plus 250.00, or $1234.56", "plus 250.00, or $1234.56"]
 
 
 def test_dates_are_read_as_a_date_parser_does(spark):
