@@ -10,3 +10,10 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     between, filters and selections would have them written out in full at every use."""
     made = F.array(F.struct(*(c.alias(k) for k, c in columns.items())))
     return rows.select("*", F.explode(made).alias("__once")).select("*", "__once.*").drop("__once")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, over all cores, for work that costs much more than moving them. A scan that has as many parts already, as any
+    large table's, stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

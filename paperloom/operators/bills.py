@@ -36,8 +36,8 @@ def choice_schema(amounts: Column, dates: Column) -> Column:
     return F.to_json(F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.array(*map(F.lit, names)).alias("required")))
 
 
-def validated(rows: DataFrame) -> DataFrame:
-    """Bill records of rows (source, amounts, dates, choice). A chosen text that is no candidate is kept, but its value is null and
+def validated(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bill records of rows (source, amounts, dates, choice), with the columns to keep. A chosen text that is no candidate is kept, but its value is null and
     not confident; an unknown category is Other, a blank vendor Unknown."""
 
     def picked(name: str, candidates: str, value: str) -> tuple[Column, Column, Column]:
@@ -54,7 +54,7 @@ def validated(rows: DataFrame) -> DataFrame:
         "id": stable_id(F.col("source")), "is_bill": F.lit(True), "vendor": F.coalesce(F.nullif(strip(F.coalesce("choice.vendor", F.lit(""))), F.lit("")), F.lit("Unknown")),
         "category": F.when(category.isin(CATEGORIES), category).otherwise("Other"), **three("amount", amount), **three("due_date", due), **three("issue_date", issue),
     }
-    return once(rows.select("source", "amounts", "dates", "choice"), **record).select("id", "source", *(k for k in record if k != "id"))
+    return once(rows.select("source", "amounts", "dates", "choice", *keep), **record).select("id", "source", *(k for k in record if k != "id"), *keep)
 
 
 def pick_by_label(text: Column, candidates: Column) -> Column:
@@ -77,10 +77,16 @@ def extract(documents: DataFrame, pivot: int = 2025) -> DataFrame:
     return validated(once(rows, choice=pick_by_label(F.col("text"), F.struct("amounts", "dates"))).where("choice.is_bill"))
 
 
+def _total(amount: Column) -> Column:
+    """A sum exact to the cent; with amounts too large for that, or none at all (not a number), the sum of doubles."""
+    exact = amount.try_cast("decimal(38,2)")
+    return F.when(F.count_if(amount.isNotNull() & exact.isNull()) == 0, F.try_sum(exact).cast("double")).otherwise(F.sum(amount))
+
+
 def category_totals(bills: DataFrame) -> DataFrame:
     """(category, total): signed amounts by category; categories without any amount are left out."""
     rows = bills.where("is_bill and amount is not null")
-    total = F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
+    total = _total(F.col("amount"))
     return rows.groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("Other")).alias("category")).agg(total.alias("total"))
 
 
@@ -104,7 +110,7 @@ def past_due(bills: DataFrame, as_of: str) -> DataFrame:
 def due_totals(bills: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
     """(state, total, bills) of upcoming and past-due bills. A null amount adds nothing but counts."""
     both = upcoming(bills, as_of, days).withColumn("state", F.lit("upcoming")).unionByName(past_due(bills, as_of).withColumn("state", F.lit("past_due")))
-    return both.groupBy("state").agg(F.sum(F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(18,2)")).cast("double").alias("total"), F.count("*").alias("bills"))
+    return both.groupBy("state").agg(_total(F.coalesce(F.col("amount"), F.lit(0.0))).alias("total"), F.count("*").alias("bills"))
 
 
 def by_due_date(bills: DataFrame) -> DataFrame:

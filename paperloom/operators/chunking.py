@@ -3,12 +3,13 @@ function in batches of rows; what is known of a chunk afterwards is worked out b
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
 from .structure import content_types, last_headings, with_blocks
@@ -66,28 +67,50 @@ def token_split(text: str, path: str, size: int | None = None, overlap: int | No
     return [c for i in starts if (c := tokenizer.decode(ids[i : i + size]))]
 
 
-def _annotated(split: DataFrame, method: str) -> DataFrame:
-    """(doc_id, chunk_index, page_content, split_method, context_headings, content_types_in_chunk) of rows with an array of chunks."""
-    rows = with_blocks(split.select("doc_id", F.posexplode("chunks").alias("chunk_index", "page_content")), "page_content")
-    return rows.select("doc_id", "chunk_index", "page_content", F.lit(method).alias("split_method"), last_headings(F.col("blocks")).alias("context_headings"), content_types(F.col("blocks")).alias("content_types_in_chunk"))
+def _annotated(split: DataFrame, method: Column) -> DataFrame:
+    """The rows of a table with an array of chunks, a row for each chunk: other columns, chunk_index, page_content, split_method,
+    context_headings, content_types_in_chunk."""
+    keep = [c for c in split.columns if c not in ("text", "chunks", "__split")]
+    rows = with_blocks(split.select(*keep, method.alias("split_method"), F.posexplode("chunks").alias("chunk_index", "page_content")), "page_content")
+    return rows.select(*keep, "chunk_index", "page_content", "split_method", last_headings(F.col("blocks")).alias("context_headings"), content_types(F.col("blocks")).alias("content_types_in_chunk"))
 
 
-def recursive_chunks(documents: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
+def _cut(documents: DataFrame, split: Callable[[str], list[str]], method: str) -> DataFrame:
     @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: recursive_split(t, size, overlap) if t and t.strip() else [])
+            yield batch.map(lambda t: split(t) if t and t.strip() else [])
+
+    return _annotated(documents.select("*", run("text").alias("chunks")), F.lit(method))
 
-    return _annotated(documents.select("doc_id", split("text").alias("chunks")), "recursive")
+
+def recursive_chunks(documents: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
+    return _cut(documents, lambda t: recursive_split(t, size, overlap), "recursive")
 
 
 def token_chunks(documents: DataFrame, path: str, size: int | None = None, overlap: int | None = None) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: token_split(t, path, size, overlap) if t and t.strip() else [])
+    return _cut(documents, lambda t: token_split(t, path, size, overlap), "token")
+
+
+def cascade(documents: DataFrame, splitters: list[tuple[str, Callable[[str], list[str]]]]) -> DataFrame:
+    """Chunks of the first splitter, by name, that gives some for a text; one that fails, or gives none, makes way for the next. A text that
+    none can cut has no chunks."""
 
-    return _annotated(documents.select("doc_id", split("text").alias("chunks")), "token")
+    @F.pandas_udf("method string, chunks array<string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["method", "chunks"])
+
+    def one(text: str | None) -> tuple[str | None, list[str]]:
+        for name, split in splitters if text and text.strip() else ():
+            try:
+                if chunks := split(text):
+                    return name, chunks
+            except Exception as e:  # noqa: BLE001  the next one is tried
+                logging.getLogger(__name__).warning("%s splitter: %s", name, e)
+        return None, []
+
+    rows = documents.withColumn("__split", run.asNondeterministic()("text"))
+    return _annotated(rows.withColumn("chunks", F.col("__split.chunks")), F.col("__split.method"))
 
 
 def topics(vectors, most: int = 10, seed: int = 42, steps: int = 50) -> list[int]:
@@ -120,16 +143,20 @@ def semantic_chunks(documents: DataFrame, embed, path: str, size: int | None = N
 
     A text's paragraphs are clustered where the text is: no row waits for another."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: one(t) if t and t.strip() else [])
+    return _cut(documents, lambda t: semantic_split(t, embed, path, size, overlap), "semantic")
 
-    def one(text: str) -> list[str]:
-        paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-        groups: dict[int, list[str]] = {}
-        for topic, p in zip(topics(embed(paragraphs)) if len(paragraphs) > 1 else [0], paragraphs, strict=True):
-            groups.setdefault(topic, []).append(p)
-        return [c for g in groups.values() for c in token_split("\n\n".join(g), path, size, overlap)]
 
-    return _annotated(documents.select("doc_id", split("text").alias("chunks")), "semantic")
+def semantic_split(text: str, embed, path: str, size: int | None = None, overlap: int | None = None) -> list[str]:
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    groups: dict[int, list[str]] = {}
+    for topic, p in zip(topics(embed(paragraphs)) if len(paragraphs) > 1 else [0], paragraphs, strict=True):
+        groups.setdefault(topic, []).append(p)
+    return [c for g in groups.values() for c in token_split("\n\n".join(g), path, size, overlap)]
+
+
+def pooled(vectors, mask):
+    """Mean-pooled embeddings: of texts' token vectors (texts, tokens, size), the mean of those that the mask (texts, tokens) keeps."""
+    import numpy as np
+
+    kept = np.asarray(mask, dtype=float)[..., None]
+    return (np.asarray(vectors, dtype=float) * kept).sum(1) / np.maximum(kept.sum(1), 1e-9)

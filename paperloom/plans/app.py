@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ANSWER_PROMPT, ENTITIES_PROMPT, NO_SUMMARY, NO_TEXT, SUMMARY_PROMPT
@@ -9,18 +11,25 @@ from ..functions.candidates import looks_like_bill
 from ..functions.text import basename, fill
 from ..operators import bills, chunking, corpus, entities, retrieval, stitch
 from ..schemas import CHOICE
-from ..sources import files, store
+from ..sources import files, pdf, store
 from .providers import Embedder, Generator, embedded, generated
 
 
-def index(spark: SparkSession, folder: str, path: str, embedder: Embedder) -> bool:
-    """Builds the chunk store of a folder's text and DOCX files; whether its first chunks look like bills."""
-    found = files.folder(spark, folder)
+def index(spark: SparkSession, folder: str, path: str, embedder: Embedder, reader: pdf.PdfReader | None = None, images: pdf.ImageReader | None = None, tokens: str | None = None) -> bool:
+    """Builds the chunk store of a folder's text, DOCX and PDF files; whether its first chunks look like bills.
+
+    Files that can't be read are in the store's errors (``store.errors``), and don't stop the others. tokens: a tokenizer file, for texts that
+    the recursive splitter can't cut."""
+    found, reader = files.folder(spark, folder), reader or pdf.SimplePdf()
     plain = files.texts(found).select("source", "text", "file_type", "encoding", "content_format", "likely_delimiter")
-    read = plain.unionByName(files.docx(found).where("error is null").select("source", "text", "file_type"), allowMissingColumns=True)
-    split = chunking.recursive_chunks(read.select(F.col("source").alias("doc_id"), "text")).withColumnRenamed("doc_id", "source")
-    chunks = split.join(read.drop("text"), "source").withColumn("page", F.lit(None).cast("int"))
-    store.build(embedded(chunks, embedder), path)
+    words = files.docx(found)
+    pages = pdf.documents(pdf.parsed(found, reader, images), reader.name)
+    read = plain.unionByName(words, allowMissingColumns=True).unionByName(pages.withColumn("file_type", F.lit("pdf")), allowMissingColumns=True)
+    splitters = [("recursive", chunking.recursive_split)] + ([("token", partial(chunking.token_split, path=tokens))] if tokens else [])
+    good, summary = read.where("error is null").drop("error"), F.coalesce(F.col("content_type") == "form_data_summary", F.lit(False))
+    forms = good.where(summary).withColumnRenamed("text", "page_content").withColumn("chunk_index", F.lit(0))
+    chunks = chunking.cascade(good.where(~summary), splitters).unionByName(forms, allowMissingColumns=True)
+    store.build(embedded(chunks, embedder), path, errors=read.where("error is not null"))
     return bool(corpus.first_chunks(store.read(spark, path)).select(looks_like_bill(F.col("text")).alias("b")).first()["b"])
 
 
@@ -54,10 +63,10 @@ def insights(spark: SparkSession, path: str, model: Generator) -> dict:
 
 
 def scan_bills(spark: SparkSession, path: str, model: Generator, pivot: int = 2025) -> DataFrame:
-    """The bill records of a store, and error of those whose model failed."""
+    """The bill records of a store, and error of those whose model failed. The model is asked once for each document."""
     documents = stitch.reassemble(store.read(spark, path))
     rows = bills.with_candidates(documents, pivot).where("bill_like")
     asked = rows.withColumn("prompt", bills.prompt(F.col("text"), F.col("amounts"), F.col("dates"))).withColumn("schema", bills.choice_schema(F.col("amounts"), F.col("dates")))
     made = generated(asked, model, schema="schema").withColumn("choice", F.from_json("answer", CHOICE))
-    records = bills.validated(made.where("choice.is_bill"))
-    return records.join(made.where("error is not null").select("source", "error"), "source", "full")
+    records = bills.validated(made.where("choice.is_bill or error is not null"), keep=("error",))
+    return records.select("source", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in records.columns if c not in ("source", "error")), "error")

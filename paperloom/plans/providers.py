@@ -11,6 +11,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -26,6 +27,11 @@ class Generator(Protocol):
     def generate(self, prompt: str, schema: dict | None = None) -> str: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 @dataclass(frozen=True)
 class HashedEmbedder:
     """Stand-in: signed word hashes summed up and brought to length one."""
@@ -36,7 +42,7 @@ class HashedEmbedder:
         out = np.zeros((len(texts), self.size))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+                h = _hash(word)
                 out[i, h % self.size] += 1 if h >> 63 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
@@ -60,6 +66,7 @@ class HttpGenerator:
     """A model server that takes a prompt as JSON at /api/generate. Thinking is off; a schema binds the answer."""
 
     model: str
+    # The server's defaults.
     base_url: str = "http://localhost:11434"
     timeout: int = 1000
     temperature: float = 0.1
@@ -80,7 +87,33 @@ class HttpGenerator:
             raise RuntimeError(f"Could not reach model '{self.model}': {e}") from e
 
 
-PROVIDERS: dict[str, Callable[..., Generator]] = {"http": HttpGenerator, "echo": EchoGenerator}
+@dataclass(frozen=True)
+class ChatGenerator:
+    """A model server that takes messages as JSON at /chat/completions, with a key."""
+
+    model: str
+    key: str
+    base_url: str
+    timeout: int
+    temperature: float
+    most_tokens: int
+
+    def request(self, prompt: str, schema: dict | None = None) -> dict:
+        form = {"response_format": {"type": "json_schema", "json_schema": {"name": "answer", "schema": schema}}} if schema is not None else {}
+        return {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.most_tokens} | form
+
+    def generate(self, prompt: str, schema: dict | None = None) -> str:
+        if not self.key:
+            raise ValueError("the provider needs a key")
+        ask = urllib.request.Request(f"{self.base_url}/chat/completions", json.dumps(self.request(prompt, schema)).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        try:
+            with urllib.request.urlopen(ask, timeout=self.timeout) as answer:
+                return (json.load(answer)["choices"][0]["message"]["content"] or "").strip()
+        except (urllib.error.URLError, OSError, ValueError, LookupError) as e:
+            raise RuntimeError(f"Could not reach model '{self.model}': {e}") from e
+
+
+PROVIDERS: dict[str, Callable[..., Generator]] = {"http": HttpGenerator, "chat": ChatGenerator, "echo": EchoGenerator}
 
 
 def generator(name: str, **settings) -> Generator:
@@ -113,5 +146,6 @@ def generated(rows: DataFrame, model: Generator, prompt: str = "prompt", schema:
                 out.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["answer", "error"])
 
-    made = rows.withColumn("__made", run(F.col(prompt), F.col(schema) if schema else F.lit(None).cast("string")))
+    # Not deterministic: the plan may not write the call out again for each use of its result.
+    made = rows.withColumn("__made", run.asNondeterministic()(F.col(prompt), F.col(schema) if schema else F.lit(None).cast("string")))
     return made.withColumn("answer", F.col("__made.answer")).withColumn("error", F.col("__made.error")).drop("__made")

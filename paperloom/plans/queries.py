@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import BILL_PROMPT, CATEGORIES, STOPWORDS
 from ..functions import text as T
 from ..functions.candidates import AMOUNT, BILL_WORDS, DOTTED_DATE, amount_candidates, date_candidates, day_first, looks_like_bill
+from ..functions.once import spread
 from ..operators import bills, chatlog, chunking, corpus, entities, retrieval, stitch, structure
 from ..sources import files, models, pdf
 from ..sources.invoices import invoices
@@ -44,7 +45,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invoices(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    return invoices(spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer"))
 
 
 def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, text) of documents and invoices."""
-    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source"), "text")
+    documents = spread(table(spark, sf_dir, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source"), "text")
     return documents.unionByName(_invoices(spark, sf_dir))
 
 
@@ -64,7 +65,7 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(name), F.lit("\nSegment of "), name, F.lit(":\n- "), "c_mktsegment", F.lit("\n• balance "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("\n \n1. Nation\n2) number "), F.col("c_nationkey").cast("string"),
         F.lit("\nIV. Part, two\nA. Appendix\n"), F.repeat(F.lit("7. long line "), F.pmod("c_custkey", F.lit(12)).cast("int")), F.lit("\n\n\n  plain text\nmore,plain,text\n* last "), "c_mktsegment",
     )
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") + SHIFT).alias("doc_id"), text.alias("text")))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") + SHIFT).alias("doc_id"), text.alias("text")))
 
 
 _WS = "'" + T.SPACES + "'"

@@ -1,11 +1,151 @@
-"""What is worked out from a PDF's parts once a parser has found them. The parser itself is a provider (see providers.py)."""
+"""PDF files: a parser behind an interface, and what is worked out from the parts that it finds.
+
+No parser is in the box but ``SimplePdf``, a stand-in for files whose text is plain in their content streams; a real one has the
+same two methods. A page with too little text goes to an image reader, if there is one."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
-from ..functions.text import strip
+from ..functions.text import extension, strip
+
+
+@dataclass
+class Page:
+    """A page's text, its tables as rows of cells, and its line segments as differences of their ends."""
+
+    text: str = ""
+    tables: list[list[list[str | None]]] = field(default_factory=list)
+    segments: list[tuple[float, float]] = field(default_factory=list)
+
+
+@dataclass
+class Pdf:
+    """A file's pages, and its form's fields: name, type code, flags, value."""
+
+    pages: list[Page]
+    fields: list[tuple[str, str | None, int | None, str | None]] = field(default_factory=list)
+
+
+class PdfReader(Protocol):
+    name: str
+
+    def read(self, content: bytes) -> Pdf: ...
+
+
+class ImageReader(Protocol):
+    """Reads the text of a page's image, given the whole file and the page from 1."""
+
+    def page_text(self, content: bytes, page: int) -> str: ...
+
+
+@dataclass(frozen=True)
+class SimplePdf:
+    """Stand-in: text shown by Tj and TJ in plain or deflated streams, lines drawn by m and l, and form fields. It knows no fonts."""
+
+    name: str = "simple"
+
+    def read(self, content: bytes) -> Pdf:
+        if not content.startswith(b"%PDF"):
+            raise ValueError("not a PDF file")
+        objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content)}
+        pages = [self._page(body, objects) for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", body)]
+        fields = []
+        for _, body in sorted(objects.items()):
+            if kind := re.search(rb"/FT\s*/(\w+)", body):
+                flags, value = re.search(rb"/Ff\s+(\d+)", body), re.search(rb"/V\s*(?:\(((?:\\.|[^()\\])*)\)|/(\w+))", body)
+                shown = None if value is None else self._string(value[1]) if value[1] is not None else value[2].decode()
+                name = re.search(rb"/T\s*\(((?:\\.|[^()\\])*)\)", body)
+                fields.append((self._string(name[1]) if name else "", kind[1].decode(), int(flags[1]) if flags else None, shown))
+        return Pdf(pages, fields)
+
+    def _page(self, body: bytes, objects: dict[int, bytes]) -> Page:
+        page = Page()
+        wanted = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", body)
+        for number in re.findall(rb"(\d+)\s+\d+\s+R", (wanted[1] or wanted[2]) if wanted else b""):
+            part = re.search(rb"(?s)stream\r?\n(.*?)\r?\nendstream", objects.get(int(number), b""))
+            if part is None:
+                continue
+            data = zlib.decompress(part[1]) if b"/FlateDecode" in objects[int(number)] else part[1]
+            at = (0.0, 0.0)
+            for m in re.finditer(rb"\((?:\\.|[^()\\])*\)\s*Tj|\[[^\]]*\]\s*TJ|T\*|\bTd\b|\bTD\b|(-?[\d.]+)\s+(-?[\d.]+)\s+([ml])\b", data):
+                if m[3]:
+                    to = float(m[1]), float(m[2])
+                    if m[3] == b"l":
+                        page.segments.append((to[0] - at[0], to[1] - at[1]))
+                    at = to
+                elif m[0].endswith((b"Tj", b"TJ")):
+                    page.text += "".join(self._string(x) for x in re.findall(rb"\(((?:\\.|[^()\\])*)\)", m[0]))
+                elif page.text and not page.text.endswith("\n"):
+                    page.text += "\n"
+        return page
+
+    @staticmethod
+    def _string(raw: bytes) -> str:
+        return re.sub(rb"\\(.)", rb"\1", raw).decode("latin-1")
+
+
+PARSED = (
+    "source string, page int, total_pages int, text string, tables array<array<array<string>>>, fields array<struct<name:string,kind:string,flags:int,value:string>>, "
+    "horizontal int, vertical int, image_text string, error string"
+)
+
+
+def parsed(files: DataFrame, reader: PdfReader, images: ImageReader | None = None) -> DataFrame:
+    """A row for each page of the PDF files among files (path, content), and one of page 0 with the fields of each. A file that can't be read
+    has one row, with an error; images: read for pages with too little text."""
+    import math
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        pdf = reader.read(content)
+        n = len(pdf.pages)
+        yield path, 0, n, None, [], [{"name": a, "kind": b, "flags": c, "value": d} for a, b, c, d in pdf.fields], 0, 0, None, None
+        for k, page in enumerate(pdf.pages, 1):
+            angles = [abs(math.degrees(math.atan2(dy, dx))) for dx, dy in page.segments]
+            short = images is not None and len(page.text.strip()) < SETTINGS.least_text and not page.tables
+            yield path, k, n, page.text, page.tables, [], sum(a < 10 or a > 170 for a in angles), sum(80 < a < 100 for a in angles), images.page_text(content, k) if short else None, None
+
+    kinds = pa.schema([("source", pa.string()), ("page", pa.int32()), ("total_pages", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.list_(pa.list_(pa.string())))),
+                       ("fields", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("flags", pa.int32()), ("value", pa.string())]))), ("horizontal", pa.int32()), ("vertical", pa.int32()), ("image_text", pa.string()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    out = list(rows(path, content.as_py()))
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file goes into its row
+                    out = [(path, None, None, None, [], [], None, None, None, f"{type(e).__name__}: {e}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    return files.where(extension(F.col("path")) == ".pdf").select("path", "content").mapInArrow(run, PARSED)
+
+
+def documents(pages: DataFrame, reader: str) -> DataFrame:
+    """(source, page, total_pages, text, content_type, content_extracted, rotated_degrees, error) of what ``parsed`` gives: the form's summary as
+    page 0 if there are fields, and each page with its text, its tables and what was read from its image. Pages without any text are left out."""
+    form = form_summary(F.transform("fields", lambda f: F.struct(f["name"].alias("name"), field_type(f["kind"], f["flags"]).alias("type"), F.lit("N/A").alias("page"), field_value(f["value"]).alias("value"))))
+    tables = F.array_join(F.transform("tables", lambda t, i: table_text(F.col("page"), i + 1, t)), "")
+    own = strip(F.coalesce("text", F.lit("")))
+    body = F.concat(F.when(own != "", F.concat(own, F.lit("\n\n"))).otherwise(""), tables)
+    image = strip(F.coalesce("image_text", F.lit("")))
+    by_image = needs_ocr(body) & (image != "")
+    whole = strip(F.when(by_image, F.concat(body, F.lit("--- OCR Extracted Text ---\n"), image, F.lit("\n---\n"))).otherwise(body))
+    log = F.array_join(F.array_sort(F.array_compact(F.array(F.when(own != "", f"Text({reader})"), F.when(F.size("tables") > 0, F.concat(F.lit("Tables("), F.size("tables").cast("string"), F.lit(")"))), F.when(by_image, "Text(OCR)")))), ", ")
+    turned = F.nullif(rotation(F.col("horizontal"), F.col("vertical")), F.lit(0))
+    summary = F.col("page") == 0
+    out = pages.select(
+        "source", "page", "total_pages", F.when(summary, F.when(F.size("fields") > 0, form)).otherwise(whole).alias("text"), F.when(summary, "form_data_summary").alias("content_type"),
+        F.when(~summary, F.coalesce(F.nullif(log, F.lit("")), F.lit("None"))).alias("content_extracted"), F.when(~summary, turned).alias("rotated_degrees"), "error",
+    )
+    return out.where(F.col("error").isNotNull() | (F.coalesce("text", F.lit("")) != ""))
 
 
 def field_type(kind: Column, flags: Column) -> Column:

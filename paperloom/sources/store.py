@@ -1,24 +1,41 @@
-"""The chunk store: a Parquet table, parted by source bucket, that is always rebuilt whole."""
+"""The chunk store: a Parquet table, parted by source bucket, that is always rebuilt whole, and the errors of files beside it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BUCKETS = 64
+BUCKETS, SALTS = 64, 8
+#: The bucket column's name says how many there are, so that a store of any size is read as it was written.
+_BUCKET, _ERRORS = "bucket_of_", "_errors"
 
 
-def build(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Writes the store anew. A source's chunks are in one bucket, so that reading one source reads one folder."""
-    bucket = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(buckets)).cast("int")
-    chunks.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(*chunks.columns[:1]), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def _bucket(source, buckets: int):
+    return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(buckets)).cast("int")
 
 
-def read(spark: SparkSession, path: str, source: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, errors: DataFrame | None = None) -> None:
+    """Writes the store anew. A source's chunks are in one bucket, so that reading one source reads one folder; a bucket's chunks
+    are dealt to several tasks by their index, so that a large source isn't one task. errors: (source, error) of what couldn't be read."""
+    name = f"{_BUCKET}{buckets}"
+    dealt = chunks.withColumn(name, _bucket(F.col("source"), buckets))
+    salt = F.pmod(F.xxhash64("page", "chunk_index") if "page" in chunks.columns else F.xxhash64("chunk_index"), F.lit(SALTS))
+    dealt.repartition(name, salt).write.mode("overwrite").partitionBy(name).parquet(path)
+    if errors is not None:
+        errors.select("source", "error").write.mode("overwrite").parquet(f"{path}/{_ERRORS}")
+
+
+def read(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """The store's chunks, or those of one source; others' folders aren't read."""
     chunks = spark.read.parquet(path)
+    name = next(c for c in chunks.columns if c.startswith(_BUCKET))
     if source is not None:
-        chunks = chunks.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(source)), F.lit(buckets)).cast("int")).where(F.col("source") == source)
-    return chunks.drop("bucket")
+        chunks = chunks.where(F.col(name) == _bucket(F.lit(source), int(name.removeprefix(_BUCKET)))).where(F.col("source") == source)
+    return chunks.drop(name)
+
+
+def errors(spark: SparkSession, path: str) -> DataFrame:
+    """(source, error) of the files that couldn't be read when the store was built."""
+    return spark.read.schema("source string, error string").parquet(f"{path}/{_ERRORS}")
 
 
 def wipe(spark: SparkSession, path: str) -> bool:

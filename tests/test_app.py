@@ -1,14 +1,17 @@
 import io
 import json
 import threading
+import uuid
 import zipfile
+import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.operators import bills
+from paperloom.operators import bills, chunking
 from paperloom.plans import app, providers
-from paperloom.sources import files, store
+from paperloom.sources import files, pdf, store
 from paperloom.streaming import ingest
 
 INVOICE = "Invoice 7\nFrom: Acme\nCategory: Telecom\nInvoice date: 2025-03-04\nPayment due date: April 3, 2025\nAmount due: $1,234.56\n"
@@ -27,12 +30,97 @@ def folder(tmp_path):
     with zipfile.ZipFile(docs / "e.docx", "w") as z:
         z.writestr("word/document.xml", body)
     (docs / "broken.docx").write_bytes(b"no zip")
+    (docs / "torn.pdf").write_bytes(b"no pdf")
     return docs
 
 
+def pdf_file(*streams, fields=b""):
+    """A small PDF: a page for each content stream, every second one deflated."""
+    out, objects = b"%PDF-1.4\n", []
+    for k, s in enumerate(streams):
+        data, how = (zlib.compress(s), b"/Filter /FlateDecode ") if k % 2 else (s, b"")
+        objects += [b"<< /Type /Page /Contents %d 0 R >>" % (2 * k + 2), b"<< %s/Length %d >>\nstream\n%s\nendstream" % (how, len(data), data)]
+    for k, body in enumerate([*objects, *fields], 1):
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
+    return out + b"%%EOF"
+
+
+PAGES = [b"BT (Invoice 9 from the \\(old\\) shop,) Tj T* [(Amount) -20 ( due $7.50)] TJ ET", b"0 0 m 0 9 l 5 5 m 5 9 l BT (scan) Tj ET"]
+FIELDS = [b"<< /FT /Tx /T (name) /V (Ann \\(A\\)) >>", b"<< /FT /Btn /T (paid) /Ff 0 /V /Yes >>", b"<< /FT /Btn /T (kind) /Ff 32768 >>"]
+
+
+def test_pdf_pages(spark, tmp_path):
+    class Eyes:
+        def page_text(self, content, page):
+            return f"page {page} as an image"
+
+    (tmp_path / "a.pdf").write_bytes(pdf_file(*PAGES, fields=FIELDS))
+    (tmp_path / "b.PDF").write_bytes(b"nothing")
+    found = files.folder(spark, str(tmp_path))
+    rows = {(r.source.rsplit("/", 1)[1], r.page): r for r in pdf.documents(pdf.parsed(found, pdf.SimplePdf(), Eyes()), "simple").collect()}
+    assert set(rows) == {("a.pdf", 0), ("a.pdf", 1), ("a.pdf", 2), ("b.PDF", None)} and "not a PDF" in rows["b.PDF", None].error
+    assert rows["a.pdf", 0].text == "Document Form Fields:\n- Field 'name' (Type: Text, Page: N/A): 'Ann (A)'\n- Field 'paid' (Type: Checkbox, Page: N/A): 'True'\n- Field 'kind' (Type: Radio, Page: N/A): 'None'"
+    assert rows["a.pdf", 1].text == "Invoice 9 from the (old) shop,\nAmount due $7.50" and rows["a.pdf", 1].content_extracted == "Text(simple)" and rows["a.pdf", 1].rotated_degrees is None
+    assert rows["a.pdf", 2].text == "scan\n\n--- OCR Extracted Text ---\npage 2 as an image\n---" and rows["a.pdf", 2].content_extracted == "Text(OCR), Text(simple)" and rows["a.pdf", 2].rotated_degrees == 90
+    class Tables:
+        name = "t"
+
+        def read(self, content):
+            return pdf.Pdf([pdf.Page("", [[["a", " b\nc "], [None, "d"]]])])
+
+    row = pdf.documents(pdf.parsed(found, Tables()), "t").first()
+    assert row.text == "--- Table 1.1 ---\na\tb c\n\td\n---" and row.content_extracted == "Tables(1)"
+
+
+def test_model_is_asked_once_for_each_document(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for k in range(10):
+        (tmp_path / "docs" / f"{k}.txt").write_text(INVOICE.replace("7", str(k)))
+    path, log = str(tmp_path / "store"), tmp_path / "calls"
+    log.mkdir()
+
+    class Counting:
+        def generate(self, prompt, schema=None):
+            (log / uuid.uuid4().hex).write_text("")
+            if "Invoice 3" in prompt:
+                raise RuntimeError("gone")
+            return json.dumps({"is_bill": "Invoice 4" not in prompt, "vendor": "A", "category": "", "total_due": "", "due_date": "", "issue_date": ""})
+
+    app.index(spark, str(tmp_path / "docs"), path, providers.HashedEmbedder())
+    rows = app.scan_bills(spark, path, Counting()).collect()
+    assert len(list(log.iterdir())) == 10 and len(rows) == 9 and [r.error for r in rows if r.id is None] == ["RuntimeError: gone"]
+
+
+def test_cascade_of_chunkers(spark):
+    def broken(text):
+        raise ValueError("no")
+
+    rows = spark.createDataFrame([(1, "one two", "x"), (2, " ", "y"), (3, None, "z")], "doc_id int, text string, source string")
+    got = chunking.cascade(rows, [("a", broken), ("b", lambda t: []), ("c", str.split)]).collect()
+    assert [(r.doc_id, r.source, r.chunk_index, r.page_content, r.split_method) for r in got] == [(1, "x", 0, "one", "c"), (1, "x", 1, "two", "c")]
+    assert chunking.cascade(rows, [("a", broken)]).count() == 0
+    assert chunking.pooled([[[1, 2], [3, 4], [9, 9]]], [[1, 1, 0]]).tolist() == [[2, 3]]
+
+
+def test_store_splits_a_large_source_and_keeps_its_buckets(spark, tmp_path):
+    chunks = spark.range(3000).selectExpr("if(id < 2000, 'big', concat('s', id)) AS source", "cast(id as int) AS chunk_index", "'t' AS page_content")
+    # Small parts are joined again otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store.build(chunks, str(tmp_path / "s"), buckets=4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.read(spark, str(tmp_path / "s")).count() == 3000 and store.read(spark, str(tmp_path / "s"), "big").count() == 2000
+    assert store.read(spark, str(tmp_path / "s"), "big").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_totals_of_odd_amounts(spark):
+    rows = spark.createDataFrame([(True, "a", 1e20, "2025-01-01"), (True, "a", -0.1, None), (True, "b", 1e300, "x"), (True, "b", 0.2, "2025-01-01"), (True, "c", 0.1, "2025-01-01"), (True, "c", 0.2, "2025-02-30"), (True, "d", None, ""), (False, "e", 5.0, "2025-01-01")], "is_bill boolean, category string, amount double, due_date string")
+    got = {r.category: r.total for r in bills.category_totals(rows).collect()}
+    assert got == {"a": 1e20, "b": 1e300, "c": 0.3} and {r.state: (r.total, r.bills) for r in bills.due_totals(rows, "2025-01-01").collect()} == {"upcoming": (1e20 + 0.3, 3)}
+
+
 def test_folder(spark, folder):
     found = files.folder(spark, str(folder))
-    assert [(r.name, r.type) for r in files.listing(files.names(spark, str(folder))).collect()] == [("a.TXT", "txt"), ("b.md", "md"), ("broken.docx", "doc"), ("e.docx", "doc"), ("empty.txt", "txt")]
+    assert [(r.name, r.type) for r in files.listing(files.names(spark, str(folder))).collect()] == [("a.TXT", "txt"), ("b.md", "md"), ("broken.docx", "doc"), ("e.docx", "doc"), ("empty.txt", "txt"), ("torn.pdf", "pdf")]
     texts = {r.source.rsplit("/", 1)[1]: r for r in files.texts(found).collect()}
     assert texts["b.md"].text == "Grüße an alle" and texts["b.md"].encoding == "latin-1" and texts["a.TXT"].encoding == "utf-8" and "empty.txt" not in texts
     docx = {r.source.rsplit("/", 1)[1]: r for r in files.docx(found).collect()}
@@ -60,6 +148,7 @@ def test_index_ask_and_scan(spark, folder, tmp_path):
     record = app.scan_bills(spark, path, Clerk()).first()
     assert record.vendor == "Unknown" and record.category == "Other" and record.amount == 1234.56 and record.amount_confident
     assert record.due_date is None and record.due_date_raw == "never" and not record.due_date_confident and record.issue_date_raw is None
+    assert {(r.source.rsplit("/", 1)[1], r.error.split(":")[0]) for r in store.errors(spark, path).collect()} == {("broken.docx", "BadZipFile"), ("torn.pdf", "ValueError")}
     failed = app.scan_bills(spark, path, Broken()).first()
     assert failed.id is None and "gone" in failed.error
     assert store.wipe(spark, path) and not store.wipe(spark, path)
