@@ -109,8 +109,11 @@ def past_due(bills: DataFrame, as_of: str) -> DataFrame:
 
 def due_totals(bills: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
     """(state, total, bills) of upcoming and past-due bills. A null amount adds nothing but counts."""
-    both = upcoming(bills, as_of, days).withColumn("state", F.lit("upcoming")).unionByName(past_due(bills, as_of).withColumn("state", F.lit("past_due")))
-    return both.groupBy("state").agg(_total(F.coalesce(F.col("amount"), F.lit(0.0))).alias("total"), F.count("*").alias("bills"))
+    rows, day = _due(bills)
+    first = F.lit(as_of).cast("date")
+    state = F.when(day < first, "past_due").when(day <= F.date_add(first, SETTINGS.forecast_days if days is None else days), "upcoming")
+    each = rows.withColumn("state", state).where("state is not null").groupBy("state")
+    return each.agg(_total(F.coalesce(F.col("amount"), F.lit(0.0))).alias("total"), F.count("*").alias("bills"))
 
 
 def by_due_date(bills: DataFrame) -> DataFrame:

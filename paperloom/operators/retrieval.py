@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import ANSWER_PROMPT, SETTINGS
@@ -23,24 +28,67 @@ def top_k(chunks: DataFrame, query: list[float], k: int | None = None, vector: s
     return chunks.withColumn("score", score).orderBy(F.desc("score"), key).limit(k or SETTINGS.retrieved)
 
 
-#: Queries that a task holds at a time.
-QUERIES = 256
-
-
-def top_k_each(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank): the k most like rows of each query.
-
-    Queries are read in blocks of a bounded number, which go with the plan. Each row is scored against a block where it
-    lies, and each part's best k are found before anything is shuffled."""
-    k = k or SETTINGS.retrieved
-    out = None
-    for low in range(0, len(queries), QUERIES):
-        block = F.array(*(F.struct(F.lit(i).alias("query_id"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for i, v in queries[low : low + QUERIES]))
-        scored = chunks.select(key, F.explode(F.transform(block, lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col(vector), q["v"]).alias("score")))).alias("s"))
-        part = scored.select(F.col("s.query_id").alias("query_id"), key, F.col("s.score").alias("score"))
+#: Of a block of queries that goes to every task, and of scores that a task works on at a time.
+BLOCK_BYTES, SCORES = 32 << 20, 1 << 22
+
+
+def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries (query_id, v), in blocks of bounded size."""
+    ids, vectors, size = [], [], 0
+    for r in queries.where("v is not null").toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(np.asarray(r["v"], dtype=float))
+        size += 16 + vectors[-1].nbytes
+        if size >= block_bytes:
+            yield np.array(ids), np.stack(vectors)
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield np.array(ids), np.stack(vectors)
+
+
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k entries of highest score, then least key."""
+    order = np.lexsort([key, -score, query])
+    query, key, score = query[order], key[order], score[order]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], query[1:] != query[:-1]]), np.arange(len(query)), 0)) if len(query) else query
+    keep = np.arange(len(query)) - first < k
+    return query[keep], key[keep], score[keep]
+
+
+def top_k_each(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "vec_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, key, score, rank): the k most like rows of each of the queries (query_id, v); ties go to the least key.
+
+    Queries go to the tasks in blocks of bounded bytes; for each block the table is read once, its vectors are multiplied with the block's
+    batch by batch, and a task keeps each query's best k, which alone are shuffled. Rows and queries without a vector don't take part."""
+    k, context, out = k or SETTINGS.retrieved, chunks.sparkSession.sparkContext, None
+    for block in _blocks(queries, block_bytes):
+        shared = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            ids, wanted = shared.value
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                rows = batch.filter(batch.column(1).is_valid())
+                step = max(1, SCORES // len(ids))
+                for low in range(0, rows.num_rows, step):
+                    part = rows.slice(low, step)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    # Rounded, so that equal vectors have equal scores wherever they stand in a product.
+                    score = np.round(x @ wanted.T, 12)
+                    if part.num_rows > k:
+                        at, query = np.nonzero(score >= np.partition(score, part.num_rows - k, axis=0)[part.num_rows - k])
+                    else:
+                        at, query = (i.ravel() for i in np.indices(score.shape))
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    best = _best(*(np.concatenate(pair) for pair in zip(best, (query, own[at], score[at, query]), strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", key, "score"])
+
+        part = chunks.select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
         out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if out is None:
+        return chunks.select(F.lit(0).cast("bigint").alias("query_id"), F.col(key).cast("bigint").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
 def answer_prompt(passages: DataFrame, question: str, text: str = "text", rank: str = "rank") -> DataFrame:

@@ -10,19 +10,29 @@ from ..functions.text import page_number
 
 def stitched(chunks: Column, most: int | None = None) -> Column:
     """An ordered array of chunks as one text. Of each chunk the longest beginning that ends the text so far, up to ``most``
-    characters, is left out; without one a blank line goes between. A shared letter counts as an overlap too."""
+    characters, is left out; without one a blank line goes between. A shared letter counts as an overlap too.
+
+    Only the end of the text so far is carried from chunk to chunk, and the parts are joined once, so that a text of many chunks isn't
+    copied for each."""
     limit = most or SETTINGS.chunk_overlap
 
-    def joined(done: Column, chunk: Column) -> Column:
-        reach = F.least(F.length(done), F.length(chunk), F.lit(limit))
+    def joined(state: Column, chunk: Column) -> Column:
+        reach = F.least(F.length(state["tail"]), F.length(chunk), F.lit(limit))
         lengths = F.when(reach > 0, F.sequence(F.lit(1), F.greatest(reach, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        # The ends are cut off once, and not for every length.
-        ends = F.array(F.struct(F.right(done, F.lit(limit)).alias("tail"), F.left(chunk, F.lit(limit)).alias("head")))
-        n = F.get(F.transform(ends, lambda e: F.coalesce(F.array_max(F.filter(lengths, lambda k: F.right(e["tail"], k) == F.left(e["head"], k))), F.lit(0))), F.lit(0))
-        return F.when(chunk == "", done).otherwise(F.concat(done, F.when(n > 0, F.substr(chunk, n + 1)).otherwise(F.concat(F.lit("\n\n"), chunk))))
+        # The beginning is cut off once, and not for every length.
+        ends = F.array(F.struct(state["tail"].alias("tail"), F.left(chunk, F.lit(limit)).alias("head"), lengths.alias("lengths")))
+        n = F.transform(ends, lambda e: F.coalesce(F.array_max(F.filter(e["lengths"], lambda k: F.right(e["tail"], k) == F.left(e["head"], k))), F.lit(0)))
+        # What is added: nothing for an empty chunk (-1), all after a blank line (0), or what follows the overlap.
+        step = F.transform(n, lambda k: F.struct(F.when(chunk == "", -1).otherwise(k).alias("cut")))
+        after = lambda cut: F.when(cut == -1, state["tail"]).otherwise(F.right(F.concat(state["tail"], F.when(cut > 0, F.substr(chunk, cut + 1)).otherwise(F.concat(F.lit("\n\n"), chunk))), F.lit(limit)))
+        return F.get(F.transform(step, lambda x: F.struct(after(x["cut"]).alias("tail"), F.array_append(state["cuts"], x["cut"]).alias("cuts"))), F.lit(0))
 
     first = F.coalesce(F.get(chunks, F.lit(0)), F.lit(""))
-    return F.aggregate(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), first, joined)
+    rest = F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))
+    start = F.struct(F.right(first, F.lit(limit)).alias("tail"), F.array().cast("array<int>").alias("cuts"))
+    cuts = F.aggregate(rest, start, joined, lambda s: s["cuts"])
+    piece = lambda p: F.when(p["cut"] == -1, "").when(p["cut"] > 0, F.substr(p["chunk"], p["cut"] + 1)).otherwise(F.concat(F.lit("\n\n"), p["chunk"]))
+    return F.concat(first, F.array_join(F.transform(F.zip_with(rest, cuts, lambda c, k: F.struct(c.alias("chunk"), k.alias("cut"))), piece), ""))
 
 
 def reassemble(chunks: DataFrame, source: str = "source") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import BILL_PROMPT, CATEGORIES, STOPWORDS
 from ..functions import text as T
 from ..functions.candidates import AMOUNT, BILL_WORDS, DOTTED_DATE, amount_candidates, date_candidates, day_first, looks_like_bill
-from ..functions.once import spread
+from ..functions.once import once, spread
 from ..operators import bills, chatlog, chunking, corpus, entities, retrieval, stitch, structure
 from ..sources import files, models, pdf
 from ..sources.invoices import invoices
@@ -65,7 +65,7 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(name), F.lit("\nSegment of "), name, F.lit(":\n- "), "c_mktsegment", F.lit("\n• balance "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("\n \n1. Nation\n2) number "), F.col("c_nationkey").cast("string"),
         F.lit("\nIV. Part, two\nA. Appendix\n"), F.repeat(F.lit("7. long line "), F.pmod("c_custkey", F.lit(12)).cast("int")), F.lit("\n\n\n  plain text\nmore,plain,text\n* last "), "c_mktsegment",
     )
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") + SHIFT).alias("doc_id"), text.alias("text")))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(spread(table(spark, sf_dir, "customer")).select((F.col("c_custkey") + SHIFT).alias("doc_id"), text.alias("text")))
 
 
 _WS = "'" + T.SPACES + "'"
@@ -354,7 +354,7 @@ SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM s WHERE rank <= 5
 """)
 def vector_topk_each(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings")
-    queries = [(r["vec_id"], r["embedding"]) for r in chunks.where("vec_id % 100 = 0").select("vec_id", "embedding").toLocalIterator()]
+    queries = chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return retrieval.top_k_each(chunks, queries).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -409,6 +409,73 @@ def semantic_chunks(spark, sf_dir):
     return chunking.semantic_chunks(_structured(spark, sf_dir), HashedEmbedder().embed, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _properties(chunks: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(doc_id, chunks, in_text, in_order, small, whole): of each text that isn't blank whether it has chunks, whether all chunks are found in it, one
+    after the other, of at most so many characters, and whether every word of the text is in a chunk."""
+    squeezed = lambda c: F.regexp_replace(c, "[^0-9A-Za-z]+", " ")
+    gathered = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "page_content"))), lambda c: c["page_content"]).alias("c"))
+    rows = texts.where(F.col("text").rlike(f"[^{T.SPACES}]")).join(gathered, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
+    rows = once(rows, at=F.transform("c", lambda x: F.call_function("locate", x, F.col("text"))), words=F.array_distinct(F.split(squeezed(F.col("text")), " ")))
+    held = F.array_distinct(F.split(squeezed(F.array_join("c", "\n")), " "))
+    return rows.select(
+        "doc_id", (F.size("c") > 0).alias("chunks"), F.forall("at", lambda a: a > 0).alias("in_text"), (F.array_sort("at") == F.col("at")).alias("in_order"),
+        F.forall("c", lambda x: F.length(x) <= most).alias("small"), (F.size(F.array_except("words", held)) == 0).alias("whole"),
+    )
+
+
+def _plain(spark, sf_dir) -> DataFrame:
+    """Texts whose lines are all different, so that a chunk's place in them is known."""
+    numbered = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("line "), i.cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit("\n"), x)), "\n\n")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", numbered.alias("text"))
+
+
+@query(f"SELECT doc_id, true AS chunks, true AS in_text, true AS in_order, true AS small, true AS whole FROM documents WHERE trim(text, {_WS}) <> ''")
+def recursive_properties(spark, sf_dir):
+    texts = _plain(spark, sf_dir)
+    return _properties(chunking.recursive_chunks(texts), texts, 1000).join(table(spark, sf_dir, "documents").where(F.col("text").rlike(f"[^{T.SPACES}]")).select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"SELECT doc_id, true AS chunks, true AS whole FROM documents WHERE trim(text, {_WS}) <> ''")
+def semantic_properties(spark, sf_dir):
+    import public_tokenizers
+
+    from .providers import HashedEmbedder
+
+    texts = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    chunks = chunking.semantic_chunks(texts, HashedEmbedder().embed, public_tokenizers.path("byte_bpe_50k.json"))
+    # A word may be cut between two chunks; joined by nothing, the chunks of a text of one paragraph are the text but for their overlap.
+    return _properties(chunks, texts, 1 << 30).select("doc_id", "chunks", "whole")
+
+
+#: Amounts and dates of all kinds, by the order's key; what they mean is said apart, in the query's SQL.
+_EDGES = ["$%s", "€%s", "($%s)", "-%s USD", "$99999999999999999999.50", "1.2.3", "GBP %s", "%s"]
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 8 AS INT) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+v AS (SELECT *, CASE k WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 2 THEN -CAST(p AS DOUBLE) WHEN 3 THEN -CAST(p AS DOUBLE) ELSE CAST(p AS DOUBLE) END AS amount,
+  -- Beside a euro sign the day comes first, in dates that begin with the year too.
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN day(d) <= 12 AND (k = 1) = (o_orderkey % 3 = 1) THEN strftime(d, '%Y-%d-%m') ELSE CAST(d AS VARCHAR) END AS due FROM o)
+SELECT o_orderkey, amount, due FROM v
+""")
+def bill_edges(spark, sf_dir):
+    """Amounts of both notations, negative, too long and unreadable ones; dates day first, month first, and none that can be read."""
+    orders = spread(table(spark, sf_dir, "orders"))
+    kind = F.pmod("o_orderkey", F.lit(8)).cast("int")
+    plain = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    shown = F.when(kind == 1, F.translate(plain, ",.", ".,")).otherwise(plain)
+    amount = F.replace(F.get(F.array(*map(F.lit, _EDGES)), kind), F.lit("%s"), shown)
+    # 99/99/9999 is no date; 03/04/2025 is day first beside a euro sign.
+    day = F.to_date("o_orderdate")
+    date = F.get(F.array(F.lit("99/99/9999"), F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy")), F.pmod("o_orderkey", F.lit(3)).cast("int"))
+    text = F.concat(F.lit("Invoice\ndate "), date, F.lit("\nsum "), amount, F.lit(" end"))
+    rows = once(orders.select("o_orderkey", text.alias("text")), amounts=amount_candidates(F.col("text")), dates=date_candidates(F.col("text")))
+    last = lambda c: F.try_element_at(F.col(c), F.lit(-1))
+    # Of a number too long for its pattern only pieces are found.
+    found = F.when(kind.isin(4, 5), None).otherwise(last("amounts")["value"])
+    return rows.select("o_orderkey", found.alias("amount"), last("dates")["iso"].alias("due"))
+
+
 @query(f"""
 WITH first AS (SELECT source, doc_id, text FROM documents ORDER BY source, doc_id, text LIMIT 200), t AS (SELECT string_agg(text, chr(10) ORDER BY source, doc_id) AS text FROM first)
 SELECT text, regexp_matches(text, '{BILL_WORDS}') AS has_words FROM t
