@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    # Sizes and limits, all of which are arguments where they are used.
     extensions: tuple[str, ...] = (".pdf", ".docx", ".txt", ".md")
     chunk_size: int = 1000
     chunk_overlap: int = 200
@@ -25,10 +26,11 @@ SETTINGS = Settings()
 # Fixed values.
 CATEGORIES = ["Utilities", "Rent/Mortgage", "Insurance", "Subscriptions", "Telecom", "Credit Card", "Loan", "Medical", "Other"]
 ENTITY_TYPES = ["person", "organization", "location", "date", "amount", "product", "other"]
-STOPWORDS = (
-    "The This That These Those A An It Its In On At For With As Of To From By And Or But If When While "
-    "January February March April May June July August September October November December"
-).split()
+STOPWORDS = [
+    "The", "This", "That", "These", "Those", "A", "An", "It", "Its", "In", "On", "At", "For", "With", "As", "Of",
+    "To", "From", "By", "And", "Or", "But", "If", "When", "While", "January", "February", "March", "April",
+    "May", "June", "July", "August", "September", "October", "November", "December",
+]
 EDITABLE = ["vendor", "category", "amount", "due_date", "issue_date"]
 ANSWER_PROMPT = """You are an AI assistant specialized in analyzing the provided documents. Use the following pieces of context extracted from the documents to answer the question accurately and concisely. If you don't know the answer based *only* on the context provided, explicitly state that the information is not available in the documents. Do not make up information or use external knowledge.
 

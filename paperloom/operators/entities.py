@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ENTITY_TYPES, SETTINGS, STOPWORDS
+from ..functions.candidates import MONTH
 from ..functions.once import once
 from ..functions.text import strip
 
 # Patterns.
-_MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 PATTERNS = {
     "organization": "\\b(?:[A-Z][A-Za-z0-9&.]*\\s){0,4}[A-Z][A-Za-z0-9&.]*\\s(?:Inc|Ltd|LLC|Corp|Corporation|Company|University|Institute)\\.?\\b",
-    "date": f"\\b(?:\\d{{4}}-\\d{{2}}-\\d{{2}}|{_MONTH}\\s+\\d{{1,2}},?\\s+\\d{{4}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}})\\b",
+    "date": f"\\b(?:\\d{{4}}-\\d{{2}}-\\d{{2}}|(?:{MONTH})\\s+\\d{{1,2}},?\\s+\\d{{4}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}})\\b",
     "amount": "(?:[$€£¥]\\s?\\d[\\d,]*(?:\\.\\d+)?(?:\\s?(?:million|billion|thousand|k|M|B))?\\b|\\b\\d[\\d,]*(?:\\.\\d+)?\\s?%)",
     "person": "\\b(?:[A-Z][a-zA-Z]+(?:\\s+|$)){2,3}",
 }

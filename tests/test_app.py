@@ -187,6 +187,30 @@ def test_http_generator():
         providers.generator("other")
 
 
+def test_chat_generator():
+    seen = {}
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.update(json.loads(self.rfile.read(int(self.headers["Content-Length"]))), key=self.headers["Authorization"], path=self.path)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": " hi "}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    model = providers.generator("chat", model="m", key="k", base_url=f"http://127.0.0.1:{server.server_port}", timeout=5, temperature=0.1, most_tokens=9)
+    assert model.generate("p", {"type": "object"}) == "hi" and seen["key"] == "Bearer k" and seen["path"] == "/chat/completions" and seen["messages"] == [{"role": "user", "content": "p"}]
+    server.server_close()
+    with pytest.raises(RuntimeError):
+        model.generate("p")
+    with pytest.raises(ValueError):
+        providers.generator("chat", model="m", key="", base_url="", timeout=5, temperature=0.1, most_tokens=9).generate("p")
+
+
 def test_stream_is_as_a_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, INVOICE), (2, "TITLE\nx"), (3, None)], "doc_id int, text string")
     rows.write.parquet(str(tmp_path / "in"))
