@@ -81,7 +81,8 @@ def _cut(documents: DataFrame, split: Callable[[str], list[str]], method: str) -
         for batch in texts:
             yield batch.map(lambda t: split(t) if t and t.strip() else [])
 
-    return _annotated(documents.select("*", run("text").alias("chunks")), F.lit(method))
+    # Not deterministic for the plan: it would cut each text once more to see whether there are chunks to be exploded.
+    return _annotated(documents.select("*", run.asNondeterministic()("text").alias("chunks")), F.lit(method))
 
 
 def recursive_chunks(documents: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
