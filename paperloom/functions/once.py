@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -12,6 +14,11 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(made).alias("__once")).select("*", "__once.*").drop("__once")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, inside an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows of a scan, over all cores, for work that costs much more than moving them. A scan that has as many parts already, as any
     large table's, stays as it is."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.once import once
+from ..functions.once import let, once
 from ..functions.text import SPACE, SPACES, is_upper, strip
 
 # A heading's numbering, a list item's mark, the delimiters in their order.
@@ -65,11 +65,18 @@ def last_headings(blocks: Column, most: int = 3) -> Column:
     return F.when(F.size(headings) > 0, F.array_join(kept, " > "))
 
 
+def _sample(text: Column) -> Column:
+    """A text's lines, how many there are, and the first 20 of them."""
+    return let(F.split(strip(text), "\n", -1), lambda lines: F.struct(F.size(lines).alias("n"), F.slice(lines, 1, 20).alias("first")))
+
+
+def _counts(sample: Column) -> Column:
+    return F.when(sample["n"] > 5, F.array(*(F.size(_having(sample["first"], d)) for d in DELIMITERS)))
+
+
 def delimiter_counts(text: Column) -> Column:
     """For each delimiter the lines with it, of a text's first 20 lines; null for a text of five lines or fewer."""
-    lines = F.split(strip(text), "\n", -1)
-    sample = F.slice(lines, 1, 20)
-    return F.when(F.size(lines) > 5, F.array(*(F.size(_having(sample, d)) for d in DELIMITERS)))
+    return let(_sample(text), _counts)
 
 
 def _having(lines: Column, delimiter: str) -> Column:
@@ -78,8 +85,10 @@ def _having(lines: Column, delimiter: str) -> Column:
 
 def likely_delimiter(text: Column) -> Column:
     """The delimiter in most of the first lines, at least in half of them; ties go by the delimiters' order; null for none."""
-    counts = delimiter_counts(text)
-    size = F.least(F.size(F.split(strip(text), "\n", -1)), F.lit(20))
-    most = F.array_max(counts)
-    enough = most >= F.greatest(F.lit(1), F.floor(size * 0.5))
-    return F.when(enough & (most > 0), F.get(F.array(*map(F.lit, DELIMITERS)), (F.array_position(counts, most) - 1).cast("int")))
+
+    def best(c: Column) -> Column:
+        most = F.array_max(c["counts"])
+        enough = most >= F.greatest(F.lit(1), F.floor(c["size"] * 0.5))
+        return F.when(enough & (most > 0), F.get(F.array(*map(F.lit, DELIMITERS)), (F.array_position(c["counts"], most) - 1).cast("int")))
+
+    return let(_sample(text), lambda s: let(F.struct(_counts(s).alias("counts"), F.least(s["n"], F.lit(20)).alias("size")), best))

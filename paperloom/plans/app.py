@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ANSWER_PROMPT, ENTITIES_PROMPT, NO_SUMMARY, NO_TEXT, SUMMARY_PROMPT
@@ -20,16 +21,20 @@ def index(spark: SparkSession, folder: str, path: str, embedder: Embedder, reade
 
     Files that can't be read are in the store's errors (``store.errors``), and don't stop the others. tokens: a tokenizer file, for texts that
     the recursive splitter can't cut."""
-    found, reader = files.folder(spark, folder), reader or pdf.SimplePdf()
-    plain = files.texts(found).select("source", "text", "file_type", "encoding", "content_format", "likely_delimiter")
-    words = files.docx(found)
-    pages = pdf.documents(pdf.parsed(found, reader, images), reader.name)
+    reader = reader or pdf.SimplePdf()
+    plain = files.texts(files.folder(spark, folder, (".txt", ".md"))).select("source", "text", "file_type", "encoding", "content_format", "likely_delimiter")
+    # What is parsed is read twice, for chunks and for errors.
+    words = files.docx(files.folder(spark, folder, (".docx",))).persist(StorageLevel.DISK_ONLY)
+    found = pdf.parsed(files.folder(spark, folder, (".pdf",)), reader, images).persist(StorageLevel.DISK_ONLY)
+    pages = pdf.documents(found, reader.name)
     read = plain.unionByName(words, allowMissingColumns=True).unionByName(pages.withColumn("file_type", F.lit("pdf")), allowMissingColumns=True)
     splitters = [("recursive", chunking.recursive_split)] + ([("token", partial(chunking.token_split, path=tokens))] if tokens else [])
     good, summary = read.where("error is null").drop("error"), F.coalesce(F.col("content_type") == "form_data_summary", F.lit(False))
     forms = good.where(summary).withColumnRenamed("text", "page_content").withColumn("chunk_index", F.lit(0))
     chunks = chunking.cascade(good.where(~summary), splitters).unionByName(forms, allowMissingColumns=True)
     store.build(embedded(chunks, embedder), path, errors=read.where("error is not null"))
+    words.unpersist()
+    found.unpersist()
     return bool(corpus.first_chunks(store.read(spark, path)).select(looks_like_bill(F.col("text")).alias("b")).first()["b"])
 
 

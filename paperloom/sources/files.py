@@ -12,13 +12,14 @@ from ..functions.text import basename, extension, file_type, strip
 from ..operators.structure import likely_delimiter
 
 
-def folder(spark: SparkSession, path: str) -> DataFrame:
-    """The supported files of a folder, not of those below it: path, modificationTime, length, content.
-
-    Endings are compared in lower case, which a path filter wouldn't do. Spark's reader leaves out empty files, which have no text,
-    and names that begin with '_' or '.'; ``names`` has them all."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    return files.where(extension(F.col("path")).isin(*SETTINGS.extensions))
+def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SETTINGS.extensions) -> DataFrame:
+    """The files of a folder with one of the endings, not of those below it: path, modificationTime, length, content.
+
+    Others aren't opened: the reader is given a pattern of the endings in either case. Spark's reader leaves out empty files, which have
+    no text, and names that begin with '_' or '.'; ``names`` has them all."""
+    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", f"*{{{either}}}").load(path)
+    return files.where(extension(F.col("path")).isin(*extensions))
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
