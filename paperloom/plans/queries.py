@@ -451,13 +451,13 @@ def semantic_properties(spark, sf_dir):
 _EDGES = ["$%s", "€%s", "($%s)", "-%s USD", "$99999999999999999999.50", "1.2.3", "GBP %s", "%s"]
 
 
-@query("""
-WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 8 AS INT) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+_EDGE_ROWS = """o AS (SELECT o_orderkey, CAST(o_orderkey % 8 AS INT) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
 v AS (SELECT *, CASE k WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 2 THEN -CAST(p AS DOUBLE) WHEN 3 THEN -CAST(p AS DOUBLE) ELSE CAST(p AS DOUBLE) END AS amount,
   -- Beside a euro sign the day comes first, in dates that begin with the year too.
-  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN day(d) <= 12 AND (k = 1) = (o_orderkey % 3 = 1) THEN strftime(d, '%Y-%d-%m') ELSE CAST(d AS VARCHAR) END AS due FROM o)
-SELECT o_orderkey, amount, due FROM v
-""")
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN day(d) <= 12 AND (k = 1) = (o_orderkey % 3 = 1) THEN strftime(d, '%Y-%d-%m') ELSE CAST(d AS VARCHAR) END AS due FROM o)"""
+
+
+@query(f"WITH {_EDGE_ROWS} SELECT o_orderkey, amount, due FROM v")
 def bill_edges(spark, sf_dir):
     """Amounts of both notations, negative, too long and unreadable ones; dates day first, month first, and none that can be read."""
     orders = spread(table(spark, sf_dir, "orders"))
@@ -476,6 +476,18 @@ def bill_edges(spark, sf_dir):
     return rows.select("o_orderkey", found.alias("amount"), last("dates")["iso"].alias("due"))
 
 
+@query(f"""
+WITH {_EDGE_ROWS}, c AS (SELECT 'kind ' || k AS name, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS bills FROM v WHERE amount IS NOT NULL GROUP BY k),
+d AS (SELECT CASE WHEN due < '{AS_OF}' THEN 'past_due' WHEN due <= CAST(DATE '{AS_OF}' + 30 AS VARCHAR) THEN 'upcoming' END AS name, amount FROM v)
+SELECT * FROM c UNION ALL SELECT name, CAST(sum(CAST(coalesce(amount, 0) AS DECIMAL(18,2))) AS DOUBLE), count(*) FROM d WHERE name IS NOT NULL GROUP BY name
+""")
+def edge_totals(spark, sf_dir):
+    """Totals over bills without an amount, with negative ones, and without a date that can be read."""
+    rows = bill_edges(spark, sf_dir).select(F.lit(True).alias("is_bill"), F.concat(F.lit("kind "), F.pmod("o_orderkey", F.lit(8)).cast("string")).alias("category"), "amount", F.col("due").alias("due_date"))
+    totals = bills.category_totals(rows).select(F.col("category").alias("name"), "total", F.lit(None).cast("bigint").alias("bills"))
+    return totals.unionByName(bills.due_totals(rows, AS_OF).select(F.col("state").alias("name"), "total", "bills"))
+
+
 @query(f"""
 WITH first AS (SELECT source, doc_id, text FROM documents ORDER BY source, doc_id, text LIMIT 200), t AS (SELECT string_agg(text, chr(10) ORDER BY source, doc_id) AS text FROM first)
 SELECT text, regexp_matches(text, '{BILL_WORDS}') AS has_words FROM t
