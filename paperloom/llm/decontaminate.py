@@ -9,8 +9,9 @@ task is run again alone, and memory is bounded by the shard.
 ``find_leaks`` gives what each document holds, ``longest_matches`` the longest match of every suffix of every item over
 all shards, however short, with its place; ``decontaminate`` removes the documents with a window.
 
-Items come in blocks of a bounded size (``block_bytes``); each task keeps one block. A benchmark of
-several blocks takes several passes, each over what the one before has written to the checkpoint folder.
+Items come in blocks of a bounded size (``block_bytes``), and a shard is searched for one block after the other, so that a task
+holds one block's suffixes. The blocks of up to ``pass_bytes`` go to the tasks at once; a larger benchmark
+takes several passes, each over what the one before has written to the checkpoint folder.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an
 item of fewer words than a window is one window; repeated item ids count as one item, and so do items with a null
@@ -25,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .sizes import small_batches, stored
-from .words import slices, words_of
+from .words import Words, slices, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, PASS_BYTES = 8 << 20, 64 << 20
 #: Text of a shard. Searches cost little more in a large one than in a small one.
 SHARD_BYTES = 4 << 20
 FOUND = "n_words bigint, hits array<int>, found array<string>, longest int, longest_at int, longest_item string"
@@ -153,17 +155,15 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, s: Suffixes) -> tuple[np.ndarray, list, list, np.ndarray, np.ndarray, list]:
-    """For each text its words, the runs of hit words as first, end, ..., its items, and the longest match of a window or more, its first word and item."""
-    w = words_of(data, offsets)
-    n = len(offsets) - 1
+def matches(w: Words, shard: Shard, s: Suffixes) -> list[tuple[list, list, int, int, str | None]]:
+    """For each text the runs of hit words as first, end, ..., its items, and the longest match of a window or more, its first word and item."""
+    n = len(w.first) - 1
     longest, at, item = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     hits, found = [[] for _ in range(n)], [[] for _ in range(n)]
-    shard = Shard(w.hash, w.first)
     *_, lo, hi = shard.search(s)
     which, place = _expand(lo, hi)
     if not len(which):
-        return w.count, hits, found, longest, at, [None] * n
+        return [([], [], 0, -1, None)] * n
     begin, text, first = shard.at[place], w.text_of(), w.first
     change = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(begin + s.window[which], minlength=len(w.hash) + 1)
     hit = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
@@ -192,7 +192,13 @@ def matches(data: np.ndarray, offsets: np.ndarray, s: Suffixes) -> tuple[np.ndar
     top = order[np.concatenate([[True], t[1:] != t[:-1]])]
     where = text[begin[top]]
     longest[where], at[where], item[where] = size[top], begin[top] - first[where], s.item[which[top]]
-    return w.count, hits, found, longest, at, [s.ids[k] if k >= 0 else None for k in item.tolist()]
+    return list(zip(hits, [sorted({*f}) for f in found], longest.tolist(), at.tolist(), [s.ids[k] if k >= 0 else None for k in item.tolist()], strict=True))
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """What two blocks have found in one text."""
+    best = min((x for x in (a, b) if x[2]), key=lambda x: (-x[2], x[3], x[4]), default=a)
+    return _union(a[0] + b[0]), sorted({*a[1], *b[1]}), *best[2:]
 
 
 def _union(runs: list[int]) -> list[int]:
@@ -205,88 +211,108 @@ def _union(runs: list[int]) -> list[int]:
     return out
 
 
-def _pass(documents: DataFrame, block: list[tuple[str, bytes]], text: str, keep: list[str], window: int, again: bool) -> DataFrame:
+def _pass(documents: DataFrame, blocks: list[list[tuple[str, bytes]]], text: str, keep: list[str], window: int, again: bool) -> DataFrame:
     """documents with the columns of FOUND; again: joined to those that an earlier pass has found."""
     names = [f.split()[0] for f in FOUND.split(", ")]
     kept = documents.select(*keep)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
+    shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = suffixes([i for i, _ in block], [t for _, t in block], window)
+        each = _suffixes_of(shared.value, window)
         for part, data, offsets in slices(batches, "__text", SHARD_BYTES):
-            n, hits, found, longest, at, item = matches(data, offsets, s)
-            at, longest = at.tolist(), longest.tolist()
+            w = words_of(data, offsets)
+            shard = Shard(w.hash, w.first)
+            rows = [([], [], 0, -1, None)] * part.num_rows
             if again:
-                old = [part.column(k).to_pylist() for k in range(part.num_columns - 1 - len(names), part.num_columns - 1)]
-                hits = [_union(a + b) for a, b in zip(old[1], hits, strict=True)]
-                found = [sorted({*a, *b}) for a, b in zip(old[2], found, strict=True)]
-                for k in range(len(at)):
-                    if old[3][k] >= longest[k]:
-                        longest[k], at[k], item[k] = old[3][k], old[4][k], old[5][k]
-            new = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted({*x}) for x in found], pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(at, pa.int32()), pa.array(item, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *new], names=[*keep, *names])
-
-    source = documents.select(*keep, *(names if again else []), F.col(text).alias("__text"))
+                old = [part.column(k).to_pylist() for k in range(part.num_columns - len(names), part.num_columns - 1)]
+                rows = list(zip(*old, strict=True))
+            for s in each():
+                rows = [_merged(x, y) if y[0] else x for x, y in zip(rows, matches(w, shard, s), strict=True)]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(w.count, pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*keep, *names])
+
+    source = documents.select(*keep, *(names[1:] if again else []), F.col(text).alias("__text"))
     return source.mapInArrow(run, f"{schema}, {FOUND}" if schema else FOUND)
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The items in parts whose texts have at most about so many bytes each."""
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // block_bytes)
-    return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
+def _suffixes_of(blocks: list[list[tuple[str, bytes]]], window: int):
+    """Gives the blocks' suffixes, one block after the other; those of a single block are made once."""
+    make = lambda block: suffixes([i for i, _ in block], [t for _, t in block], window)
+    if len(blocks) == 1:
+        only = make(blocks[0])
+        return lambda: [only]
+    return lambda: map(make, blocks)
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def passes(benchmark: DataFrame, item: str, text: str, block_bytes: int, pass_bytes: int) -> Iterator[list[list[tuple[str, bytes]]]]:
+    """The items, in passes of about so many bytes, each in blocks."""
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, -(-size // pass_bytes))
+    for k in range(n):
+        blocks, held = [[]], 0
+        for r in (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items).toLocalIterator():
+            if held > block_bytes:
+                blocks, held = [*blocks, []], 0
+            blocks[-1].append((r["item"], r["text"].encode()))
+            held += len(blocks[-1][-1][1]) + 64
+        yield [sorted(b) for b in blocks]
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The kept columns of each document, n_words, hits (first and end word of each run of hit words), found (item ids),
     and the longest match with a window or more: its words, first word and item (0, -1 and null if there is none)."""
     small_batches(documents.sparkSession)
     made = [f.split()[0] for f in FOUND.split(", ")]
     keep = [c for c in (documents.columns if keep is None else keep) if c not in made and (keep is not None or c != text)]
-    parts = blocks_of(benchmark, item, item_text, block_bytes)
-    out = documents
-    for k, part in enumerate(parts):
-        block = [(r[0], r[1].encode()) for r in part.toLocalIterator()]
-        last = k == len(parts) - 1
-        out = _pass(out, block, text, keep if last else list(dict.fromkeys([*keep, text])), window, k > 0)
-        if not last:
-            out = out.transform(stored)
-    return out
-
-
-def longest_matches(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    out, again = documents, False
+    for blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
+        # Of what an earlier pass has made the text is read again.
+        source = out.transform(stored) if again else out
+        out, again = _pass(source, blocks, text, list(dict.fromkeys([*keep, text])), window, again), True
+    return out.select(*keep, *made)
+
+
+def _better(best: np.ndarray, w: Words, shard: Shard, s: Suffixes, ids: np.ndarray) -> None:
+    """Puts a shard's longest matches (words, id, place) into best, where they are longer, or earlier by id and place."""
+    longest, lo, hi, *_ = shard.search(s)
+    better = np.flatnonzero((longest > 0) & (longest >= best[0]))
+    which, place = _expand(lo[better], hi[better])
+    if not len(which):
+        return
+    text = w.text_of()[shard.at[place]]
+    at = shard.at[place] - w.first[text]
+    order = np.lexsort([at, ids[text], which])
+    top = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])]
+    i = better[which[top]]
+    new, now = np.stack([longest[i], ids[text[top]], at[top]]), best[:, i]
+    win = (new[0] > now[0]) | (new[0] == now[0]) & ((new[1] < now[1]) | (new[1] == now[1]) & (new[2] < now[2]))
+    best[:, i[win]] = new[:, win]
+
+
+def longest_matches(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(item, item_at, words, doc_id, doc_at): of each suffix of each item with a word in some document, its first word, the words of its
     longest verbatim match in any document, however few, and the match's place with the least id, then first word.
 
     A task keeps the best of its shards, so that a row for each suffix leaves it."""
     small_batches(documents.sparkSession)
     out = None
-    for part in blocks_of(benchmark, item, item_text, block_bytes):
-        block = sorted((r[0], r[1].encode()) for r in part.toLocalIterator())
+    for blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
-        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[str, bytes]] = block) -> Iterator[pa.RecordBatch]:
-            s = suffixes([i for i, _ in block], [t for _, t in block], window)
-            best = np.zeros((3, len(s.start)), np.int64)
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            each, best = _suffixes_of(shared.value, window), {}
             for part, data, offsets in slices(batches, "__text", SHARD_BYTES):
                 w = words_of(data, offsets)
-                shard = Shard(w.hash, w.first)
-                longest, lo, hi, *_ = shard.search(s)
-                better = np.flatnonzero((longest > 0) & (longest >= best[0]))
-                which, place = _expand(lo[better], hi[better])
-                begin = shard.at[place]
-                text_of = w.text_of()[begin]
-                ids = part.column(0).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[text_of]
-                order = np.lexsort([begin - w.first[text_of], ids, which])
-                top = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])] if len(order) else order
-                i, new = better[which[top]], np.stack([longest[better[which[top]]], ids[top], (begin - w.first[text_of])[top]])
-                now = best[:, i]
-                win = (new[0] > now[0]) | (new[0] == now[0]) & ((new[1] < now[1]) | (new[1] == now[1]) & (new[2] < now[2]))
-                best[:, i[win]] = new[:, win]
-            hit = np.flatnonzero(best[0])
-            for k in range(0, len(hit), 50_000):
-                i = hit[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([s.ids[x] for x in s.item[i].tolist()], pa.string()), pa.array(s.start[i] - s.first[s.item[i]]), *(pa.array(x[i]) for x in best)], names=["item", "item_at", "words", "doc_id", "doc_at"])
+                shard, ids = Shard(w.hash, w.first), part.column(0).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+                for k, s in enumerate(each()):
+                    _better(best.setdefault(k, np.zeros((3, len(s.start)), np.int64)), w, shard, s, ids)
+            for k, s in enumerate(each() if best else ()):
+                hit = np.flatnonzero(best[k][0])
+                for low in range(0, len(hit), 50_000):
+                    i = hit[low : low + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([s.ids[x] for x in s.item[i].tolist()], pa.string()), pa.array(s.start[i] - s.first[s.item[i]]), *(pa.array(x[i]) for x in best[k])], names=["item", "item_at", "words", "doc_id", "doc_at"])
 
         found = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, "item string, item_at bigint, words bigint, doc_id bigint, doc_at bigint")
         out = found if out is None else out.unionByName(found)

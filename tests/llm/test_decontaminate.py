@@ -44,8 +44,10 @@ def items_of(spark):
 
 def test_odd_rows_and_blocks(spark, odd, none):
     expected = brute([(r.doc_id, r.text) for r in odd.collect()], ITEMS)
-    for block in (d.BLOCK_BYTES, 100):
-        rows = d.find_leaks(odd, items_of(spark), block_bytes=block).collect()
+    for block, most in ((d.BLOCK_BYTES, d.PASS_BYTES), (100, d.PASS_BYTES), (100, 300)):
+        found = d.find_leaks(odd, items_of(spark), block_bytes=block, pass_bytes=most)
+        assert found.columns[-6:] == [f.split()[0] for f in d.FOUND.split(", ")] and "text" not in found.columns
+        rows = found.collect()
         got = [(r.doc_id, len(r.hits) and sum(b - a for a, b in zip(r.hits[::2], r.hits[1::2], strict=True)), sorted(r.found)) for r in rows]
         named = [(i, h, hashlib.sha256(",".join(f).encode()).hexdigest()) for i, h, f in got]
         assert sorted(named, key=str) == sorted([(e[0], e[2], e[4]) for e in expected], key=str)
@@ -95,8 +97,9 @@ def test_longest_matches_against_brute_force(spark, sf, odd):
                         n += 1
                     key = ("" if item is None else str(item), k)
                     expected[key] = min(expected.get(key, (0, 0, 0)), (-n, doc, i))
-        got = {(r.item, r.item_at): (-r.words, 2**63 if r.doc_id is None else r.doc_id, r.doc_at) for r in d.longest_matches(docs, items).collect()}
-        assert got == expected and min(got.values())[0] <= -9
+        for how in ({}, {"block_bytes": 100, "pass_bytes": 400}):
+            got = {(r.item, r.item_at): (-r.words, 2**63 if r.doc_id is None else r.doc_id, r.doc_at) for r in (d.longest_matches(docs, items, **how) if docs is odd or not how else d.longest_matches(docs, items)).collect()}
+            assert got == expected and min(got.values())[0] <= -9
 
 
 def test_longest_match_of_each_document(spark):
@@ -104,4 +107,7 @@ def test_longest_match_of_each_document(spark):
     words = [f"x{i}" for i in range(40)]
     docs = [(1, words[:12]), (2, ["a", *words[5:40]]), (3, words[:30] + ["b"] + words[10:25]), (4, words[3:12])]
     found = d.find_leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")).collect()
+    split = spark.createDataFrame([(9, " ".join(words[:30])), (8, " ".join(words[4:]))], "item_id bigint, text string")
+    more = d.find_leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string"), split, block_bytes=1, pass_bytes=200).collect()
+    assert {r.doc_id: (r.longest, r.longest_at, r.longest_item) for r in more} == {1: (12, 0, "9"), 2: (35, 1, "8"), 3: (30, 0, "9"), 4: (0, -1, None)}
     assert {r.doc_id: (r.longest, r.longest_at) for r in found} == {1: (12, 0), 2: (35, 1), 3: (30, 0), 4: (0, -1)}
