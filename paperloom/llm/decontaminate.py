@@ -35,7 +35,7 @@ from .words import Words, slices, words_of
 WINDOW = 10
 BLOCK_BYTES, PASS_BYTES = 8 << 20, 64 << 20
 #: Text of a shard. Searches cost little more in a large one than in a small one.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 FOUND = "n_words bigint, hits array<int>, found array<string>, longest int, longest_at int, longest_item string"
 
 
