@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hosts, licences, lines
+from . import chat, codes, divergence, hosts, licences, lines
 from .decontaminate import op2_decontaminate
 from .minhash import op1_minhash
 from .packing import op5_packing
@@ -21,6 +21,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_licences": licences.op9_licences,
     "op10_chat": chat.op10_chat,
+    "op11_codes": codes.op11_codes,
+    "op12_divergence": divergence.op12_divergence,
 }
 
-ORACLES: dict[str, str] = {"op4_lines": lines.SQL, "op6_host_rules": hosts.SQL, "op10_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op4_lines": lines.SQL, "op6_host_rules": hosts.SQL, "op10_chat": chat.SQL, "op11_codes": codes.SQL, "op12_divergence": divergence.SQL}
