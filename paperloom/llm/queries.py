@@ -7,6 +7,7 @@ from .decontaminate import op2_decontaminate
 from .minhash import op1_minhash
 from .packing import op5_packing
 from .quality import op3_quality
+from .repeats import op13_repeats
 from .sharding import op7_sharding
 from .toxicity import op8_toxicity
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_codes": codes.op11_codes,
     "op12_divergence": divergence.op12_divergence,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLES: dict[str, str] = {"op4_lines": lines.SQL, "op6_host_rules": hosts.SQL, "op10_chat": chat.SQL, "op11_codes": codes.SQL, "op12_divergence": divergence.SQL}
