@@ -8,9 +8,9 @@ histogram too. The result is a table of rank intervals for each length: the piec
 (see ranks.py), and a piece's rank gives its sequence and its place there. Text is read once and tokenised
 once; the pieces, without their ids, are stored in the checkpoint folder.
 
-Ids are those of the ``tokenizers`` file; they are made by ``tiktoken`` from the same vocabulary's ranks, which
-is four times as fast and was found equal for every code point and on all test tables. (Special tokens' strings
-in a text are ordinary text for both.)
+Ids are those that ``tokenizers`` gives by its file, without a switch; they are made by ``tiktoken`` from the same vocabulary's ranks, which
+is four times as fast and was found equal for every code point and on all test tables. The file's added tokens, which the ranks don't have, are
+read from it: such a token's string in a text is that token's one id.
 
 Defined cases: a null or empty text is its end id alone; equal and repeated documents are packed one by one; no
 documents give no pieces; pieces of equal length are told apart by a hash of id, piece and checksum; columns other than
@@ -20,6 +20,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,22 +33,24 @@ from .ranks import ranked
 from .sizes import small_batches, stored
 
 LENGTH, END = 2048, 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str | None):
+def _encoding(path: str | None, tokenizer: str | None):
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def encode(text: str | None, path: str | None = None) -> np.ndarray:
-    """A document's ids and the end id."""
-    return np.append(_encoding(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4")
+def encode(text: str | None, path: str | None = None, tokenizer: str | None = None) -> np.ndarray:
+    """A document's ids and the end id. path: the vocabulary's ranks, tokenizer: the file with its added tokens."""
+    return np.append(_encoding(path, tokenizer).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4")
 
 
 def cut(n: int, length: int) -> tuple[np.ndarray, np.ndarray]:

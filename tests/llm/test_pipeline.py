@@ -64,7 +64,6 @@ def test_packing_against_the_tokenizer(runs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     before, after = runs[4]
     expected, total = set(), 0
     for r in before.collect():

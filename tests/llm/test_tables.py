@@ -55,7 +55,6 @@ def test_packing_against_the_tokenizer(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = packing.op5_packing(spark, sf).collect()
     got = defaultdict(list)
@@ -74,6 +73,17 @@ def test_packing_against_the_tokenizer(spark, sf):
     assert packed(rows) <= 1.01 * math.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
+def test_strings_of_added_tokens():
+    """As the tokenizer's file has it: one id, wherever the string stands and whatever stands beside it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> ", "<|endoftext|><|endoftext|>\n", "<|endoftext|", "<<|endoftext|>>", "x" * 50 + "<|endoftext|>é", "<|ENDOFTEXT|>", "\n\n <|endoftext|>\t"):
+        assert packing.encode(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], text
+    assert packing.encode("<|endoftext|>").tolist() == [50256, 0]
+
+
 def test_plans_place_every_piece():
     rng = random.Random(1)
     for full, n in ((16, 50), (64, 2000), (256, 30_000)):
