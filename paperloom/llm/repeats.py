@@ -30,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .sizes import discard, if_small, small_batches, stored
 from .words import PIECE, U, _tables, buffers, mix, slices
@@ -117,10 +118,34 @@ def anchored(documents: DataFrame, text: str, length: int = LENGTH, gram: int =
     return _numbered(documents, text).mapInArrow(run, "row bigint, passages binary")
 
 
-def _numbered(documents: DataFrame, text: str, *keep: str) -> DataFrame:
+def _numbered(documents: DataFrame, text: str, *keep: Column) -> DataFrame:
     return documents.select(F.monotonically_increasing_id().alias("row"), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _shrunk(documents: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """The numbered rows with their text as ``zipped``: texts are shuffled by row, and as columns in blocks of a shuffle they shrink less."""
+    numbered = _numbered(documents, text, *keep)
+    names = [c for c in numbered.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            data, offsets = buffers(b.column(b.num_columns - 1))
+            some = memoryview(data)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([zip_.compress(some[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=[*names, "zipped"])
+
+    return numbered.select(*names, "text").mapInArrow(run, T.StructType([*(numbered.schema[c] for c in names), T.StructField("zipped", T.BinaryType())]))
+
+
+def _opened(column: pa.Array) -> Iterator[np.ndarray]:
+    """The texts' bytes."""
+    unzip = zstandard.ZstdDecompressor()
+    data, offsets = buffers(column)
+    some = memoryview(data)
+    for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield np.frombuffer(unzip.decompress(some[x:y]), np.uint8)
+
+
 def _unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """The place in the column of each packed entry, and the entries."""
     data, offsets = buffers(column)
@@ -193,8 +218,7 @@ def pieces(keyed: DataFrame, documents: DataFrame, text: str, length: int = LENG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = buffers(b.column(0))
-            lists = b.column(1)
+            texts, lists = list(_opened(b.column(0))), b.column(1)
             doc, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten()
             order = np.lexsort([flat.field("s").to_numpy(), doc])
             of, id_, h, c, s, n, times = (flat.field(k).to_numpy()[order] for k in range(7))
@@ -205,13 +229,12 @@ def pieces(keyed: DataFrame, documents: DataFrame, text: str, length: int = LENG
             parts = np.empty(len(doc), PART)
             parts["h"], parts["c"], parts["n"], parts["times"] = h, c, n, times
             parts["at"] = s - np.repeat(s[first], last - first + 1)
-            low = offsets[doc[first]] + s[first]
-            high = offsets[doc[first]] + s[last] + n[last] + length - 1
-            some = [data[a:z].tobytes() for a, z in zip(low.tolist(), high.tolist(), strict=True)]
+            low, high = s[first], s[last] + n[last] + length - 1
+            some = [texts[d][a:z].tobytes() for d, a, z in zip(doc[first].tolist(), low.tolist(), high.tolist(), strict=True)]
             packed = [parts[a : z + 1].tobytes() for a, z in zip(first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(of[first]), pa.array(id_[first]), pa.array(some, pa.binary()), pa.array(packed, pa.binary())], names=["of", "id", "bytes", "parts"])
 
-    joined = _numbered(documents, text).join(wanted, "row").select("text", "passages")
+    joined = _shrunk(documents, text).join(wanted, "row").select("zipped", "passages")
     return joined.mapInArrow(run, "of int, id bigint, bytes binary, parts binary")
 
 
@@ -350,9 +373,7 @@ def counted_windows(hot: DataFrame, documents: DataFrame, text: str, length: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = buffers(b.column(0))
-            for doc, lists in enumerate(b.column(1)):
-                whole = data[offsets[doc] : offsets[doc + 1]]
+            for whole, lists in zip(_opened(b.column(0)), b.column(1), strict=True):
                 for p in lists.as_py():
                     some = whole[p["s"] : p["s"] + p["n"] + length - 1]
                     two = _window_hashes(some, length)
@@ -360,7 +381,7 @@ def counted_windows(hot: DataFrame, documents: DataFrame, text: str, length: int
                     same = lambda v, n=n: pa.array(np.full(n, v, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), same(p["h"]), same(p["c"]), pa.array(np.arange(n, dtype=np.int32)), same(p["times"])], names=["x", "y", "h", "c", "a", "times"])
 
-    windows = _numbered(documents, text).join(wanted, "row").select("text", "passages").mapInArrow(run, "x bigint, y bigint, h bigint, c bigint, a int, times bigint").transform(stored)
+    windows = _shrunk(documents, text).join(wanted, "row").select("zipped", "passages").mapInArrow(run, "x bigint, y bigint, h bigint, c bigint, a int, times bigint").transform(stored)
     often = windows.groupBy("x", "y").agg(F.sum("times").alias("all")).where("all > 1").drop("all")
     return windows.join(often, ["x", "y"]).select("h", "c", "a", (F.col("a") + 1).alias("b"))
 
@@ -389,18 +410,18 @@ def find_repeats(documents: DataFrame, *, text: str = "text", keep: list[str] |
         windows = windows.unionByName(counted_windows(hot, documents, text, length))
     windows = windows.transform(stored)
     runs = _each(table).join(windows, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct((F.col("s") + F.col("a")).alias("x"), (F.col("s") + F.col("b")).alias("y"))).alias("runs"))
-    joined = _numbered(documents, text, F.struct(*keep).alias("__row")).join(runs, "row", "left").select("__row", "text", "runs")
+    joined = _shrunk(documents, text, F.struct(*keep).alias("__row")).join(runs, "row", "left").select("__row", "zipped", "runs")
     schema = T.StructType([joined.schema["__row"], *T.StructType.fromDDL("n_bytes bigint, spans array<int>, kept binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "text", PIECE):
-            spans, rest = [], []
-            for k, runs in enumerate(part.column(2)):
-                whole = data[offsets[k] : offsets[k + 1]]
+        for part, *_ in slices(batches, "zipped", PIECE):
+            spans, rest, size = [], [], []
+            for whole, runs in zip(_opened(part.column(1)), part.column(2), strict=True):
+                size.append(len(whole))
                 spans.append(_union(runs, length))
                 cut = [0, *spans[-1], len(whole)]
                 rest.append(b"".join(whole[a:b].tobytes() for a, b in zip(cut[::2], cut[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int32())), pa.array(rest, pa.binary())], names=["__row", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(rest, pa.binary())], names=["__row", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(run, schema).select("__row.*", "n_bytes", "spans", "kept")
 
