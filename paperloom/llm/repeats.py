@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .sizes import discard, if_small, small_batches, stored
+from .sizes import discard, forget, if_small, small_batches, stored
 from .words import PIECE, U, _tables, buffers, mix, slices
 
 LENGTH, GRAM = 200, 32
@@ -193,6 +193,7 @@ def different(table: DataFrame) -> DataFrame:
     place = F.min(F.struct("row", "s")).alias("place")
     out = found.groupBy("home", "h", "c").agg(F.count("*").alias("times"), place, F.min("n").alias("n")).select("home", "h", "c", "times", "place.row", "place.s", "n").transform(stored)
     discard(repeated)
+    forget(table.sparkSession)
     return out
 
 
@@ -405,10 +406,13 @@ def find_repeats(documents: DataFrame, *, text: str = "text", keep: list[str] |
     table = anchored(documents, text, length, gram).transform(stored)
     passages = different(table)
     cool, hot = keyed(passages, length, home_bytes)
-    windows = repeated_windows(pieces(cool, documents, text, length).transform(stored), index_bytes, length)
+    found = pieces(cool, documents, text, length).transform(stored)
+    windows = repeated_windows(found, index_bytes, length)
     if hot is not None:
         windows = windows.unionByName(counted_windows(hot, documents, text, length))
     windows = windows.transform(stored)
+    discard(found, passages)
+    forget(documents.sparkSession)
     runs = _each(table).join(windows, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct((F.col("s") + F.col("a")).alias("x"), (F.col("s") + F.col("b")).alias("y"))).alias("runs"))
     joined = _shrunk(documents, text, F.struct(*keep).alias("__row")).join(runs, "row", "left").select("__row", "zipped", "runs")
     schema = T.StructType([joined.schema["__row"], *T.StructType.fromDDL("n_bytes bigint, spans array<int>, kept binary")])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+
 def stored(table: DataFrame) -> DataFrame:
     """table, written to the checkpoint folder, so that a lost executor takes nothing with it. Without a folder in
     spark.checkpoint.dir a local session gets a temporary one; a cluster has to name one that its machines share."""
@@ -54,6 +56,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets go of the shuffles of steps whose results are stored: Spark deletes their files once the driver's JVM has collected what
+    refers to them, which on a large heap may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Of a table that is broadcast: its most rows, and bytes of texts and arrays.
 ROWS, BYTES = 100_000, 32 << 20
 

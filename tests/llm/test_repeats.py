@@ -70,7 +70,7 @@ def test_against_all_windows(spark, length, gram):
 def test_hot_homes_and_anchors(spark, monkeypatch, home_bytes):
     """Homes split by anchor, anchors counted by window, frequent anchors by broadcast, and an index for every key."""
     monkeypatch.setattr(repeats, "OFTEN", 20)
-    texts = family(77, 120)
+    texts = family(77, 40)
     assert got(spark, texts, length=24, gram=8, home_bytes=home_bytes, index_bytes=1) == brute(texts, 24)
 
 
