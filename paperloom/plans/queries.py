@@ -347,15 +347,28 @@ def vector_topk(spark, sf_dir):
     return retrieval.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query(f"""
+_EACH = f"""
 WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_SCORE} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, a.vec_id) AS rank
   FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0)
 SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM s WHERE rank <= 5
-""")
-def vector_topk_each(spark, sf_dir):
+"""
+
+
+def _each(spark, sf_dir, cells: int | None) -> DataFrame:
     chunks = table(spark, sf_dir, "embeddings")
     queries = chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return retrieval.top_k_each(chunks, queries).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top_k_each(chunks, queries, cells=cells).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_EACH)
+def vector_topk_each(spark, sf_dir):
+    return _each(spark, sf_dir, 1)
+
+
+@query(_EACH)
+def vector_topk_pruned(spark, sf_dir):
+    """The same rows by cells, of which those that can't hold one are left out."""
+    return _each(spark, sf_dir, None)
 
 
 @query(f"""
