@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import BILL_PROMPT, CATEGORIES, SETTINGS
 from ..functions.candidates import BILL_WORDS, amount_candidates, date_candidates
 from ..functions.once import once
 from ..functions.text import fill, stable_id, strip
+from ..sources import store
 
 
 def with_candidates(documents: DataFrame, pivot: int = 2025) -> DataFrame:
@@ -150,3 +151,16 @@ def delete(bills: DataFrame, ids: DataFrame) -> DataFrame:
 
 def by_id(bills: DataFrame, ids: DataFrame) -> DataFrame:
     return bills.join(ids.select("id").distinct(), "id", "left_semi").select(*bills.columns)
+
+
+def edit_stored(spark: SparkSession, path: str, patches: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
+    """Edits a stored table of bills (``store.create``): patches as for ``patch``, then the ids that are deleted. Only the buckets of these ids are
+    read and written; how many these are. Doing it twice changes nothing more."""
+    none = spark.createDataFrame([], "id string")
+    ids = (patches.select("id") if patches is not None else none).unionByName(deleted.select("id") if deleted is not None else none)
+
+    def change(bills: DataFrame) -> DataFrame:
+        bills = patch(bills, patches) if patches is not None else bills
+        return delete(bills, deleted) if deleted is not None else bills
+
+    return store.edit(spark, path, ids, change)
