@@ -13,6 +13,7 @@ from ..functions.text import basename, fill
 from ..operators import bills, chunking, corpus, entities, retrieval, stitch
 from ..schemas import CHOICE
 from ..sources import files, pdf, store
+from . import answers as kept
 from .providers import Embedder, Generator, embedded, generated
 
 
@@ -67,11 +68,15 @@ def insights(spark: SparkSession, path: str, model: Generator) -> dict:
     return out | {"summary": summary, "entities": [e.asDict() for e in found], "entity_source": "heuristic"}
 
 
-def scan_bills(spark: SparkSession, path: str, model: Generator, pivot: int = 2025) -> DataFrame:
-    """The bill records of a store, and error of those whose model failed. The model is asked once for each document."""
+def scan_bills(spark: SparkSession, path: str, model: Generator, pivot: int = 2025, answers: str | None = None) -> DataFrame:
+    """The bill records of a store, and error of those whose model failed. The model is asked once for each document.
+
+    answers: a folder that keeps what the model has said. Then a scan that died or failed in part goes on where it was, and
+    ``answers.progress`` of the folder says how far it is."""
     documents = stitch.reassemble(store.read(spark, path))
     rows = bills.with_candidates(documents, pivot).where("bill_like")
     asked = rows.withColumn("prompt", bills.prompt(F.col("text"), F.col("amounts"), F.col("dates"))).withColumn("schema", bills.choice_schema(F.col("amounts"), F.col("dates")))
-    made = generated(asked, model, schema="schema").withColumn("choice", F.from_json("answer", CHOICE))
+    told = generated(asked, model, schema="schema") if answers is None else kept.answered(asked, model, answers, schema="schema")
+    made = told.withColumn("choice", F.from_json("answer", CHOICE))
     records = bills.validated(made.where("choice.is_bill or error is not null"), keep=("error",))
     return records.select("source", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in records.columns if c not in ("source", "error")), "error")
