@@ -67,6 +67,25 @@ def sample_text(chunks: DataFrame, budget: int | None = None) -> DataFrame:
     return kept.agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("excerpts"))
 
 
+def samples(chunks: DataFrame, group: str, budget: int | None = None) -> DataFrame:
+    """(group, excerpts): of each group of sources a sample as ``sample_text`` gives for all; every source has one group, and a group few sources.
+
+    A group's first pieces, no more than ``ROUNDS`` of a source and no more than the budget has characters, are summed up in one task by their lengths; texts are
+    fetched for those alone that are taken, and cut to the budget, so that a group's row is bounded."""
+    limit = max(SETTINGS.sample_chars if budget is None else budget, 0)
+    rows = chunks.where(F.coalesce(F.length("page_content"), F.lit(0)) > 0)
+    rows = rows.select(F.col(group).alias("__group"), F.coalesce("source", F.lit("Unknown")).alias("source"), page_number(F.col("page")).alias("page"), F.coalesce("chunk_index", F.lit(0)).alias("i"), F.md5("page_content").alias("name"), "page_content")
+    head = F.when(F.col("round") == 1, F.concat(F.lit("--- "), basename(F.col("source")), F.lit(" ---\n"))).otherwise("")
+    own = Window.partitionBy("source").orderBy("page", "i", "name")
+    keys = rows.select("__group", "source", "page", "i", "name", F.length("page_content").alias("n")).withColumn("round", F.row_number().over(own)).where(F.col("round") <= min(limit, ROUNDS))
+    keys = keys.withColumn("n", F.col("n") + F.length(head) + 1)
+    before = F.sum("n").over(Window.partitionBy("__group").orderBy("round", "source").rowsBetween(Window.unboundedPreceding, -1))
+    taken = keys.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < limit).select("source", "page", "i", "name", "round")
+    texts = rows.join(taken, ["source", "page", "i", "name"]).dropDuplicates(["source", "round"])
+    parts = F.array_sort(F.collect_list(F.struct("round", "source", F.left(F.concat(head, F.col("page_content"), F.lit("\n")), F.lit(limit)).alias("piece"))))
+    return texts.groupBy(F.col("__group").alias(group)).agg(F.left(F.array_join(F.transform(parts, lambda p: p["piece"]), ""), F.lit(limit)).alias("excerpts"))
+
+
 def first_chunks(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """One row: the first chunks by source, page and index as one text, which is searched for bills when an index is built."""
     first = chunks.orderBy("source", page_number(F.col("page")), F.coalesce("chunk_index", F.lit(0)), "page_content").limit(most or SETTINGS.scanned_chunks)
