@@ -6,20 +6,23 @@ families and an unknown class. The model is fitted on the driver from notices an
 corpus, with a lasso penalty that leaves weights to some hundreds of n-grams. A temperature and a shift of the unknown
 class are fitted on notices in frames and sentences that the fit hasn't seen, notices inside other text, and fragments of
 notices, which are unknown; so a probability below ``THRESHOLD`` can be read as unknown. A prediction is
-confirmed if the paragraph holds enough of the n-grams of one of the family's notices.
+confirmed if words of the paragraph, one after the other and within sentences as the notice has them, are most of one of the family's notices (``phrases``): with the
+family's name whole and a word of the notice beside it, where the notice names it. A name that is a word of other languages too ("MIT") is none by itself: only whole
+statements that end with it are.
 
 Every paragraph is classified: one that has none of the model's n-grams has the intercepts' scores, which say unknown, and
 the words that every such n-gram must have part of (``evidence``) tell these apart before anything else is worked out. All of
 it stays in the paragraph's row, with the weights as a constant of the plan: texts are never shuffled, and a line in a
 third of all documents is a row like others. Only counts by document are.
 
-Defined cases: a null or empty text has no paragraphs and no licences; a family found in a line and in its paragraph counts
-once; rows that share an id share its licences, and a null id is an id; other columns are ignored.
+Defined cases: a null or empty text has no paragraphs and no licences; a very long text is cut into its paragraphs in its row; an empty table gives no rows; a family found in a line
+and again in the paragraph that the line is part of counts once, as the line; rows that share an id share its licences, and a null id is an id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import lru_cache
 
@@ -29,6 +32,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .sizes import stored
 
 THRESHOLD, CONFIRM = 0.6, 0.6
+#: Words of a notice that names no family, one after the other, that confirm it, or the whole of a shorter one.
+LEAST_WORDS = 6
 UNKNOWN = "unknown"
 SPACE = " \t\r\f\v"
 #: What stands between words. (CC BY-NC 4.0 is five of them: n-grams keep them together.)
@@ -113,15 +118,26 @@ OTHERS = [
     "They reserved a table for two.", "All seats are reserved.", "The rights of the workers were discussed at length.", "Modify the recipe if you have no eggs.", "The attribution of the poem to him is doubtful.", "He was common, creative and kind.", "The commons were open to all cattle.", "Zero degrees is the point at which water freezes.",
     "We drove three miles to the house of my uncle.", "The mean temperature was 2.0 degrees, or 3.0 at the coast.", "Version 3 of the map shows the river.", "Version 4.0 was shipped in spring.", "I can come by at 4.0 or 3.0 hours.", "In 2019 and 2020 the company grew.", "The act of 1998 was an international success.",
     "Wir kommen mit dem Zug und mit dem Rad.", "Er sprach mit ihr über das Wetter.", "Elle a dit que la licence de sa fille est belle.", "El autor publicó un libro sobre la ciudad.", "Mit freundlichen Grüßen an alle.", "A professor at MIT won the prize.", "The Mozilla offices are in California.", "The Apache helicopter landed.", "GNU is an antelope.",
+    "He went home with the licence of his boat in hand.", "The institute and the licence office share a building.", "Under the license of 1850 they could fish in the river.", "License fees rose, said the institute.", "Nach der Prüfung bekam er die Lizenz, mit der er fliegen darf.",
+    "Sie kommt mit ihrer Schwester und mit dem Hund.", "Mit der neuen Lizenz darf der Verein wieder spielen.", "Die Lizenz wurde mit sofortiger Wirkung entzogen.", "Wer mit dem Auto fährt, braucht einen Führerschein.", "Das Werk wurde unter der Leitung des Meisters gebaut.", "Alle Rechte liegen beim Verlag, sagte sie mit Nachdruck.",
+    "Elle a obtenu sa licence de lettres à Lyon.", "La licence du bar a été retirée par la ville.", "Les droits de la femme ont été longtemps niés.", "Le domaine public commence au bout du chemin.", "Il est libre de partir avec le général.", "El general dio licencia a sus soldados.", "La licencia de pesca cuesta diez euros.", "Los derechos de los trabajadores fueron reservados para el final.",
+    "Su obra está bajo la dirección de un maestro.", "La versión 2 del mapa es libre de errores.", "The team at the institute said that fees were high.", "They released the fish into the river under a permit.", "The book was made available in May by others.", "A license is a piece of paper, and this one was old.", "The distributed work was done under pressure and without license.",
     "Redistribution of income is a matter of politics.", "The use of force is strictly prohibited.", "This work was difficult, but it was done under the direction of the author.", "This file was found on the desk.", "This project was funded by the state.", "The terms of the agreement were met by both sides.", "All copies of the notice were lost.",
     "Permission was granted by the king.", "No part of the house was dry.", "The publisher gave written permission to the author for a second edition.", "The contract holds without limitation of time.", "Products derived from milk are sold here.", "The binary star was seen in the north.", "Either of them may sell the house.", "To the extent possible, meals are cooked fresh.", "Under law, the owner pays.",
 ]
 
 
-#: Words that say nothing of a licence: n-grams of these and of numbers alone are no features.
+#: Names that are words of other languages or of institutions too.
+AMBIGUOUS = frozenset({"mit", "isc"})
+#: Words that say nothing of a licence: n-grams of these, of ambiguous names and of numbers alone are no features.
 PLAIN = frozenset("a an the this that these it is are was be been as of to in on at by for from with without or and and/or not no any all you your if may can has have had do i he she we they its s".split())
 
 
+def _tells(words: list[str]) -> bool:
+    """Whether an n-gram may be a feature: one of the plain words and an ambiguous name has to be three words long."""
+    return not all(w in PLAIN or w in AMBIGUOUS or w.isdigit() for w in words) or (len(words) > 2 and not AMBIGUOUS.isdisjoint(words))
+
+
 def words_in(line: str) -> list[str]:
     return [w for w in re.split(BETWEEN, line.lower()) if w]
 
@@ -132,21 +148,65 @@ def ngrams_of(line: str) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
 
 
+def _framed() -> list[tuple[int, str, str]]:
+    """(frame, family, statement); an ambiguous name alone states nothing."""
+    return [(i, family, frame.format(name)) for family, names in NAMES.items() for name in names for i, frame in enumerate(FRAMES) if frame != "{}" or name.lower() not in AMBIGUOUS]
+
+
 def notices() -> list[tuple[str, str]]:
     """(family, notice) of all families."""
-    framed = [(family, frame.format(name)) for family, names in NAMES.items() for name in names for frame in FRAMES]
+    framed = [(family, text) for _, family, text in _framed()]
     return framed + [(family, text) for family, texts in NOTICES.items() for text in texts]
 
 
-def templates() -> list[tuple[str, list[str]]]:
-    """(family, n-grams) of what confirms a prediction: the notices, but for names of one or two words alone."""
-    own = [(family, text, ngrams_of(text)) for family, text in notices()]
-    return [(family, grams) for family, text, grams in own if len(grams) > 3 or text not in NAMES[family]]
+def sentences(line: str) -> str:
+    """A line's words, each between blanks, with a sign at its beginning and after each sentence."""
+    return " ^ " + re.sub("[^a-z0-9|]+", " ", re.sub(r"[.!?;]+(?=\s|$)", " | ", line.lower())).strip() + " | "
+
+
+def _parts(text: str) -> list[str]:
+    words = sentences(text).split()[1:]
+    while words and words[-1] == "|":
+        words.pop()
+    return words
+
+
+def _holds(run: list[str], name: list[str]) -> bool:
+    return any(run[k : k + len(name)] == name for k in range(len(run) - len(name) + 1))
+
+
+@lru_cache(maxsize=1)
+def phrases() -> dict[str, list[str]]:
+    """What confirms each family: the runs of most of a notice's words, between blanks, as ``sentences`` writes them."""
+    out: dict[str, set[str]] = {family: set() for family in {**NAMES, **NOTICES}}
+    shown = lambda words: f" {' '.join(words)} "
+    for family, names in NAMES.items():
+        for own in (_parts(n) for n in names):
+            for frame in FRAMES:
+                words = _parts(frame.format(" ".join(own)))
+                if len(own) == 1 and own[0] in AMBIGUOUS:
+                    # A statement that ends with the name, or a line that is nothing else.
+                    if words[-1:] == own and len(words) > 1:
+                        out[family].add(shown([*words, "|"] if len(words) > 2 else ["^", *words, "|"]))
+                elif words == own:
+                    out[family].add(shown(["^", *words, "|"]))
+                else:
+                    n = max(math.ceil(CONFIRM * len(words)), len(own) + (len(own) < 3))
+                    out[family] |= {shown(words[k : k + n]) for k in range(len(words) - n + 1) if _holds(words[k : k + n], own)}
+    for family, texts in NOTICES.items():
+        own = [_parts(n) for n in NAMES.get(family, ())]
+        for words in map(_parts, texts):
+            named = [n for n in own if len(n) > 1 and _holds(words, n)]
+            n = max(math.ceil(CONFIRM * len(words)), min(len(words), LEAST_WORDS))
+            runs = [words[k : k + n] for k in range(len(words) - n + 1)]
+            out[family] |= {shown(r) for r in runs if not named or any(_holds(r, x) for x in named)}
+    # A phrase that holds another adds nothing.
+    return {family: sorted(p for p in own if not any(q != p and q in p for q in own)) for family, own in out.items()}
 
 
 def _held_out() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """Rows to fit weights on, and rows to calibrate them on: other frames, other sentences, notices inside sentences, and fragments."""
-    framed = [(i, family, frame.format(name)) for family, names in NAMES.items() for name in names for i, frame in enumerate(FRAMES)]
+    framed = _framed()
     whole = [(family, text) for family, texts in NOTICES.items() for text in texts]
     fit = [*((f, t) for i, f, t in framed if i % 4 != 3), *whole, *((UNKNOWN, t) for i, t in enumerate(OTHERS) if i % 3 != 2)]
     unseen = [t for i, t in enumerate(OTHERS) if i % 3 == 2]
@@ -166,7 +226,7 @@ def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
     """Families (unknown first), the weights by family of each n-gram that has some, and the intercepts, the temperature taken in."""
     fit, check = _held_out()
     families = [UNKNOWN, *sorted({f for f, _ in fit} - {UNKNOWN})]
-    vocabulary = sorted({g for _, t in fit for g in ngrams_of(t) if not all(w in PLAIN or w.isdigit() for w in g.split())})
+    vocabulary = sorted({g for _, t in fit for g in ngrams_of(t) if _tells(g.split())})
     x, y = _matrix(fit, vocabulary, families)
     weights, bias = _descend(x, y, len(families))
     u, v = _matrix(check, vocabulary, families)
@@ -248,14 +308,12 @@ def _grams(words: Column) -> Column:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """lines with family, probability and likeness of the column line: the likeliest family, how sure the model is, and the largest share
-    of a notice of the family that the line holds. A line without an n-gram of the model is unknown, as the intercepts say."""
+    """lines with family, probability and confirmed of the column line: the likeliest family, how sure the model is, and whether the line
+    holds most of a notice of the family. A line without an n-gram of the model is unknown, as the intercepts say."""
     families, weights, bias = model()
     vocabulary = sorted(weights)
     known, values = _constant(vocabulary, "array<string>"), _constant([weights[g].tolist() for g in vocabulary], "array<array<double>>")
-    own = [[grams for f, grams in templates() if f == family] for family in families]
-    all_ = _constant([sorted({g for t in of for g in t}) for of in own], "array<array<string>>")
-    held = _constant(own, "array<array<array<string>>>")
+    held = _constant([phrases().get(family, []) for family in families], "array<array<string>>")
     step = once(lines, __words=_words(F.col("line")))
     step = once(step, __grams=_grams(F.col("__words")))
     rows = F.transform(F.array_intersect(known, "__grams"), lambda g: F.get(values, (F.array_position(known, g) - 1).cast("int")))
@@ -263,12 +321,11 @@ def classify(lines: DataFrame) -> DataFrame:
     step = once(step, __best=F.array_max("__z"))
     place = (F.array_position("__z", F.col("__best")) - 1).cast("int")
     step = once(step, __family=place, probability=F.round(1 / F.aggregate("__z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("__best"))), 6))
-    # A long line's n-grams are cut down to those of the family's notices before these are gone through.
     likely = (F.col("__family") > 0) & (F.col("probability") >= THRESHOLD)
-    step = once(step, __own=F.when(likely, F.array_intersect(F.get(all_, F.col("__family")), "__grams")))
-    shares = F.transform(F.get(held, F.col("__family")), lambda t: F.size(F.array_intersect(t, F.col("__own"))) / F.size(t))
-    likeness = F.when(likely, F.round(F.array_max(shares), 6)).otherwise(0.0)
-    return once(step, likeness=likeness).select(*lines.columns, F.get(_constant(families, "array<string>"), F.col("__family")).alias("family"), "probability", "likeness")
+    written = F.regexp_replace(F.regexp_replace(F.lower("line"), r"[.!?;]+(?=\s|$)", " | "), "[^a-z0-9|]+", " ")
+    step = once(step, __written=F.when(likely, F.concat(F.lit(" ^ "), F.btrim(written), F.lit(" | "))))
+    confirmed = F.coalesce(F.exists(F.get(held, F.col("__family")), lambda p: F.contains(F.col("__written"), p)), F.lit(False))
+    return once(step, confirmed=confirmed).select(*lines.columns, F.get(_constant(families, "array<string>"), F.col("__family")).alias("family"), "probability", "confirmed")
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -278,12 +335,17 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def paragraphs(text: Column) -> Column:
-    """The lines of a text that aren't blank, and each run of several such lines as one."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    """The lines of a text that aren't blank, and each run of several such lines as one: array of (run, whole, line), run by run."""
     runs = F.split(F.coalesce(text, F.lit("")), "\n[ \t\r\f\x0B]*(?:\n[ \t\r\f\x0B]*)+", -1)
     shown = lambda x: F.btrim(x, F.lit(SPACE)) != ""
-    several = F.filter(F.transform(runs, lambda x: F.btrim(x, F.lit(SPACE + "\n"))), lambda x: F.contains(x, F.lit("\n")))
-    return F.concat(F.filter(lines, shown), F.transform(several, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))))
+    item = lambda i, whole, line: F.struct(i.alias("run"), F.lit(whole).alias("whole"), line.alias("line"))
+
+    def each(run: Column, i: Column) -> Column:
+        own = F.btrim(run, F.lit(SPACE + "\n"))
+        lines = F.transform(F.filter(F.split(run, "\n", -1), shown), lambda x: item(i, False, x))
+        return F.concat(lines, F.when(F.contains(own, F.lit("\n")), F.array(item(i, True, F.replace(own, F.lit("\n"), F.lit(" "))))).otherwise(F.slice(lines, 1, 0)))
+
+    return F.flatten(F.transform(runs, each))
 
 
 def telling(rows: DataFrame, column: str) -> DataFrame:
@@ -299,12 +361,18 @@ def telling(rows: DataFrame, column: str) -> DataFrame:
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, n_paragraphs, n_found, licences, n_unconfirmed): of each document its paragraphs, those with a confirmed licence, their
-    families, and the paragraphs of a likely family that no notice confirms."""
+    families, and the paragraphs of a likely family that no notice confirms.
+
+    A run of lines counts only for a family that none of its lines has."""
     # What holds for all words of a text holds for those of each of its paragraphs.
     texts = telling(documents.select("doc_id", "text"), "text")
-    lines = telling(texts.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("line")), "line")
-    named = classify(lines).where((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD)).select("doc_id", "family", (F.col("likeness") >= CONFIRM).alias("confirmed"))
-    each = named.groupBy(F.col("doc_id").alias("__doc")).agg(F.count_if("confirmed").alias("n_found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("__text"), F.inline(paragraphs(F.col("text"))))
+    named = classify(telling(lines, "line")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD))
+    group = named.groupBy("doc_id", "__text", "run", "family").agg(F.count_if(F.col("confirmed") & ~F.col("whole")).alias("lines"), F.count_if(~F.col("confirmed") & ~F.col("whole")).alias("open"), F.count_if(F.col("confirmed") & F.col("whole")).alias("wholes"), F.count_if(~F.col("confirmed") & F.col("whole")).alias("open_wholes"))
+    found = F.when(F.col("lines") > 0, F.col("lines")).otherwise(F.col("wholes"))
+    unsure = F.when(found > 0, F.lit(0)).when(F.col("open") > 0, F.col("open")).otherwise(F.col("open_wholes"))
+    each = group.select("doc_id", "family", found.alias("found"), unsure.alias("unsure")).groupBy(F.col("doc_id").alias("__doc"))
+    each = each.agg(F.sum("found").alias("n_found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("found") > 0, F.col("family")))), ",").alias("licences"), F.sum("unsure").alias("n_unconfirmed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     counted = documents.select("doc_id", F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
     return counted.join(each, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "n_paragraphs", zero("n_found"), F.coalesce("licences", F.lit("")).alias("licences"), zero("n_unconfirmed"))

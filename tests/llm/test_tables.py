@@ -198,30 +198,40 @@ def test_measures(spark):
 
 
 def judged(line):
-    """Family, probability and likeness by the model in Python."""
+    """Family, probability and whether a notice confirms it, by the model in Python."""
     families, weights, bias = licences.model()
     own = licences.ngrams_of(line)
     z = bias + sum((weights[g] for g in own if g in weights), np.zeros(len(families)))
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     family, sure = families[int(z.argmax())], round(float(p.max()), 6)
-    shares = [len(set(own) & set(grams)) / len(grams) for f, grams in licences.templates() if f == family]
-    return family, sure, max(shares) if family != licences.UNKNOWN and sure >= licences.THRESHOLD else 0.0
+    held = any(x in licences.sentences(line) for x in licences.phrases().get(family, []))
+    return family, sure, family != licences.UNKNOWN and sure >= licences.THRESHOLD and held
 
 
 def scanned(text):
     """Paragraphs, confirmed ones, their families, and unconfirmed ones, without any test for telling words."""
-    lines = [x for x in (text or "").split("\n") if x.strip(" \t\r\f\v")]
-    runs = [x.strip(" \t\r\f\v\n") for x in re.split(r"\n[ \t\r\f\v]*(?:\n[ \t\r\f\v]*)+", text or "")]
-    units = lines + [x.replace("\n", " ") for x in runs if "\n" in x]
-    found = [(f, like >= licences.CONFIRM) for f, p, like in map(judged, units) if f != licences.UNKNOWN and p >= licences.THRESHOLD]
-    return len(units), sum(c for _, c in found), ",".join(sorted({f for f, c in found if c})), sum(not c for _, c in found)
+    n, found, unsure, families = 0, 0, 0, set()
+    for run in re.split(r"\n[ \t\r\f\v]*(?:\n[ \t\r\f\v]*)+", text or ""):
+        lines = [x for x in run.split("\n") if x.strip(" \t\r\f\v")]
+        own = run.strip(" \t\r\f\v\n")
+        whole = [own.replace("\n", " ")] if "\n" in own else []
+        n += len(lines) + len(whole)
+        says = lambda units: [(f, c) for f, p, c in map(judged, units) if f != licences.UNKNOWN and p >= licences.THRESHOLD]
+        of_lines, of_whole = says(lines), says(whole)
+        for family in {f for f, _ in of_lines + of_whole}:
+            yes, no = of_lines.count((family, True)), of_lines.count((family, False))
+            yes = yes or of_whole.count((family, True))
+            found += yes
+            unsure += 0 if yes else no or of_whole.count((family, False))
+            families |= {family} if yes else set()
+    return n, found, ",".join(sorted(families)), unsure
 
 
 def test_licences_against_the_model(spark):
     texts = [*(t for _, t in licences.notices()[::7]), *licences.OTHERS[::5], "BSD 3-Clause License", "", "x"]
     for r in licences.classify(spark.createDataFrame([(t,) for t in texts], "line string")).collect():
-        family, sure, like = judged(r.line)
-        assert r.family == family and abs(r.probability - sure) < 2e-6 and abs(r.likeness - like) < 2e-6
+        family, sure, confirmed = judged(r.line)
+        assert r.family == family and abs(r.probability - sure) < 2e-6 and r.confirmed == confirmed
 
 
 def test_licence_query_against_brute_force(spark, sf):
@@ -241,13 +251,132 @@ PLAIN = ["He lost his driver's license in a bar.", "The copyright of the song is
 
 
 def test_statements_that_no_frame_made():
-    right = [judged(t)[0] == f and judged(t)[1] >= licences.THRESHOLD and judged(t)[2] >= licences.CONFIRM for f, texts in STATED.items() for t in texts]
-    wrong = [t for t in PLAIN if judged(t)[0] != licences.UNKNOWN and judged(t)[2] >= licences.CONFIRM]
+    right = [judged(t)[0] == f and judged(t)[1] >= licences.THRESHOLD and judged(t)[2] for f, texts in STATED.items() for t in texts]
+    wrong = [t for t in PLAIN if judged(t)[0] != licences.UNKNOWN and judged(t)[2]]
     assert np.mean(right) >= 0.9 and not wrong
     own = [judged(t)[0] == f and judged(t)[1] >= licences.THRESHOLD for f, t in licences.notices()]
     assert np.mean(own) > 0.995
 
 
+#: Sentences that hold words of licences and none: marked by hand, in four languages, none of them in the model's own.
+NONE = """
+Er kam mit seiner Frau. The license was old.
+Wir fahren mit einer neuen license.
+A professor at MIT lost her driving license.
+The MIT team said the license fee was too high.
+The library was released in May by ISC and others under license.
+MIT students released a film under the terms of a contract.
+The MIT press published the work in 1998.
+Under the MIT dome there is a library.
+The source code of the MIT project was lost.
+License plates from MIT parking lots were stolen.
+He has a license. MIT hired him anyway.
+Distributed systems are taught at MIT by three professors.
+The ISC conference was licensed to a hotel.
+An ISC license was needed for the diesel engine? Nobody knew.
+Software written at MIT is used around the world.
+Her licence was granted by the general public office.
+Mit freundlichen Grüßen, Ihre Lizenzabteilung.
+Sie fährt mit dem Bus, er mit der Bahn.
+Die Software wird mit einer Anleitung geliefert.
+Mit Lizenz zum Töten ist ein Film.
+Unter der Lizenz verstand er etwas anderes.
+Das Programm beginnt mit einem Lied.
+Alle Rechte und Pflichten gehen auf den Käufer über.
+Die Lizenz endet mit dem Jahr 2020.
+Er ist mit der Lizenz zufrieden und mit dem Preis nicht.
+La licence de conduire n'existe plus.
+Le logiciel libre est un sujet de débat.
+Tous les droits de l'homme sont universels.
+Il a une licence et un master de droit.
+Cette œuvre est sous la protection de la ville.
+Le public est libre d'entrer sans permission.
+Le général parle de la version originale.
+La licencia fue otorgada por el general.
+Todos los derechos humanos son universales.
+El programa es libre para el público general.
+La obra está bajo llave en la biblioteca.
+El autor renuncia a su cargo en mayo.
+Apache warriors used no software.
+The Apache helicopter has a version 2.0 of its radar.
+A license to fly the Apache is hard to get.
+The Mozilla team visited a public garden.
+Public libraries lend GNU books.
+The gnu herd is protected under the license of the park.
+The Free Software Foundation has an office in Boston.
+The general public may obtain a copy of the map.
+You should have received a letter by now.
+See the license for the dog at the town hall.
+You may not use this file cabinet.
+You may obtain a copy at the desk.
+Unless required by law, no tax is paid.
+The warranty is without conditions of any kind.
+Permission is hereby granted to enter the park.
+The above notice shall hang in all rooms.
+Redistribution of land was the aim of the reform.
+Neither the name of the holder nor the sum was told.
+The names of its contributors are on the wall.
+This list of conditions is long.
+The disclaimer was read aloud.
+Some rights reserved for members were lost.
+All seats reserved. Rights of way apply.
+All the rights are reserved to the crown, he said.
+Copyright is a right of authors.
+The copyright holder lives in Paris.
+Copyright 2020 was the title of the show.
+The creative commons of the village was sold.
+Creative people share their commons.
+Attribution of the painting is not certain.
+The attribution to Rubens is licensed guesswork.
+Zero is a number, and 1.0 is one too.
+CC me on the letter, by 4.0 at the latest.
+The CC was sent by mail.
+Universal public transport is dedicated to the people.
+The author has waived his fee for this work.
+This work is dedicated to my mother.
+Neighboring rights to water were disputed.
+The public domain is a legal idea.
+The BSD is a bus station in Delhi.
+BSD shares rose by 3 percent.
+Two clauses of the license were struck out.
+The 3-clause contract was signed.
+Proprietary recipes are kept secret.
+Confidential files were found on the train.
+Unauthorized entry is strictly prohibited.
+No part of the house may be reproduced in a film.
+Written permission of the owner is required.
+The publisher gave prior written notice.
+This program was broadcast in 1990.
+This program is free for children.
+Free of charge, any person may enter.
+The software business grew by a tenth.
+To deal in the software trade you need money.
+Sell copies of the book to the shop.
+Without limitation of speed, cars raced by.
+He published, distributed and sold the sheet music.
+Any later version of the song is worse.
+Either version 3 or version 2 of the tale is true.
+The terms of the license were read to the guests.
+A licensed guide shows you the cave.
+The restaurant is fully licensed.
+The state licenses doctors and barbers.
+"""
+
+
+def test_lines_without_a_licence():
+    lines = NONE.strip().split("\n")
+    assert len(lines) == 100 and not set(lines) & set(licences.OTHERS)
+    assert sum(judged(t)[2] for t in lines) <= 1
+    likely = [t for t in lines if judged(t)[0] != licences.UNKNOWN and judged(t)[1] >= licences.THRESHOLD]
+    assert len(likely) <= 10 and not set(likely) & set(lines[:5]), likely
+
+
+def test_a_notice_counts_once(spark):
+    texts = ["some words\nReleased under the MIT License.", "Released under the MIT License.\nAll rights reserved.\nmore", "words\n\nReleased under\nthe MIT License.\n\nReleased under the MIT License.", "x" * 100 + "\nReleased under the MIT License.\n" * 3]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [(r.n_found, r.licences, r.n_unconfirmed) for r in rows] == [(1, "MIT", 0), (2, "MIT,proprietary", 0), (2, "MIT", 0), (3, "MIT", 0)]
+
+
 def test_licence_scan(spark, odd, none):
     wrapped = "Some words first.\n\nThis program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of the License, or (at\nyour option) any later version.\n \t\nEnd."
     texts = {1: "text\nAll rights reserved.\nReleased under the MIT License.", 2: "A license to drive.", 3: None, 4: "", 5: wrapped, 6: wrapped.replace("\n", "\r\n"), 7: "word " * 100_000 + "\nLicensed under CC BY 4.0.", 8: "\n\n\n"}
