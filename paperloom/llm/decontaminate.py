@@ -215,24 +215,26 @@ def _pass(documents: DataFrame, blocks: list[list[tuple[str, bytes]]], text: str
     """documents with the columns of FOUND; again: joined to those that an earlier pass has found."""
     names = [f.split()[0] for f in FOUND.split(", ")]
     kept = documents.select(*keep)
+    # A text that is kept goes to the workers once.
+    read = text if text in keep else "__text"
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
     shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = _suffixes_of(shared.value, window)
-        for part, data, offsets in slices(batches, "__text", SHARD_BYTES):
+        for part, data, offsets in slices(batches, read, SHARD_BYTES):
             w = words_of(data, offsets)
             shard = Shard(w.hash, w.first)
             rows = [([], [], 0, -1, None)] * part.num_rows
             if again:
-                old = [part.column(k).to_pylist() for k in range(part.num_columns - len(names), part.num_columns - 1)]
+                old = [part.column(k).to_pylist() for k in range(len(keep), len(keep) + len(names) - 1)]
                 rows = list(zip(*old, strict=True))
             for s in each():
                 rows = [_merged(x, y) if y[0] else x for x, y in zip(rows, matches(w, shard, s), strict=True)]
             kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(w.count, pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*keep, *names])
 
-    source = documents.select(*keep, *(names[1:] if again else []), F.col(text).alias("__text"))
+    source = documents.select(*keep, *(names[1:] if again else []), *([] if text in keep else [F.col(text).alias("__text")]))
     return source.mapInArrow(run, f"{schema}, {FOUND}" if schema else FOUND)
 
 
@@ -245,8 +247,8 @@ def _suffixes_of(blocks: list[list[tuple[str, bytes]]], window: int):
     return lambda: map(make, blocks)
 
 
-def passes(benchmark: DataFrame, item: str, text: str, block_bytes: int, pass_bytes: int) -> Iterator[list[list[tuple[str, bytes]]]]:
-    """The items, in passes of about so many bytes, each in blocks."""
+def passes(benchmark: DataFrame, item: str, text: str, block_bytes: int, pass_bytes: int) -> Iterator[tuple[bool, list[list[tuple[str, bytes]]]]]:
+    """The items, in passes of about so many bytes, each in blocks, and whether another pass follows."""
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // pass_bytes))
@@ -257,7 +259,7 @@ def passes(benchmark: DataFrame, item: str, text: str, block_bytes: int, pass_by
                 blocks, held = [*blocks, []], 0
             blocks[-1].append((r["item"], r["text"].encode()))
             held += len(blocks[-1][-1][1]) + 64
-        yield [sorted(b) for b in blocks]
+        yield k + 1 < n, [sorted(b) for b in blocks]
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -267,10 +269,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, text: str = "text"
     made = [f.split()[0] for f in FOUND.split(", ")]
     keep = [c for c in (documents.columns if keep is None else keep) if c not in made and (keep is not None or c != text)]
     out, again = documents, False
-    for blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
+    for more, blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
         # Of what an earlier pass has made the text is read again.
         source = out.transform(stored) if again else out
-        out, again = _pass(source, blocks, text, list(dict.fromkeys([*keep, text])), window, again), True
+        out, again = _pass(source, blocks, text, list(dict.fromkeys([*keep, text])) if more else keep, window, again), True
     return out.select(*keep, *made)
 
 
@@ -298,7 +300,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, key: str = "d
     A task keeps the best of its shards, so that a row for each suffix leaves it."""
     small_batches(documents.sparkSession)
     out = None
-    for blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
+    for _, blocks in passes(benchmark, item, item_text, block_bytes, pass_bytes):
         shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
@@ -323,9 +325,10 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, key: str = "d
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The documents that hold no window of any benchmark item, with their columns as they were."""
-    inner = documents.select(F.struct("*").alias("__row"), text)
-    found = find_leaks(inner, benchmark, text=text, keep=["__row"], **how)
-    return found.where(F.size("found") == 0).select("__row.*")
+    rest = [c for c in documents.columns if c != text]
+    inner = documents.select(F.struct(*rest).alias("__row") if rest else F.lit(None).alias("__row"), F.col(text).alias("__whole"))
+    found = find_leaks(inner, benchmark, text="__whole", keep=["__row", "__whole"], **how).where(F.size("found") == 0)
+    return found.select(*(F.col("__whole").alias(c) if c == text else F.col("__row")[c].alias(c) for c in documents.columns))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
