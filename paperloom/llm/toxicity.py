@@ -5,6 +5,9 @@ toxic texts hold and others don't. A word of a text is looked up by running its
 over the lexicon's trie; letters and length first rule out words that can't be near a term. Words that
 the sample's clean texts hold are never taken for misspellings.
 
+Some terms are only told by company: words that a stem and any ending make, each too rare to be learned, and now and then made by chance in clean texts too.
+Such a stem is paired: its words count where a text has two different ones.
+
 Each term found gets a weight from what is around it: less inside a quotation that opens and closes in its line, however
 long that is, or near a verb of reporting, more near the second person. A logistic regression on the sums of these
 weights, fitted on the same sample, gives the score.
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, functions as F
 from .lexicon import Trie, edits, nearest
 from .linear import labelled_sample, logistic, remainder, sigmoid
 from .sizes import discard, small_batches, stored
-from .words import LOWER, WORD, slices, words_of
+from .words import LOWER, WORD, Words, slices, words_of
 
 PER_CLASS = 6000
 THRESHOLD = 0.7
 #: Of a lexicon entry: its most rows of clean texts for each toxic one, and the chance that so many rows, were they drawn at random, all were toxic.
 IMPURE, CHANCE = 0.02, 1e-5
 STEM, LONGEST, ENDINGS = 4, 12, 5
+#: Of a paired stem: its most clean texts with two of its words for each toxic one.
+PAIR_IMPURE = 0.1
 
 # Quotation marks, verbs and nouns of reporting, and words of address, in four languages.
 OPENING = "\"'“„«‘‹"
@@ -57,7 +62,7 @@ def learn_lexicon(counts: list[tuple[str, int, int, int]], share: float) -> list
     """counts: word, toxic and clean rows with it, different words before it in toxic rows (copies of one text have one).
 
     Words and stems of toxic texts; a stem takes in the words that begin with it. share: the sample's share of toxic rows."""
-    least = max(5, math.ceil(math.log(CHANCE) / math.log(min(max(share, 1e-6), 0.9))))
+    least = _least(share)
     nodes: dict[str, list[int]] = {}
     for word, toxic, _, places in counts:
         for n in range(STEM, min(len(word), LONGEST) + 1) if toxic else ():
@@ -80,6 +85,29 @@ def learn_lexicon(counts: list[tuple[str, int, int, int]], share: float) -> list
     return [*((s, True) for s in sorted(stems)), *((w, False) for w in sorted(words))]
 
 
+def pairs_of(words: list[str]) -> set[str]:
+    """The stems of which a text has two different longer words."""
+    seen: dict[str, int] = {}
+    for word in words:
+        for n in range(STEM, min(len(word) - 1, LONGEST) + 1):
+            seen[word[:n]] = seen.get(word[:n], 0) + 1
+    return {p for p, n in seen.items() if n > 1}
+
+
+def learn_paired(counts: list[tuple[str, int, int]], least: int, lexicon: list[tuple[str, bool]]) -> list[str]:
+    """counts: stem, toxic and clean texts with two of its words. The shortest stems that toxic texts have, but for those that begin like a lexicon stem."""
+    out = [t for t, stem in lexicon if stem]
+    begin = len(out)
+    for p, toxic, clean in sorted(counts, key=lambda x: (len(x[0]), x[0])):
+        if toxic >= least and clean <= PAIR_IMPURE * toxic and not p.startswith(tuple(out)):
+            out.append(p)
+    return out[begin:]
+
+
+def _least(share: float) -> int:
+    return max(5, math.ceil(math.log(CHANCE) / math.log(min(max(share, 1e-6), 0.9))))
+
+
 def _leading(term: str) -> bytes:
     """The ASCII letters that a term begins with."""
     return re.match(r"[\x00-\x7f]*", term)[0].encode()
@@ -88,8 +116,8 @@ def _leading(term: str) -> bytes:
 class Matcher:
     """Finds lexicon terms among words."""
 
-    def __init__(self, lexicon: list[tuple[str, bool]], clean: frozenset[str]):
-        self.trie, self.clean, self.known = Trie(lexicon), clean, {}
+    def __init__(self, lexicon: list[tuple[str, bool]], clean: frozenset[str], paired: tuple[str, ...] = ()):
+        self.trie, self.clean, self.known, self.paired = Trie(lexicon), clean, {}, [p.encode() for p in paired]
         of = lambda t: [b for b in t.encode() if _ASCII[b]]
         self.terms = [(np.uint32(np.bitwise_or.reduce(_BIT[of(t)]) if of(t) else 0), len(of(t)), edits(t, stem), stem, _leading(t)) for t, stem in lexicon]
 
@@ -130,6 +158,20 @@ class Matcher:
         return out
 
 
+    def pairs(self, data: np.ndarray, w: Words) -> list[int]:
+        """The words that are longer than a paired stem and begin with it, in texts that have two different such: of each word of a text the first."""
+        out = []
+        for stem in self.paired:
+            near = np.flatnonzero(w.length > len(stem))
+            for k, byte in enumerate(stem):
+                near = near[LOWER[data[w.start[near] + k]] == byte]
+            text = np.searchsorted(w.first, near, "right") - 1
+            _, first = np.unique(np.stack([text.astype(np.uint64), w.hash[near]]), axis=1, return_index=True)
+            of = text[first]
+            out += near[first][np.bincount(of, minlength=len(w.first))[of] > 1].tolist() if len(of) else []
+        return sorted(out)
+
+
 class Lines:
     """Where a text's lines end and its quotations open and close, so that a place is looked up in whole lines of any length."""
 
@@ -170,11 +212,12 @@ WINDOW = 120
 
 
 def sums(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text the context weights of terms as spelt and misspelt, and the terms found."""
+    """For each text the context weights of terms as spelt and misspelt, the terms found, and the context weights of words of paired stems."""
     w = words_of(data, offsets)
-    out = np.zeros((len(offsets) - 1, 3))
+    out = np.zeros((len(offsets) - 1, 4))
     now, lines = -1, None
-    for i, e in matcher.find(data, w.start, w.length, w.hash):
+    found = [(i, int(e > 0)) for i, e in matcher.find(data, w.start, w.length, w.hash)]
+    for i, column in sorted(found + [(i, 3) for i in matcher.pairs(data, w)]):
         t = int(np.searchsorted(w.first, i, "right")) - 1
         low, high = int(offsets[t]), int(offsets[t + 1])
         if t != now:
@@ -182,7 +225,7 @@ def sums(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = int(w.start[i]), int(w.start[i] + w.length[i])
         before = data[max(low, a - WINDOW) : a].tobytes().decode(errors="ignore")
         after = data[b : min(high, b + WINDOW)].tobytes().decode(errors="ignore")
-        out[t, int(e > 0)] += context(before, after, lines.quoted(a - low, b - low))
+        out[t, column] += context(before, after, lines.quoted(a - low, b - low))
         out[t, 2] += 1
     return out
 
@@ -193,14 +236,15 @@ MISSPELT = 0.6
 
 
 def columns(s: np.ndarray) -> np.ndarray:
+    """What the regression sees of the sums: of terms as spelt, of misspelt ones, and of words of paired stems."""
     both = s[:, 0] + MISSPELT * s[:, 1]
-    return np.stack([np.minimum(both, 1), np.log1p(both), np.log1p(s[:, 1])], axis=1)
+    return np.stack([np.minimum(both, 1), np.log1p(both), np.log1p(s[:, 1]), np.log1p(s[:, 2])], axis=1)
 
 
 @lru_cache(maxsize=4)
-def _matcher(lexicon: tuple, clean: frozenset) -> Matcher:
+def _matcher(lexicon: tuple, clean: frozenset, paired: tuple) -> Matcher:
     """Kept in a worker from task to task, with the words that it has looked up."""
-    return Matcher(list(lexicon), clean)
+    return Matcher(list(lexicon), clean, paired)
 
 
 def near_words(lexicon: list[tuple[str, bool]], words: list[str]) -> frozenset[str]:
@@ -243,21 +287,44 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod:
     lexicon = learn_lexicon(counts, sizes.get(1, 0) / max(1, sum(sizes.values())))
     clean = sorted(w for w, toxic, free, _ in counts if free and free > IMPURE * toxic)
     del counts
-    model = {"lexicon": lexicon, "clean": near_words(lexicon, clean)}
-    rows = once.mapInArrow(_summing(model, ["y"]), "y int, exact double, misspelt double, terms double").toArrow()
+    least = _least(sizes.get(1, 0) / max(1, sum(sizes.values())))
+    often = {r["stem"]: r["n"] for r in once.where("y = 1").mapInArrow(_pairing(None), "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+    other = {r["stem"]: r["n"] for r in once.where("y = 0").mapInArrow(_pairing(frozenset(often)), "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
+    paired = learn_paired([(p, n, other.get(p, 0)) for p, n in often.items()], least, lexicon)
+    model = {"lexicon": lexicon, "clean": near_words(lexicon, clean), "paired": paired}
+    rows = once.mapInArrow(_summing(model, ["y"]), "y int, exact double, misspelt double, terms double, paired double").toArrow()
     discard(once)
-    y, x = np.array(rows.column(0).to_pylist(), dtype=np.int64), np.array([rows.column(k).to_pylist() for k in (1, 2)], dtype=float).T.reshape(-1, 2)
-    if not len(y) or y.min() == y.max() or not lexicon:
-        return {"lexicon": [], "clean": frozenset(), "weights": np.array([0, 0, 0, -40.0])}
+    y, x = np.array(rows.column(0).to_pylist(), dtype=np.int64), np.array([rows.column(k).to_pylist() for k in (1, 2, 4)], dtype=float).T.reshape(-1, 3)
+    if not len(y) or y.min() == y.max() or not (lexicon or paired):
+        return {"lexicon": [], "clean": frozenset(), "paired": [], "weights": np.array([0, 0, 0, 0, -40.0])}
     return model | {"weights": logistic(columns(x), y.astype(float), np.where(y == 1, stands_for[1], stands_for[0]), 1e-2)}
 
 
+def _pairing(wanted: frozenset[str] | None):
+    """Counts the texts that have two words of a stem; wanted: of these stems alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for _, data, offsets in slices(batches, "text"):
+            w = words_of(data, offsets)
+            for t in range(len(offsets) - 1):
+                _, first = np.unique(w.hash[w.first[t] : w.first[t + 1]], return_index=True)
+                words = [data[w.start[i] : w.start[i] + w.length[i]].tobytes().decode(errors="replace").lower() for i in (first + w.first[t]).tolist()]
+                for p in pairs_of(words if wanted is None else [x for x in words if x[:STEM] in heads]) if wanted is None or heads else ():
+                    if wanted is None or p in wanted:
+                        counts[p] = counts.get(p, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
+
+    heads = frozenset(p[:STEM] for p in wanted or ())
+    return run
+
+
 def _summing(model: dict, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(tuple(model["lexicon"]), model["clean"])
+        matcher = _matcher(tuple(model["lexicon"]), model["clean"], tuple(model["paired"]))
         for part, data, offsets in slices(batches, "text"):
             s = sums(matcher, data, offsets)
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), *(pa.array(s[:, k]) for k in range(3))], names=[*keep, "exact", "misspelt", "terms"])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), *(pa.array(s[:, k]) for k in range(4))], names=[*keep, "exact", "misspelt", "terms", "paired"])
 
     return run
 
@@ -269,10 +336,10 @@ def score(documents: DataFrame, model: dict, *, keep: list[str] | None = None, t
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(tuple(model["lexicon"]), model["clean"])
+        matcher = _matcher(tuple(model["lexicon"]), model["clean"], tuple(model["paired"]))
         for part, data, offsets in slices(batches, "__text"):
             s = sums(matcher, data, offsets)
-            x = sigmoid(columns(s) @ model["weights"][:-1] + model["weights"][-1])
+            x = sigmoid(columns(s[:, [0, 1, 3]]) @ model["weights"][:-1] + model["weights"][-1])
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(x), pa.array(s[:, 2].astype(np.int64))], names=[*keep, "score", "terms"])
 
     return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, score double, terms bigint" if schema else "score double, terms bigint")

@@ -91,47 +91,77 @@ def quoted(line, a, b):
     return False
 
 
-def brute_score(text, model):
-    """A document's score by edit distances of every word to every term."""
-    total = [0.0, 0.0]
-    for m in re.finditer(WORD.pattern, lowered(text or "")):
-        word, best = m[0].lower(), None
-        for term, stem in model["lexicon"]:
-            e = min((edit_distance(term, word[:k]) for k in range(len(word) + 1)), default=99) if stem else edit_distance(term, word)
-            if e <= edits(term, stem) and not (len(term) == 4 and not stem and e and len(word) != 4):
-                best = min(best or (9, 0, ""), (e, -len(term), term))
-        if best is None or (best[0] and word in model["clean"]):
-            continue
-        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+def brute_score(text, model, known):
+    """A document's score by edit distances of every word to every term; known: words that were held against the terms before."""
+    total, text = [0.0, 0.0, 0.0], text or ""
+    low = lowered(text)
+    words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(WORD.pattern, low)]
+
+    def weight(a, b):
+        begin, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
         line = text[begin : end if end >= 0 else len(text)]
         cut = lambda x, k: x.encode()[k].decode(errors="ignore")
-        around = cut(text[: m.start()], slice(-toxicity.WINDOW, None)), cut(text[m.end() :], slice(toxicity.WINDOW))
-        total[best[0] > 0] += context(*around, quoted(line, m.start() - begin, m.end() - begin))
+        around = cut(text[max(0, a - toxicity.WINDOW) : a], slice(-toxicity.WINDOW, None)), cut(text[b : b + toxicity.WINDOW], slice(toxicity.WINDOW))
+        return context(*around, quoted(line, a - begin, b - begin))
+
+    for word, a, b in words:
+        if word not in known:
+            best = None
+            for term, stem in model["lexicon"]:
+                if not stem and abs(len(term) - len(word)) > 2:
+                    continue
+                e = min((edit_distance(term, word[:k]) for k in range(len(word) + 1)), default=99) if stem else edit_distance(term, word)
+                if e <= edits(term, stem) and not (len(term) == 4 and not stem and e and len(word) != 4):
+                    best = min(best or (9, 0, ""), (e, -len(term), term))
+            known[word] = None if best is None or (best[0] and word in model["clean"]) else best[0]
+        if known[word] is not None:
+            total[known[word] > 0] += weight(a, b)
+    for stem in model["paired"]:
+        first = {}
+        for m in re.finditer(WORD.pattern, low):
+            if m[0].startswith(stem) and len(m[0]) > len(stem):
+                first.setdefault(m[0], (m.start(), m.end()))
+        if len(first) > 1:
+            total[2] += sum(weight(*at) for at in first.values())
     both = total[0] + toxicity.MISSPELT * total[1]
-    z = float(np.array([min(both, 1), math.log1p(both), math.log1p(total[1]), 1]) @ model["weights"])
+    z = float(np.array([min(both, 1), math.log1p(both), math.log1p(total[1]), math.log1p(total[2]), 1]) @ model["weights"])
     return 1 / (1 + math.exp(-max(-40, min(40, z))))
 
 
+def test_paired_stems_need_company():
+    texts = ["stemone twostem", "stemone stemtwo", "stemone stemone stem", "stemone\nx", "stemtwo other Stemone stemone"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    s = toxicity.sums(Matcher([], frozenset(), ("stem",)), data, offsets)
+    assert s[:, 3].tolist() == [0, 2, 0, 0, 2] and s[:, 2].tolist() == [0, 2, 0, 0, 2]
+    assert toxicity.pairs_of(["stemone", "stemtwo", "stem", "othe", "other"]) == {"stem"}
+    counts = [("stem", 9, 0), ("stemo", 9, 0), ("weak", 5, 0), ("often", 90, 10), ("bad", 9, 0)]
+    assert toxicity.learn_paired(counts, 6, [("bad", True)]) == ["stem"]
+
+
 def test_toxicity_query_against_brute_force(spark, sf):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), labels)
-    docs = [(r.doc_id, r.text[:1500]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    assert model["paired"] and {w for w, _ in model["lexicon"]}.isdisjoint(model["paired"])
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     words = [t for t, stem in model["lexicon"] if not stem][-12:]
     rng = random.Random(8)
     for k, word in enumerate(words * 4):
         i = rng.randrange(len(word))
         spelt = [word, word.upper(), word[:i] + "x" + word[i + 1 :], word[:i] + word[i + 1 :]][k % 4]
         docs.append((1000 + k, rng.choice(['she said "{}" to him', "you {} are here", "«{}» dit-on", "it's '{}' then, isn't it", "{}\n{}", "a {}, an {} and\na \"{}"]).replace("{}", spelt)))
+    for k, stem in enumerate(model["paired"]):
+        docs += [(3000 + 10 * k, f"{stem}e and {stem}a"), (3001 + 10 * k, f"{stem}e and {stem}e, {stem}"), (3002 + 10 * k, f'you {stem}e. "{stem}a" he said. {stem.upper()}i')]
     docs += [(2000, None), (2001, "")]
     got = toxicity.score(spark.createDataFrame(docs, "doc_id bigint, text string"), model).collect()
     assert len(got) == len(docs) and {r.terms > 0 for r in got} == {True, False}
     text = dict(docs)
-    assert all(abs(r.score - brute_score(text[r.doc_id], model)) < 1e-9 for r in got)
+    known = {}
+    assert all(abs(r.score - brute_score(text[r.doc_id], model, known)) < 1e-9 for r in got)
 
 
 def held_out(rows, labels, mod, rest, label):
-    # Some rows of low quality are labelled toxic without a word of it, in any language; nothing in them can be learnt.
-    y = {r.doc_id: r[label] for r in labels.collect() if label == "quality" or r.quality or not r.toxic}
+    y = {r.doc_id: r[label] for r in labels.collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     return [(r.predicted, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
@@ -142,7 +172,8 @@ def test_held_out_rows(spark, query, mod, rest, label):
     sf = "/root/testdata/sf0.1"
     pairs = held_out(query(spark, sf).collect(), spark.read.parquet(f"{sf}/labels.parquet"), mod, rest, label)
     right = [np.mean([p == y for p, y in pairs if y == k]) for k in (0, 1)]
-    assert len(pairs) > 500 and min(right) > (0.93 if label == "quality" else 0.95)
+    # Some rows of low quality are labelled toxic without a word of it, in any language: 11 of 144 here.
+    assert len(pairs) > 500 and right[0] > 0.95 and right[1] > (0.93 if label == "quality" else 0.9)
 
 
 @pytest.mark.parametrize("part,label", [(quality, "quality"), (toxicity, "toxic")])
