@@ -1,7 +1,7 @@
 """The training-text pipeline: toxicity, line dedup, near-dedup, decontamination and packing, one after the other.
 
 Every stage works on all rows that the one before it has kept, and returns the columns of documents; the last one
-returns the packed pieces. ``run`` stores what a stage returns before the next one reads it.
+returns the packed pieces. ``run`` stores what a stage returns before the next one reads it, and deletes it once that one's is stored.
 
 Defined cases, for every stage: an empty table gives an empty table; other columns of documents, whatever their names, are kept (by all but
 the last, which ignores them); rows are taken one by one, so that ties and repeated rows have the same fate, but for near-duplicates.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate, lines, minhash, packing, toxicity
-from paperloom.llm.sizes import stored
+from paperloom.llm.sizes import discard, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir).transform(stored)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
