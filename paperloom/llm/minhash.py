@@ -16,9 +16,11 @@ Within a band's bucket every text is first compared with the bucket's leader: a
 the text with the most company over all its buckets, as a text with few edits of its own is near the most others.
 Leaders with many texts are salted. Where a star leaves several classes, the bucket's other texts then meet in
 blocks of bounded size, once: all similarities of a block come from one product of its incidence matrices, and only
-links that join two classes leave it. Members of the leader's class don't meet one another, so that the rows of a
-bucket grow with its texts as long as what the star leaves apart fits a block. After that every pair of texts that
-shares a bucket was compared or is in one class; there are no rounds and no pair is left out.
+links that join two classes leave it. A bucket of more than a block is first cut down by prefixes: its shingles are put in order, those that
+a sample of its texts shares last, and of each text the first ones are taken, so many that what is left weighs less than two similar texts share. Two
+similar texts have one of these in common (Chaudhuri et al. 2006), and only texts that have, meet in blocks: of texts of one template, alike only in what all have, none do. Each text of a
+bucket is read once for that. After that every pair of texts that shares a bucket was compared, can't be similar, or is in one class; there are no
+rounds and no pair is left out.
 
 Verifying computes the weighted Jaccard similarity of the whole texts; a pair that shares a bucket and whose sets of
 shingles, unweighted, are as similar is linked too. Classes are the connected components, found by alternating
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .sizes import discard, if_small, small_batches, stored, stored_few
 from .words import U, Words, grams, mix, slices, words_of
@@ -254,6 +256,67 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK_TEXTS, BLOCK_WORDS = 2048, 500_000
 
 
+#: Texts of a bucket that tell which of its shingles are common.
+TELLING = 64
+
+
+def narrowed(wide: DataFrame, documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> DataFrame:
+    """wide: (key, node, label, size, n) of buckets of n texts, more than a block. (key, node, label, home, size): smaller buckets in which all pairs of different labels
+    meet that may be similar, by a shingle that both have in their prefix; of groups of the same texts one is kept.
+
+    A bucket's texts are dealt to tasks with a few of them before, which tell the order; the order is the same in all tasks."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)
+    salts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    telling = wide.select("key", "node", "n").withColumn("place", first).where(F.col("place") <= TELLING)
+    telling = telling.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), "node", F.lit(0).cast("bigint").alias("label"), F.lit(0).cast("bigint").alias("size"))
+    members = wide.select("key", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "node", "label", F.col("size").cast("bigint").alias("size"))
+    texts = telling.unionByName(members).join(documents.select(F.col("doc_id").alias("node"), "text"), "node")
+    met = texts.select("key", "salt", "member", "node", "label", "size", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = shared.value
+        now, held, common = None, [], None
+        for part, data, offsets in slices(batches, "text"):
+            w = words_of(data, offsets)
+            idf = weights(w.hash, words, known)
+            key, salt, member, node, label, size = (part.column(k).to_pylist() for k in range(6))
+            out: list[tuple[int, int, int, int, np.ndarray]] = []
+            for t in range(part.num_rows):
+                if (key[t], salt[t]) != now:
+                    now, held, common = (key[t], salt[t]), [], None
+                s, weight = shingles(w, t, idf)
+                if not member[t]:
+                    held.append(s)
+                    continue
+                if common is None:
+                    common = np.unique(np.concatenate(held), return_counts=True)
+                out.append((key[t], node[t], label[t], size[t], prefix(s, weight, common, similar)))
+            n = [len(x[4]) for x in out]
+            if sum(n):
+                flat = [pa.array(np.repeat(np.array([x[k] for x in out], np.int64), n)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*flat, pa.array(np.concatenate([x[4] for x in out]).view(np.int64))], names=["key", "node", "label", "size", "shingle"])
+
+    rows = met.mapInArrow(run, "key bigint, node bigint, label bigint, size bigint, shingle bigint").transform(stored)
+    groups = rows.groupBy("key", "shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    kept = groups.groupBy("key", "n", "nodes").agg(F.min("shingle").alias("shingle")).select("key", "shingle")
+    return rows.join(kept, ["key", "shingle"]).select(F.xxhash64("key", "shingle").alias("key"), "node", "label", F.lit(False).alias("home"), "size")
+
+
+def prefix(s: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles of a text, rare ones first, of which a similar text has one: what follows them weighs less, and is fewer, than
+    such texts share at least, the ``similar`` part of the larger one."""
+    if not len(s):
+        return s
+    at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+    count = np.where(common[0][at] == s, common[1][at], 0)
+    order = np.lexsort([s, count])
+    left = weight[order][::-1].cumsum()[::-1]
+    by_weight = int((left >= (similar - ROUNDING) * left[0]).sum())
+    by_number = int((np.arange(len(s), 0, -1) >= (similar - ROUNDING) * len(s)).sum())
+    return s[order[: max(by_weight, by_number)]]
+
+
 def crossed(rest: DataFrame, documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> DataFrame:
     """rest: (key, node, label, home, size), texts of buckets; home: of the leader's class; size: words. (a, b, similarity) of links between
     the texts of a bucket, as many as join its classes: all pairs are compared but those of one label.
@@ -384,7 +447,13 @@ def classes(documents: DataFrame, *, similar: float = SIMILAR, frequent: int = F
     split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     home = labels.select(F.col("node").alias("leader"), F.col("label").alias("of"))
     rest = named.join(split, "key", "left_semi").join(home, "leader", "left").select("key", "node", "label", "size", (F.col("label") == F.coalesce("of", "leader")).alias("home")).transform(stored_few)
-    more = crossed(rest, held, known, similar).transform(stored_few)
+    size = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words")).where(f"n > {BLOCK_TEXTS} or words > {BLOCK_WORDS}").select("key", "n").transform(stored_few)
+    blocks = rest
+    if not size.isEmpty():
+        large = if_small(size)
+        cut = narrowed(rest.drop("home").join(large, "key"), held, known, similar).select("key", "node", "label", "home", F.col("size").cast(rest.schema["size"].dataType).alias("size"))
+        blocks = rest.join(large, "key", "left_anti").unionByName(cut.transform(stored_few))
+    more = crossed(blocks, held, known, similar).transform(stored_few)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b"))).transform(stored_few)
     nodes = names.join(labels, "node", "left").select("print", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))

@@ -126,9 +126,65 @@ def test_every_pair_of_a_bucket_meets_in_blocks(spark, monkeypatch):
     assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got) == [(i, i + 1) for i in range(0, 40, 2)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_texts_share_a_shingle_of_their_prefixes(seed):
+    """For any sample that gives the order; weights and numbers at the threshold."""
+    rng = np.random.default_rng(seed)
+    near = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 60))
+        idf = rng.random(200) / 2 + 0.5
+        a = rng.choice(200, n, replace=False)
+        b = np.unique(np.where(rng.random(n) < rng.choice([0, 0.05, 0.1, 0.15]), rng.integers(0, 200, n), a))
+        x, y = ((np.unique(t).astype(np.uint64), idf[np.unique(t)], rng.choice([1, 1, 2], len(np.unique(t)))) for t in (a, b))
+        common = np.unique(rng.integers(0, 200, 300).astype(np.uint64), return_counts=True)
+        p, q = (set(m.prefix(t[0], t[1] * t[2], common, 0.8).tolist()) for t in (x, y))
+        if like(x, y) >= 0.8:
+            near += 1
+            assert p & q
+        assert len(p) <= len(x[0])
+    assert near > 50
+
+
+def template(n, own, shared=150, seed=5):
+    """Texts of one template, each with words of its own after it."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(shared)]
+    return [" ".join(base + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_texts_of_a_template_are_dealt_once_a_bucket(spark, monkeypatch, n):
+    """All share buckets and none is similar to another: rows grow with the bucket's entries and not with their square."""
+    monkeypatch.setattr(m, "BLOCK_TEXTS", 100)
+    monkeypatch.setattr(m, "TELLING", 8)
+    seen = {}
+    narrowed, crossed = m.narrowed, m.crossed
+
+    def counted(wide, *a):
+        out = narrowed(wide, *a)
+        seen.update(wide=wide.count(), cut=out.count())
+        return out
+
+    monkeypatch.setattr(m, "narrowed", counted)
+    monkeypatch.setattr(m, "crossed", lambda rest, *a: seen.update(blocks=rest.count()) or crossed(rest, *a))
+    texts = template(n, 60)
+    # Two are alike and one is a copy with an edit: they are found among the others.
+    texts += [texts[3] + " more", texts[4] + " words"]
+    got = [r.class_id for r in m.classes(made(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [*range(n), 3, 4]
+    # Entries of buckets, and texts that are dealt for them: a large bucket's once to be cut down and then what is left, a small one's once.
+    entries, dealt = seen["wide"] + seen["blocks"] - seen["cut"], seen["wide"] + seen["blocks"]
+    assert seen["wide"] > n and dealt < 1.1 * entries
+
+
 @pytest.mark.parametrize("families,members,words,edits", [(12, 25, [230], [3]), (25, 60, [150, 300, 600], [0.010, 0.014, 0.018])])
-def test_families_around_the_threshold_against_brute_force(spark, families, members, words, edits):
+def test_families_around_the_threshold_against_brute_force(spark, monkeypatch, families, members, words, edits):
     rng = random.Random(11)
+    if members == 25:
+        # Buckets of more than ten texts are cut down by prefixes.
+        monkeypatch.setattr(m, "BLOCK_TEXTS", 10)
+        monkeypatch.setattr(m, "TELLING", 3)
     texts = []
     for f in range(families):
         n, share = words[f % len(words)], edits[f % len(edits)]
