@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import BILL_PROMPT, CATEGORIES, SETTINGS
 from ..functions.candidates import BILL_WORDS, amount_candidates, date_candidates
 from ..functions.once import once
+from ..functions.stored import stored
 from ..functions.text import fill, stable_id, strip
 from ..sources import store
 
@@ -118,7 +119,8 @@ def due_totals(bills: DataFrame, as_of: str, days: int | None = None) -> DataFra
 
 
 def by_due_date(bills: DataFrame) -> DataFrame:
-    return bills.orderBy(F.col("due_date").asc_nulls_last(), "id")
+    """The bills by due date, those without one last. They are stored first: a sort samples its input before it reads it, and would extract them twice."""
+    return stored(bills).orderBy(F.col("due_date").asc_nulls_last(), "id")
 
 
 def patch(bills: DataFrame, patches: DataFrame) -> DataFrame:

@@ -57,7 +57,10 @@ class SimplePdf:
         if not content.startswith(b"%PDF"):
             raise ValueError("not a PDF file")
         objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content)}
-        pages = [self._page(body, objects) for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", body)]
+        pages = [self._page(objects[k], objects) for k in self._order(objects)]
+        if not pages:
+            # Objects may be packed in streams (PDF 1.5), which the stand-in doesn't read.
+            raise ValueError("no page could be read")
         fields = []
         for _, body in sorted(objects.items()):
             if kind := re.search(rb"/FT\s*/(\w+)", body):
@@ -67,6 +70,24 @@ class SimplePdf:
                 fields.append((self._string(name[1]) if name else "", kind[1].decode(), int(flags[1]) if flags else None, shown))
         return Pdf(pages, fields)
 
+    @staticmethod
+    def _order(objects: dict[int, bytes]) -> list[int]:
+        """The pages' objects as the page tree has them, from its root on; by number where there is no tree."""
+        is_page = lambda k: k in objects and re.search(rb"/Type\s*/Page\b", objects[k])
+        roots = [int(m[1]) for body in objects.values() if re.search(rb"/Type\s*/Catalog\b", body) and (m := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", body))]
+        nodes = [k for k, body in sorted(objects.items()) if re.search(rb"/Type\s*/Pages\b", body)]
+        roots = roots[-1:] or [k for k in nodes if not re.search(rb"/Parent\b", objects[k])][:1]
+        out, seen, open_ = [], set(), roots[::-1]
+        while open_:
+            if (k := open_.pop()) in seen or k not in objects:
+                continue
+            seen.add(k)
+            if is_page(k):
+                out.append(k)
+            elif kids := re.search(rb"/Kids\s*\[([^\]]*)\]", objects[k]):
+                open_ += [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", kids[1])][::-1]
+        return out or [k for k in sorted(objects) if is_page(k)]
+
     def _page(self, body: bytes, objects: dict[int, bytes]) -> Page:
         page = Page()
         wanted = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", body)

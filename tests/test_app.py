@@ -72,6 +72,23 @@ def test_pdf_pages(spark, tmp_path):
     assert row.text == "--- Table 1.1 ---\na\tb c\n\td\n---" and row.content_extracted == "Tables(1)"
 
 
+def test_pdf_pages_go_by_the_page_tree():
+    def read(*objects):
+        return pdf.SimplePdf().read(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects))
+
+    def text(k, shown):
+        return (k, b"<< /Length 9 >>\nstream\nBT (%s) Tj ET\nendstream" % shown)
+
+    page = lambda k, contents, parent=2: (k, b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (parent, contents))
+    tree = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [5 0 R 9 0 R 3 0 R] /Count 4 >>"), (9, b"<< /Type /Pages /Parent 2 0 R /Kids [7 0 R 4 0 R 2 0 R] >>")]
+    found = read(*tree, page(3, 13), page(4, 14, 9), page(5, 15), page(7, 17, 9), text(13, b"last"), text(14, b"third"), text(15, b"first"), text(17, b"second"))
+    assert [p.text for p in found.pages] == ["first", "second", "third", "last"]
+    assert [p.text for p in read(*tree[1:], page(3, 13), page(5, 15), text(13, b"b"), text(15, b"a")).pages] == ["a", "b"]
+    assert [p.text for p in read(page(3, 13), page(5, 15), text(13, b"a"), text(15, b"b")).pages] == ["a", "b"]
+    with pytest.raises(ValueError, match="no page"):
+        read((1, b"<< /Type /ObjStm /N 5 >>\nstream\nxx\nendstream"))
+
+
 def test_model_is_asked_once_for_each_document(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     for k in range(10):
