@@ -460,6 +460,51 @@ def semantic_properties(spark, sf_dir):
     return _properties(chunks, texts, 1 << 30).select("doc_id", "chunks", "whole")
 
 
+#: Lines of a hundred characters: of a chunk of 1000 the first nine, of each further one the last line before and eight more.
+_LINES = "CAST(1 + n_chars % 60 AS INT)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_LINES} AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 9 THEN 1 ELSE 1 + CAST(ceil((n - 9) / 8) AS INT) END)) AS k FROM d),
+l AS (SELECT doc_id, k, unnest(range(8 * k, least(8 * k + 9, n))) AS i FROM c)
+SELECT doc_id, CAST(k AS INT) AS chunk_index, string_agg(rpad(doc_id || ' ' || i, 100, 'x'), chr(10) ORDER BY i) AS page_content FROM l GROUP BY doc_id, k
+""")
+def recursive_lines(spark, sf_dir):
+    """Texts whose chunks follow from a sum: which lines are in which chunk, and what two chunks share."""
+    line = lambda i: F.rpad(F.concat(F.col("doc_id").cast("string"), F.lit(" "), i.cast("string")), 100, "x")
+    texts = spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.expr(_LINES) - 1), line), "\n").alias("text"))
+    return chunking.recursive_chunks(texts).select("doc_id", "chunk_index", "page_content")
+
+
+#: A word that is one token, so many times; windows of 1000 tokens begin every 800.
+_WORDS = "CAST(1 + n_chars % 5000 AS INT)"
+_WINDOWS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 1000 THEN 1 ELSE CAST(ceil((n - 200) / 800) AS INT) END)) AS k FROM d)
+SELECT doc_id, CAST(k AS INT) AS chunk_index, CASE WHEN k = 0 THEN 'the' || repeat(' the', least(n, 1000) - 1) ELSE repeat(' the', least(n - 800 * k, 1000)) END AS page_content FROM c
+"""
+
+
+def _counted(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("the"), F.expr(f"repeat(' the', {_WORDS} - 1)")).alias("text"))
+
+
+@query(_WINDOWS)
+def token_windows(spark, sf_dir):
+    import public_tokenizers
+
+    return chunking.token_chunks(_counted(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "chunk_index", "page_content")
+
+
+@query(_WINDOWS)
+def semantic_windows(spark, sf_dir):
+    """A text of one paragraph has one topic, which is cut by tokens."""
+    import public_tokenizers
+
+    from .providers import HashedEmbedder
+
+    return chunking.semantic_chunks(_counted(spark, sf_dir), HashedEmbedder().embed, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "chunk_index", "page_content")
+
+
 #: Amounts and dates of all kinds, by the order's key; what they mean is said apart, in the query's SQL.
 _EDGES = ["$%s", "€%s", "($%s)", "-%s USD", "$99999999999999999999.50", "1.2.3", "GBP %s", "%s"]
 
