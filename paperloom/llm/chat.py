@@ -11,7 +11,8 @@ made distinct before the join, so that a very common first turn is one row.
 Defined cases: turns are ordered by turn, role and text; a null role or text is empty, a null turn comes first, a
 null id is a conversation; repeated turns are turns. Two 64-bit hashes make a chance match of about 2**-128 for
 each pair. ``<|`` in a text is written ``< |``, so that no text can open a turn. Texts of any length are whole; turns that are
-alike in turn and role go by a hash of the text. Other columns are ignored, those named like results too.
+alike in turn and role go by a hash of the text. An empty table
+gives no rows. Other columns are ignored, those named like results too.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ takes several passes, each over what the one before has written to the checkpoin
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an
 item of fewer words than a window is one window; repeated item ids count as one item, and so do items with a null
 id, under an empty one; repeated documents are rows of their own; matches of equal length go by the place in the document, then the
-item; other columns of the documents are kept, but for ``find_leaks`` those named like its results give way.
+item; a text longer than a shard is a shard of its own; an empty table of documents gives no rows, and one of items no hits; other columns of the documents are kept, but for ``find_leaks`` those named like its results give way.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ windows are compared by 64-bit hashes within one text. Host sums are made before
 host is one row from each task; the rejected hosts are broadcast if they are few.
 
 Defined cases: a null text has no words and fails; a null host is a host; repeated rows count and are judged one
-by one; with one host, or hosts that all fail alike, a host's rate is the common rate. Other columns are ignored.
+by one; with one host, or hosts that all fail alike, a host's rate is the common rate; a text of any length is
+measured whole, in its row; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ joined to them by host and line, and each page to its own; no row then holds mor
 
 Defined cases: lines are compared without white space around them; blank lines are never dropped; a null text
 stays null and isn't a page; a null host is a host; repeated rows are one page and are all cleaned; a page of
-boilerplate alone becomes an empty text. Other columns are kept.
+boilerplate alone becomes an empty text; a text of any length is cut into its lines whole; an empty table gives no rows. Other columns are kept.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ stars of joins and minima; nothing but the frequent words goes to the driver.
 
 Defined cases: equal word sequences are copies whatever else the texts hold; a text without words (null and
 empty too) is a class of its own; a null id has a null class; rows that repeat an id are one text more of it.
-Other columns are ignored by ``classes`` and kept by ``deduplicate``.
+A text of any length is taken whole, and is a
+block of its own if it is longer than one; an empty table gives no rows. Other columns are ignored by ``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations

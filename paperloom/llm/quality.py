@@ -12,7 +12,7 @@ scored whole, where it lies, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the model's intercept; without rows of both
 classes every score is the share of class 1 (one half if there are no rows); repeated documents are scored
-alike; other columns are kept, but for one named score.
+alike; a text of any length is taken whole; an empty table gives no rows; other columns are kept, but for one named score.
 """
 
 from __future__ import annotations

@@ -3,23 +3,12 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.stored import discard, stored
 
-def stored(table: DataFrame) -> DataFrame:
-    """table, written to the checkpoint folder, so that a lost executor takes nothing with it. Without a folder in
-    spark.checkpoint.dir a local session gets a temporary one; a cluster has to name one that its machines share."""
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return table.checkpoint()
-
+__all__ = ["discard", "forget", "if_small", "small", "small_batches", "stored", "stored_few"]
 
 #: Of narrow rows, for one partition of a table that was stored.
 PART_ROWS = 50_000
@@ -44,18 +33,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of stored tables that nothing reads any more; without this they stay until the application's folder is removed."""
-    for table in tables:
-        plan = table._jdf.logicalPlan()
-        while plan.children().size():
-            plan = plan.children().head()
-        name = plan.rdd().getCheckpointFile()
-        if name.isDefined():
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def forget(spark: SparkSession) -> None:
     """Lets go of the shuffles of steps whose results are stored: Spark deletes their files once the driver's JVM has collected what
     refers to them, which on a large heap may be long after."""

@@ -16,7 +16,8 @@ Training is on the driver, from word counts that executors make of at most ``per
 class. Every document is then scored whole, where it lies, without a shuffle.
 
 Defined cases: a null or empty text has no terms and gets the intercept; without rows of both classes the
-lexicon is empty and every score 0; repeated documents are scored alike; other columns are kept, but for those named like a result's.
+lexicon is empty and every score 0; repeated documents are scored alike, and of labelled rows that repeat an id one is learned from; a text of any length is
+scored whole; an empty table gives no rows; other columns are kept, but for those named like a result's.
 """
 
 from __future__ import annotations
