@@ -123,7 +123,7 @@ def test_store_splits_a_large_source_and_keeps_its_buckets(spark, tmp_path):
     chunks = spark.range(3000).selectExpr("if(id < 2000, 'big', concat('s', id)) AS source", "cast(id as int) AS chunk_index", "'t' AS page_content")
     # Small parts are joined again otherwise.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    store.build(chunks, str(tmp_path / "s"), buckets=4)
+    store.build(chunks, str(tmp_path / "s"), buckets=4, file_bytes=2000)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert store.read(spark, str(tmp_path / "s")).count() == 3000 and store.read(spark, str(tmp_path / "s"), "big").count() == 2000
     assert store.read(spark, str(tmp_path / "s"), "big").select(F.input_file_name()).distinct().count() > 1
