@@ -71,7 +71,12 @@ def _annotated(split: DataFrame, method: Column) -> DataFrame:
     """The rows of a table with an array of chunks, a row for each chunk: other columns, chunk_index, page_content, split_method,
     context_headings, content_types_in_chunk."""
     keep = [c for c in split.columns if c not in ("text", "chunks", "__split")]
-    rows = with_blocks(split.select(*keep, method.alias("split_method"), F.posexplode("chunks").alias("chunk_index", "page_content")), "page_content")
+    return described(split.select(*keep, method.alias("split_method"), F.posexplode("chunks").alias("chunk_index", "page_content")), keep)
+
+
+def described(chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """Chunks with what their text says of them."""
+    rows = with_blocks(chunks, "page_content")
     return rows.select(*keep, "chunk_index", "page_content", "split_method", last_headings(F.col("blocks")).alias("context_headings"), content_types(F.col("blocks")).alias("content_types_in_chunk"))
 
 

@@ -11,20 +11,24 @@ from ..config import ANSWER_PROMPT, ENTITIES_PROMPT, NO_SUMMARY, NO_TEXT, SETTIN
 from ..functions.candidates import looks_like_bill
 from ..functions.stored import stored
 from ..functions.text import basename, fill, strip
-from ..operators import bills, chunking, corpus, entities, retrieval, stitch
+from ..operators import bills, chunking, corpus, entities, long_texts, retrieval, stitch
 from ..schemas import CHOICE
 from ..sources import files, pdf, store
 from . import answers as kept
 from .providers import Embedder, Generator, embedded, generated
 
+#: Bytes of a text file that is still read as one row.
+WHOLE = 64 << 20
 
-def index(spark: SparkSession, folder: str, path: str, embedder: Embedder, reader: pdf.PdfReader | None = None, images: pdf.ImageReader | None = None, tokens: str | None = None) -> bool:
+
+def index(spark: SparkSession, folder: str, path: str, embedder: Embedder, reader: pdf.PdfReader | None = None, images: pdf.ImageReader | None = None, tokens: str | None = None, whole: int = WHOLE) -> bool:
     """Builds the chunk store of a folder's text, DOCX and PDF files; whether its first chunks look like bills.
 
     Files that can't be read are in the store's errors (``store.errors``), and don't stop the others. tokens: a tokenizer file, for texts that
-    the recursive splitter can't cut."""
+    the recursive splitter can't cut. Text files of more than ``whole`` bytes are cut in windows, into the same chunks as in one."""
     reader = reader or pdf.SimplePdf()
-    plain = files.texts(files.folder(spark, folder, (".txt", ".md"))).select("source", "text", "file_type", "encoding", "content_format", "likely_delimiter")
+    found_texts = files.folder(spark, folder, files.TEXTS)
+    plain = files.texts(found_texts.where(F.col("length") <= whole)).select("source", "text", "file_type", "encoding", "content_format", "likely_delimiter")
     # What is parsed is read twice, for chunks and for errors.
     words = files.docx(files.folder(spark, folder, (".docx",))).persist(StorageLevel.DISK_ONLY)
     found = pdf.parsed(files.folder(spark, folder, (".pdf",)), reader, images).persist(StorageLevel.DISK_ONLY)
@@ -34,6 +38,8 @@ def index(spark: SparkSession, folder: str, path: str, embedder: Embedder, reade
     good, summary = read.where("error is null").drop("error"), F.coalesce(F.col("content_type") == "form_data_summary", F.lit(False))
     forms = good.where(summary).withColumnRenamed("text", "page_content").withColumn("chunk_index", F.lit(0))
     chunks = chunking.cascade(good.where(~summary), splitters).unionByName(forms, allowMissingColumns=True)
+    if not found_texts.where(F.col("length") > whole).select("path").isEmpty():
+        chunks = chunks.unionByName(long_texts.chunks(spark, folder, over=whole), allowMissingColumns=True)
     store.build(embedded(chunks, embedder), path, errors=read.where("error is not null"))
     words.unpersist()
     found.unpersist()

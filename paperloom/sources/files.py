@@ -11,14 +11,21 @@ from ..config import SETTINGS
 from ..functions.text import basename, extension, file_type, strip
 from ..operators.structure import likely_delimiter
 
+#: Endings of text and Markdown files.
+TEXTS = (".txt", ".md")
+
+
+def endings(extensions: tuple[str, ...]) -> str:
+    """A pattern of file names with one of the endings in either case, for a reader's pathGlobFilter."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
 
 def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SETTINGS.extensions) -> DataFrame:
     """The files of a folder with one of the endings, not of those below it: path, modificationTime, length, content.
 
     Others aren't opened: the reader is given a pattern of the endings in either case. Spark's reader leaves out empty files, which have
     no text, and names that begin with '_' or '.'; ``names`` has them all."""
-    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", f"*{{{either}}}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", endings(extensions)).load(path)
     return files.where(extension(F.col("path")).isin(*extensions))
 
 
@@ -48,7 +55,7 @@ def decoded(content: Column) -> Column:
 
 def texts(files: DataFrame) -> DataFrame:
     """(source, text, encoding, file_type, content_format, likely_delimiter) of text and Markdown files that aren't blank."""
-    rows = files.where(extension(F.col("path")).isin(".txt", ".md")).select("path", decoded(F.col("content")).alias("d"))
+    rows = files.where(extension(F.col("path")).isin(*TEXTS)).select("path", decoded(F.col("content")).alias("d"))
     delimiter = likely_delimiter(F.col("d.text"))
     out = rows.select(F.col("path").alias("source"), "d.text", "d.encoding", F.lit("txt").alias("file_type"), delimiter.alias("likely_delimiter"))
     return out.withColumn("content_format", F.when(F.col("likely_delimiter").isNotNull(), "tabular_text")).where(strip(F.col("text")) != "")
