@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.stored import stored
 from .files import TEXTS, endings
@@ -46,15 +46,18 @@ def pieces(spark: SparkSession, path: str, over: int = 0, piece: int = PIECE) ->
         if held:
             yield row()
 
-    at = F.col("_metadata")
     reader = spark.read.option("recursiveFileLookup", "false").option("pathGlobFilter", endings(TEXTS)).option("lineSep", "\n")
     # The size is known of the listing: other files aren't opened.
-    lines = reader.text(path).where(at["file_size"] > over).select(at["file_path"].alias("source"), at["file_size"].alias("size"), at["file_block_start"].alias("block"), F.col("value").cast("binary").alias("line"))
+    lines = reader.text(path).where(F.col("_metadata.file_size") > over).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
     return lines.mapInArrow(run, _PIECES)
 
 
-def _plain(content, valid):
-    return F.regexp_replace(F.when(valid, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1")), "\r\n|\r", "\n")
+def _ends(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def _plain(content: Column, valid: Column) -> Column:
+    return _ends(F.when(valid, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1")))
 
 
 def windows(spark: SparkSession, path: str, before: int, after: int, over: int = 0, piece: int = PIECE, window: int = WINDOW) -> DataFrame:
@@ -62,7 +65,7 @@ def windows(spark: SparkSession, path: str, before: int, after: int, over: int =
     window's own, and ends ``after`` characters behind them; chars: of the whole file. Stored."""
     content = F.col("content")
     cut = pieces(spark, path, over, piece).withColumn("valid", F.is_valid_utf8(content.cast("string")))
-    cut = cut.withColumns({"n8": F.length(_plain(content, F.lit(True))), "n1": F.length(_plain(content, F.lit(False))), "bytes": F.octet_length(content), "cr": F.endswith(content, F.unhex(F.lit("0D0A")))})
+    cut = cut.withColumns({"n8": F.length(_ends(content.cast("string"))), "n1": F.octet_length(_ends(content.cast("string"))), "bytes": F.octet_length(content), "cr": F.endswith(content, F.unhex(F.lit("0D0A")))})
     cut = stored(cut)
     facts = cut.drop("content")
     whole = facts.groupBy("source", "size").agg(F.sum("bytes").alias("total"), F.bool_and("valid").alias("utf8"), F.max(F.struct("block", "piece")).alias("last"), F.min(F.struct("block", "piece")).alias("first"))
