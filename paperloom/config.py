@@ -31,7 +31,6 @@ STOPWORDS = [
     "To", "From", "By", "And", "Or", "But", "If", "When", "While", "January", "February", "March", "April",
     "May", "June", "July", "August", "September", "October", "November", "December",
 ]
-EDITABLE = ["vendor", "category", "amount", "due_date", "issue_date"]
 ANSWER_PROMPT = """You are an AI assistant specialized in analyzing the provided documents. Use the following pieces of context extracted from the documents to answer the question accurately and concisely. If you don't know the answer based *only* on the context provided, explicitly state that the information is not available in the documents. Do not make up information or use external knowledge.
 
 Context:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import bills, chunking
 from paperloom.plans import app, providers
-from paperloom.sources import files, pdf, store
+from paperloom.sources import files, models, pdf, store
 from paperloom.streaming import ingest
 
 INVOICE = "Invoice 7\nFrom: Acme\nCategory: Telecom\nInvoice date: 2025-03-04\nPayment due date: April 3, 2025\nAmount due: $1,234.56\n"
@@ -240,3 +240,14 @@ def test_stream_is_as_a_batch(spark, tmp_path):
 def test_docx_reader():
     with pytest.raises(zipfile.BadZipFile):
         files.docx_text(io.BytesIO(b"x").getvalue())
+
+
+def test_distance_between_places(spark):
+    row = spark.sql("select 1.0D a, 2.0D b, 4.0D c, 6.0D d, cast(null as double) e")
+    assert row.select(pdf.distance(F.col("a"), F.col("b"), F.col("c"), F.col("d")), pdf.distance(F.col("a"), F.col("a"), F.col("a"), F.col("a")), pdf.distance(F.col("a"), F.col("b"), F.col("e"), F.col("d"))).first()[:] == (5.0, 0.0, None)
+
+
+def test_model_lists_of_several_hosts(spark):
+    table = "NAME ID SIZE\nb:1 x 2 GB\na:1 x\nno colon\nb:1 x 3 GB"
+    rows = spark.createDataFrame([("h", table), ("g", "NAME\nb:1 x 5 MB"), ("e", "NAME"), (None, None)], "host string, output string")
+    assert [tuple(r) for r in models.model_list(rows, by=("host",)).collect()] == [("g", "b:1", "5 MB"), ("h", "a:1", ""), ("h", "b:1", "3 GB")]
