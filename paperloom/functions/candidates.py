@@ -1,7 +1,7 @@
 """Amount and date candidates in text, as column expressions.
 
-Each scanner's pattern is run over the text once; what it finds is then taken apart match by match. The
-patterns have no lookaround, so a match taken by itself has the same groups as in its text.
+Each scanner's pattern is run over the text once; what it finds is then taken apart match by match, by its
+letters and not by the pattern again, which may look beyond a match.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ NUMBER = "[0-9]{1,3}(?:[,.][0-9]{3})*(?:[,.][0-9]{1,2})?|[0-9]+(?:[,.][0-9]{1,2}
 #: Groups: 1 bracket, 2 minus, 3 and 4 symbol and code before, 5 number, 6 and 7 symbol and code after, 8 closing bracket.
 AMOUNT = f"(\\()?(-{SPACE}?)?(?:({SYMBOL}){SPACE}?|({CODE}){SPACE}+)?({NUMBER})(?:{SPACE}?({SYMBOL})|{SPACE}+({CODE}))?(\\))?"
 MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
-DATE = f"\\b(?:\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}|\\d{{1,2}}\\s+(?:{MONTH})\\w*,?\\s+\\d{{4}}|(?:{MONTH})\\w*\\s+\\d{{1,2}},?\\s+\\d{{4}}|\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-]\\d{{2,4}})\\b"
+#: A dotted date is none if it goes on as a longer row of numbers, before or behind: that is an address or a version.
+_LONGER = "(?!\\d{1,2}\\.\\d{1,2}\\.\\d{2,4}\\.\\d|(?<=\\d\\.)\\d{1,2}\\.\\d{1,2}\\.)"
+DATE = f"\\b(?:\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}|\\d{{1,2}}\\s+(?:{MONTH})\\w*,?\\s+\\d{{4}}|(?:{MONTH})\\w*\\s+\\d{{1,2}},?\\s+\\d{{4}}|{_LONGER}\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-]\\d{{2,4}})\\b"
 BILL_WORDS = "(?i)\\b(?:due date|payment due|amount due|balance due|invoice|statement|account number|bill(?:ing)?|subscription|premium|autopay|remit)\\b"
 DOTTED_DATE = "\\b\\d{1,2}\\.\\d{1,2}\\.\\d{2,4}\\b"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

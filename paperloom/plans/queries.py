@@ -187,7 +187,7 @@ def amount_scan(spark, sf_dir):
 WITH {_ORDERS} SELECT source, 0 AS pos, issued_raw AS raw, CAST(issued AS VARCHAR) AS iso FROM named UNION ALL SELECT source, 1, due_raw, CAST(due AS VARCHAR) FROM named
 """)
 def date_scan(spark, sf_dir):
-    # The documents have no dates; all that is found is from invoices.
+    # The documents have no dates, only addresses that begin like one; all that is found is from invoices.
     rows = _both(spark, sf_dir).select("source", F.posexplode(date_candidates(F.col("text"))).alias("pos", "c"))
     return rows.select("source", "pos", "c.raw", "c.iso")
 

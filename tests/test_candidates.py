@@ -61,3 +61,12 @@ def test_dayfirst(spark, text, first, dates):
 @pytest.mark.parametrize("text,bill", [("Invoice for $5", True), ("invoices for $5", False), ("Billing: 3.50", True), ("Bills: 3.50", False), ("Invoice 5", False), (None, False)])
 def test_bill_words(spark, text, bill):
     assert spark.createDataFrame([(text,)], "t string").select(looks_like_bill(F.col("t")).alias("b")).first().b == bill
+
+
+ADDRESSES = {"host 12.23.232.21 up": [], "112.12.12.34": [], "1.2.12.24.74": [], "on 12.11.2024. Then": ["2024-11-12"], "see 1.3 May 2024": ["2024-05-03"], "12.23.232.21 since 1.2.2025": ["2025-02-01"]}
+
+
+def test_dotted_addresses_are_no_dates(spark):
+    rows = spark.createDataFrame(list(ADDRESSES.items()), "t string, e array<string>")
+    for r in rows.select("t", "e", date_candidates(F.col("t")).alias("c")).collect():
+        assert [c.iso for c in r.c] == r.e, r.t
