@@ -428,10 +428,12 @@ def _properties(chunks: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     squeezed = lambda c: F.regexp_replace(c, "[^0-9A-Za-z]+", " ")
     gathered = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "page_content"))), lambda c: c["page_content"]).alias("c"))
     rows = texts.where(F.col("text").rlike(f"[^{T.SPACES}]")).join(gathered, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
-    rows = once(rows, at=F.transform("c", lambda x: F.call_function("locate", x, F.col("text"))), words=F.array_distinct(F.split(squeezed(F.col("text")), " ")))
+    # Inside a line a text may repeat itself: each chunk is looked for from where the one before it begins.
+    last = F.aggregate("c", F.lit(1), lambda at, x: F.call_function("locate", x, F.col("text"), at))
+    rows = once(rows, at=F.transform("c", lambda x: F.call_function("locate", x, F.col("text"))), last=last, words=F.array_distinct(F.split(squeezed(F.col("text")), " ")))
     held = F.array_distinct(F.split(squeezed(F.array_join("c", "\n")), " "))
     return rows.select(
-        "doc_id", (F.size("c") > 0).alias("chunks"), F.forall("at", lambda a: a > 0).alias("in_text"), (F.array_sort("at") == F.col("at")).alias("in_order"),
+        "doc_id", (F.size("c") > 0).alias("chunks"), F.forall("at", lambda a: a > 0).alias("in_text"), (F.col("last") > 0).alias("in_order"),
         F.forall("c", lambda x: F.length(x) <= most).alias("small"), (F.size(F.array_except("words", held)) == 0).alias("whole"),
     )
 
