@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import SETTINGS
 from ..functions.text import extension, strip
@@ -218,10 +218,23 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def nearest_labels(marks: DataFrame, labels: DataFrame, reach: float) -> DataFrame:
     """(mark, label, gap): each mark's nearest label on its page within the reach; ties go to the least label.
 
-    marks: page, mark, x; labels: page, label, x. Places are cut into strips as wide as the reach and a label is put into
-    its strip and the two beside it, so that the join is one of equal keys and no pair farther apart than two strips is made."""
-    strip_of = lambda x: F.floor(x / reach).cast("bigint")
-    left = marks.select("page", "mark", F.col("x").alias("mx"), strip_of(F.col("x")).alias("strip"))
-    right = labels.select("page", "label", F.col("x").alias("lx"), F.explode(F.sequence(strip_of(F.col("x")) - 1, strip_of(F.col("x")) + 1)).alias("strip"))
-    near = left.join(right, ["page", "strip"]).withColumn("gap", F.abs(F.col("mx") - F.col("lx"))).where(F.col("gap") <= reach)
-    return near.groupBy("mark").agg(F.min(F.struct("gap", "label")).alias("best")).select("mark", "best.label", "best.gap")
+    marks: page, mark, x; labels: page, label, x, which is a double. Places are cut into strips wider than the reach and a label is put into its strip and
+    the two beside it. In a strip, sorted by place, a mark's nearest label is the last one before it or the first one behind: no pairs are made, and a
+    task holds no more than the sort does. Labels so close together that their gaps may be the same double are kept as one run."""
+    width, tie = reach * 1.25 or 1.0, reach * 2.0**-50
+    x = F.col("x").cast("double")
+    # Far beyond, all is one strip.
+    strip_of = F.floor(F.greatest(F.least(x / width, F.lit(1e15)), F.lit(-1e15))).cast("bigint")
+    known = F.col("page").isNotNull() & (F.abs(x) < float("inf"))
+    left = marks.where(known).select("page", strip_of.alias("strip"), x.alias("x"), F.struct("mark").alias("m"), F.lit(None).alias("near"))
+    # Of labels at one place the least counts.
+    places = labels.where(known).groupBy("page", x.alias("x")).agg(F.min(F.struct("label"))["label"].alias("label"))
+    right = places.select("page", F.explode(F.sequence(strip_of - 1, strip_of + 1)).alias("strip"), "x", F.lit(None).alias("m"), F.struct(F.col("x").alias("lx"), "label").alias("near"))
+    run = lambda frame: F.when(F.col("near").isNotNull(), F.expr(f"collect_list(near) over (partition by page, strip order by x range between {frame})"))
+    rows = left.unionByName(right).withColumns({"before": run(f"{tie!r}D preceding and current row"), "behind": run(f"current row and {tie!r}D following")})
+    up, down = (Window.partitionBy("page", "strip").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("x"), F.desc("x")))
+    rows = rows.withColumns({"before": F.last("before", ignorenulls=True).over(up), "behind": F.last("behind", ignorenulls=True).over(down)}).where("m is not null")
+    none = F.array().cast(rows.schema["before"].dataType)
+    near = F.transform(F.concat(F.coalesce("before", none), F.coalesce("behind", none)), lambda n: F.struct(F.abs(F.col("x") - n["lx"]).alias("gap"), n["label"].alias("label")))
+    best = rows.select("m.mark", F.array_min(F.filter(near, lambda n: n["gap"] <= reach)).alias("best")).where("best is not null")
+    return best.groupBy("mark").agg(F.min("best").alias("best")).select("mark", "best.label", "best.gap")
