@@ -6,6 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.batches import small_batches
 from ..functions.stored import discard, stored
 
 __all__ = ["discard", "forget", "if_small", "small", "small_batches", "stored", "stored_few"]
@@ -21,18 +22,6 @@ def stored_few(table: DataFrame) -> DataFrame:
     return made.coalesce(max(1, -(-made.count() // PART_ROWS)))
 
 
-#: Of a batch that goes to a Python worker. Texts are long, and a worker holds a batch several times over.
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session sends Python workers batches of a bounded size, if its own bound is larger."""
-    now = spark.conf.get(_BATCH, None)
-    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def forget(spark: SparkSession) -> None:
     """Lets go of the shuffles of steps whose results are stored: Spark deletes their files once the driver's JVM has collected what
     refers to them, which on a large heap may be long after."""
