@@ -132,7 +132,8 @@ def _date(d: Column, dayfirst: Column, pivot: int) -> Column:
 
 def _iso(d: Column) -> Column:
     y, m, day = d["y"], d["m"], d["d"]
-    return F.when((y >= 1) & (m >= 1) & (m <= 12) & (day >= 1) & (day <= _days(y, m)), F.format_string("%04d-%02d-%02d", y, m, day))
+    padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
+    return F.when((y >= 1) & (m >= 1) & (m <= 12) & (day >= 1) & (day <= _days(y, m)), F.concat_ws("-", padded(y, 4), padded(m, 2), padded(day, 2)))
 
 
 def _dates(raws: Column, dayfirst: Column, pivot: int) -> Column:

@@ -24,3 +24,13 @@ def spread(rows: DataFrame) -> DataFrame:
     large table's, stays as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+#: Rows of costly work, such as an invoice's extraction, for one task.
+PART_ROWS = 25_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Some n narrow rows for costly work, in parts of a bounded number of rows and over all cores: parts by bytes, as of a scan or a join, are as few as
+    the cores and so take longer the more rows there are."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)))
