@@ -13,7 +13,7 @@ FORMATS = ["yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MM/dd/yyyy"]
 def invoices(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """(source, text): an invoice of each order, due 30 days after it. The date format goes round by the order's key."""
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "c_name")
-    # An order has one customer. Each row costs half a millisecond or more afterwards.
+    # An order has one customer. Each row costs some 0.4 ms of a core afterwards.
     rows = dealt(rows, orders.count())
     issued = F.to_date("o_orderdate")
     which = F.pmod("o_orderkey", F.lit(len(FORMATS))).cast("int")
